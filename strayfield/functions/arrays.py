@@ -15,6 +15,11 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row; inside a lambda it would be computed per element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y))
 
@@ -27,7 +32,7 @@ def l2_normalize(v: str | Column, eps: float | None = None) -> Column:
     """Divide by the L2 norm; with ``eps`` the norm is floored, else a zero vector becomes NULLs."""
     length = norm(v)
     length = F.greatest(length, F.lit(eps)) if eps is not None else F.nullif(length, F.lit(0.0))
-    return F.transform(doubles(v), lambda x: x / length)
+    return bind(length, lambda n: F.transform(doubles(v), lambda x: x / n))
 
 
 def adaptive_pool(v: str | Column, bins: int) -> Column:
@@ -55,16 +60,14 @@ def destandardize(v: str | Column, mean: str | Column, std: str | Column) -> Col
 
 def softmax(v: str | Column) -> Column:
     vec = doubles(v)
-    top = F.array_max(vec)
-    exps = F.transform(vec, lambda x: F.exp(x - top))
-    return F.transform(exps, lambda x: x / total(exps))
+    exps = bind(F.array_max(vec), lambda top: F.transform(vec, lambda x: F.exp(x - top)))
+    return bind(exps, lambda e: bind(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def log_softmax(v: str | Column) -> Column:
     vec = doubles(v)
-    top = F.array_max(vec)
-    lse = top + F.log(total(F.transform(vec, lambda x: F.exp(x - top))))
-    return F.transform(vec, lambda x: x - lse)
+    lse = bind(F.array_max(vec), lambda top: top + F.log(total(F.transform(vec, lambda x: F.exp(x - top)))))
+    return bind(lse, lambda n: F.transform(vec, lambda x: x - n))
 
 
 def argmax(v: str | Column) -> Column:

@@ -229,16 +229,18 @@ def mean_shift(
         return rows.select("vec").distinct().select(F.xxhash64("vec").alias("query_id"), "vec")
 
     active, settled = seeds(points), []
+    placed, cells = B.make_cells(bank, "l2sq", block_rows=block_rows)
     for step in range(max_iter):
-        part = _radius_join(active, bank, bw, average, "query_id long, n long, s array<double>", block_rows)
+        visits = B.visit(active, cells, B.radius_reach(bw))
+        part = B.block_join(visits, placed, average, "query_id long, n long, s array<double>", block_rows, block_rows)
         summed = part.groupBy("query_id").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", i)) for i in range(dims)]).alias("s"))
         moved = active.join(summed.where("n > 0"), "query_id").withColumn("to", F.transform("s", lambda x: F.round(x / F.col("n"), 9)))
         gap = F.sqrt(F.aggregate(F.zip_with("vec", "to", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
         moved = cut_lineage(moved.select("to", "n", (gap <= 1e-3 * bw).alias("done")))
         settled.append(moved.where("done" if step + 1 < max_iter else "true").select(F.col("to").alias("vec"), "n"))
-        active = seeds(moved.where("not done").select(F.col("to").alias("vec")))
         if moved.where("not done").isEmpty():
             break
+        active = seeds(moved.where("not done").select(F.col("to").alias("vec")))
     centres = settled[0]
     for s in settled[1:]:
         centres = centres.unionByName(s)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strayfield.functions.arrays import argmax, doubles, entropy, log_softmax, softmax, total
+from strayfield.functions.arrays import argmax, bind, doubles, entropy, log_softmax, softmax, total
 from strayfield.operators.ordering import attach, row_index
 
 IGNORE = 255
@@ -132,11 +132,7 @@ def seg_quality(df: DataFrame, k: int, logits: str = "logits", gt: str = "gt", b
     )
     eps = 1e-5
     inverse = F.transform("s", lambda s: F.lit(1.0) / (s["t"] + eps))
-    balanced = F.zip_with(
-        "s",
-        "w",
-        lambda s, w: w / total(F.col("w")) * (1 - (2 * s["i"] + eps) / (s["p"] + s["t"] + eps + eps)),
-    )
+    balanced = F.zip_with("s", "w", lambda s, w: w * (1 - (2 * s["i"] + eps) / (s["p"] + s["t"] + eps + eps)))
     hit = F.aggregate("s", F.lit(0.0), lambda a, s: a + s["i"])
     p_len = F.greatest(F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, s: a + s["p"] * s["p"])), F.lit(1e-12))
     t_len = F.greatest(F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, s: a + s["t"] * s["t"])), F.lit(1e-12))
@@ -144,10 +140,13 @@ def seg_quality(df: DataFrame, k: int, logits: str = "logits", gt: str = "gt", b
     return sums.withColumn("w", inverse).select(
         *by,
         "cross_entropy",
-        (total(balanced) / F.lit(m)).alias("balanced_dice"),
+        (total(balanced) / total(F.col("w")) / F.lit(m)).alias("balanced_dice"),
         (-F.log(2 * hit / (hit + F.col("n") * F.lit(m) + F.lit(1e-6)))).alias("dice_log"),
         F.aggregate("s", F.lit(0.0), lambda a, s: a + F.abs(s["t"] - s["p"]) / F.col("n")).alias("hist_l1"),
-        (F.aggregate("s", F.lit(0.0), lambda a, s: a + F.abs(s["t"] / t_len - s["p"] / p_len)) / F.lit(m)).alias("unit_hist_l1"),
+        bind(
+            F.struct(t_len.alias("t"), p_len.alias("p")),
+            lambda n: F.aggregate("s", F.lit(0.0), lambda a, s: a + F.abs(s["t"] / n["t"] - s["p"] / n["p"])) / F.lit(m),
+        ).alias("unit_hist_l1"),
         "entropy",
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from strayfield.functions.arrays import doubles, mean_squared_difference, squared_distance, total
+from strayfield.functions.arrays import bind, doubles, mean_squared_difference, squared_distance, total
 from strayfield.operators.neighbours import linear_map
 from strayfield.operators.ordering import attach
 
@@ -195,7 +195,7 @@ def bin_vectors(hist: DataFrame, by: Sequence[str], bins: int, value: str = "n")
     raw = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0)))
     arr = found.select(*by, "dim", raw.alias("h"))
     length = F.greatest(F.sqrt(total(F.transform("h", lambda x: x * x))), F.lit(1e-12))
-    return arr.select(*by, "dim", F.transform("h", lambda x: x / length).alias("h"))
+    return arr.select(*by, "dim", bind(length, lambda n: F.transform("h", lambda x: x / n)).alias("h"))
 
 
 def _projections(dens: DataFrame, bins: int, proj_dims: int) -> DataFrame:
@@ -213,8 +213,7 @@ def projection_score(hist: DataFrame, dens: DataFrame, bins: int, proj_dims: int
     model = _projections(dens, bins, proj_dims)
     rows = bin_vectors(hist, by, bins).withColumn("proj", F.floor(F.col("dim") / proj_dims).cast("int")).join(model, "proj")
     exponents = F.transform("model", lambda m: squared_distance(F.col("h"), m) * F.lit(-0.5))
-    top = F.array_max("e")
-    lse = top + F.log(total(F.transform("e", lambda e: F.exp(e - top))))
+    lse = bind(F.array_max("e"), lambda top: top + F.log(total(F.transform("e", lambda e: F.exp(e - top)))))
     log_density = lse - F.log(F.size("model").cast("double")) - F.lit(bins / 2.0 * float(np.log(2 * np.pi)))
     scored = rows.withColumn("e", exponents).withColumn("ld", log_density)
     per_proj = scored.groupBy(*by, "proj").agg(F.avg("ld").alias("s"))

@@ -34,11 +34,15 @@ def _(t):
     return labels.join(centres.select("label", F.round(F.get("centre", 0), 6).alias("centre"), "n"), "label")
 
 
-@query("g2_mean_shift_estimated")
+@query(
+    "g2_estimate_bandwidth",
+    f"""with p as ({_PLANE}), n as (select greatest(1, floor(count(*) * 0.3::double)::int) k from p),
+    d as (select a.point_id, abs(a.v - b.v) d, row_number() over (partition by a.point_id order by abs(a.v - b.v)) rn from p a cross join p b)
+    select round(avg(d), 6) bandwidth from d, n where rn = k""",
+)
 def _(t):
-    points = t.sql(_PLANE).withColumn("vec", F.array("v"))
-    labels, _centres = ol.mean_shift(points, None, "point_id")
-    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    bw = ol.estimate_bandwidth(t.sql(_PLANE).withColumn("vec", F.array("v")), 0.3, "point_id")
+    return t.spark.range(1).select(F.round(F.lit(bw), 6).alias("bandwidth"))
 
 
 @query(
@@ -170,7 +174,7 @@ def _(t):
 
 @query(
     "k_scalar_functions",
-    """select event_id, strftime(ts, '%Y-%m-%d_%H_%M_%S') stamp, round(epoch_us(ts) / 1e6 - epoch_us(timestamp '2024-01-01') / 1e6, 3) seconds,
+    """select event_id, strftime(ts, '%Y-%m-%d_%H_%M_%S') stamp, round(epoch_us(ts) / 1e6 - epoch_us(timestamp '2024-01-01') / 1e6, 6) since,
       round(1 / (1 + exp(-value)), 6) sigmoid, greatest(least(value, 10.0::double), 2.0::double) clipped,
       case when value = 5 then 0 else -round(sign(value - 5) * log10(abs(value - 5)), 6) end signed_log,
       lpad(cast(event_id as varchar), 8, '0') padded, event_type || '_' || user_id joined,
@@ -180,7 +184,7 @@ def _(t):
     return t.events.select(
         "event_id",
         sc.stamp("ts").alias("stamp"),
-        F.round(sc.seconds_between(F.lit("2024-01-01").cast("timestamp"), F.col("ts").cast("timestamp")), 3).alias("seconds"),
+        F.round(sc.seconds_between(F.lit("2024-01-01").cast("timestamp"), F.col("ts").cast("timestamp")), 6).alias("since"),
         F.round(sc.sigmoid("value"), 6).alias("sigmoid"),
         sc.clip("value", 2.0, 10.0).alias("clipped"),
         F.round(sc.signed_log10(F.col("value") - 5), 6).alias("signed_log"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,11 +58,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably, so a lost executor never replays an iteration."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back, so a lost executor never replays an iteration.
+
+    A written table also drops the filter constraints a checkpointed plan would carry along; over many rounds
+    of a loop those grow until planning takes longer than running.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/strayfield-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
