@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strayfield.operators.ordering import attach, running
 
@@ -23,11 +23,9 @@ def threshold_counts(df: DataFrame, score: str = "score", label: str = "is_anoma
 def curve(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: rows at it (``pos``, ``neg``), at or above it (``tp``, ``fp``), totals (``p``, ``n``)."""
     counts = threshold_counts(df, score, label, by)
-    cumulative = running(counts, [-F.col("threshold")], {"tp": "pos", "fp": "neg"}, by=by)
-    totals = df.groupBy(*by).agg(
-        F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n")
-    )
-    return attach(cumulative, totals, by)
+    raw = df.select(*by, F.col(score).cast("double").alias("threshold"))
+    sums = {"tp": "pos", "fp": "neg"}
+    return running(counts, [-F.col("threshold")], sums, by=by, sample=raw, totals_as={"tp": "p", "fp": "n"})
 
 
 def roc_curve(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
@@ -45,35 +43,47 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "is_anomaly", by:
     )
 
 
-_AREA = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / F.nullif(F.max("p") * F.max("n"), F.lit(0))
-_PRECISION = F.col("tp") / (F.col("tp") + F.col("fp"))
-_PREVIOUS = F.coalesce(
-    (F.col("tp") - F.col("pos"))
-    / F.nullif(F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg"), F.lit(0)),
-    F.lit(1.0),
-)
-_F1 = F.lit(2.0) * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p"))
-_BEST = F.max(F.struct(_F1.alias("f1"), (-F.col("threshold")).alias("neg_threshold"), "tp", "fp", "p", "n"))
+def _area() -> Column:
+    return F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / F.nullif(F.max("p") * F.max("n"), F.lit(0))
+
+
+def _precision() -> Column:
+    return F.col("tp") / (F.col("tp") + F.col("fp"))
+
+
+def _previous_precision() -> Column:
+    """Precision one threshold higher; 1 before the first."""
+    tp, fp = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    return F.coalesce(tp / F.nullif(tp + fp, F.lit(0)), F.lit(1.0))
+
+
+def _average_precision() -> Column:
+    return F.sum(F.col("pos") * _precision()) / F.max("p")
+
+
+def _best() -> Column:
+    f1 = F.lit(2.0) * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p"))
+    return F.max(F.struct(f1.alias("f1"), (-F.col("threshold")).alias("neg_threshold"), "tp", "fp", "p", "n"))
 
 
 def auroc(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve; tied scores share their trapezoid. NULL when a class is missing."""
-    return curve(df, score, label, by).groupBy(*by).agg(_AREA.alias("auroc"))
+    return curve(df, score, label, by).groupBy(*by).agg(_area().alias("auroc"))
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
-    return curve(df, score, label, by).groupBy(*by).agg((F.sum(F.col("pos") * _PRECISION) / F.max("p")).alias("ap"))
+    return curve(df, score, label, by).groupBy(*by).agg(_average_precision().alias("ap"))
 
 
 def auc_pr(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
     """Trapezoid area under the precision-recall curve, starting at recall 0 and precision 1."""
-    area = F.sum(F.col("pos") * (_PRECISION + _PREVIOUS) / 2) / F.max("p")
+    area = F.sum(F.col("pos") * (_precision() + _previous_precision()) / 2) / F.max("p")
     return curve(df, score, label, by).groupBy(*by).agg(area.alias("auc_pr"))
 
 
 def best_f1(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
     """Highest F1 and its threshold; the lowest threshold wins ties."""
-    best = curve(df, score, label, by).groupBy(*by).agg(_BEST.alias("b"))
+    best = curve(df, score, label, by).groupBy(*by).agg(_best().alias("b"))
     return best.select(*by, F.col("b.f1").alias("f1"), (-F.col("b.neg_threshold")).alias("threshold"))
 
 
@@ -92,7 +102,7 @@ def error_shares(
 def summary(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
     """AUROC, AP, best F1 with its threshold and error shares, all from one curve."""
     best = curve(df, score, label, by).groupBy(*by).agg(
-        _AREA.alias("auroc"), (F.sum(F.col("pos") * _PRECISION) / F.max("p")).alias("ap"), _BEST.alias("b")
+        _area().alias("auroc"), _average_precision().alias("ap"), _best().alias("b")
     )
     rows = F.col("b.p") + F.col("b.n")
     return best.select(

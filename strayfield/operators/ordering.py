@@ -84,12 +84,22 @@ def slice_index(keys: list[Column], points: list[tuple], schema: T.StructType) -
 
 
 def with_slice(
-    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], slices: int | None = None, name: str = "_slice"
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str | Column],
+    slices: int | None = None,
+    name: str = "_slice",
+    sample: DataFrame | None = None,
 ) -> DataFrame:
-    """Add a slice number that never decreases along ``(by..., order...)``."""
+    """Add a slice number that never decreases along ``order`` within ``by``.
+
+    Groups may follow each other in any order, so a hash stands for ``by``. ``sample`` is a cheaper table
+    with the same key columns to take the cut points from; any cut points give a right result.
+    """
     slices = slices or max(8, min(1024, 2 * parallelism(df.sparkSession)))
-    keys = _sort_key(df, [*by, *order])
-    points = cut_points(df, keys, slices)
+    group = [F.xxhash64(*by)] if by else []
+    keys = _sort_key(df, [*group, *order])
+    points = cut_points(df if sample is None else sample, keys, slices)
     schema = df.select(*keys).schema
     return df.withColumn(name, slice_index(keys, points, schema))
 
@@ -117,7 +127,7 @@ def row_index(
     cut = with_slice(df, by, order, slices)
     here = [*by, "_slice"]
     local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*here).orderBy(*[as_col(c) for c in order])))
-    sizes = cut.groupBy(*here).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = local.groupBy(*here).agg(F.max("_local").cast("long").alias("_n"))
     before = sizes.select(*here, _before(F.sum("_n"), by, sizes).alias("_before"))
     return (
         carry_join(local, before, here)
@@ -144,7 +154,8 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner
     """
     by = list(by)
     if not by:
-        return df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
+        row = stats.select(F.struct(*stats.columns)).scalar()  # one subquery, however many columns
+        return df.select("*", *[row[c].alias(c) for c in stats.columns])
     return df.join(stats, by, how)
 
 
@@ -155,32 +166,41 @@ def running(
     maxima: dict[str, str | Column] | None = None,
     by: Sequence[str] = (),
     slices: int | None = None,
+    sample: DataFrame | None = None,
+    totals_as: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Running sums / maxima over ``unboundedPreceding..currentRow`` of ``order`` within ``by``."""
+    """Running sums / maxima over ``unboundedPreceding..currentRow`` of ``order`` within ``by``.
+
+    ``totals_as`` names a column for the group total of a running sum: it falls out of the slice totals.
+    """
     by, sums, maxima = list(by), dict(sums or {}), dict(maxima or {})
-    cut = with_slice(df, by, order, slices)
+    cut = with_slice(df, by, order, slices, sample=sample)
     here = [*by, "_slice"]
-    w = W.partitionBy(*here).orderBy(*[as_col(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    ordered = W.partitionBy(*here).orderBy(*[as_col(c) for c in order])
+    w = ordered.rowsBetween(W.unboundedPreceding, 0)
     local = cut.select(
         "*",
+        F.row_number().over(ordered).alias("_at"),
         *[F.sum(as_col(c)).over(w).alias(f"_s_{n}") for n, c in sums.items()],
         *[F.max(as_col(c)).over(w).alias(f"_m_{n}") for n, c in maxima.items()],
     )
-    totals = cut.groupBy(*here).agg(
-        *[F.sum(as_col(c)).alias(f"_ts_{n}") for n, c in sums.items()],
-        *[F.max(as_col(c)).alias(f"_tm_{n}") for n, c in maxima.items()],
+    # the last running value of a slice is its total: read from the window's own exchange
+    totals = local.groupBy(*here).agg(
+        *[F.max_by(f"_s_{n}", "_at").alias(f"_ts_{n}") for n in sums],
+        *[F.max(f"_m_{n}").alias(f"_tm_{n}") for n in maxima],
     )
     before = totals.select(
         *here,
         *[_before(F.sum(f"_ts_{n}"), by, totals).alias(f"_ps_{n}") for n in sums],
         *[_before(F.max(f"_tm_{n}"), by, totals).alias(f"_pm_{n}") for n in maxima],
+        *[F.sum(f"_ts_{n}").over(W.partitionBy(*(by or [F.lit(0)]))).alias(t) for n, t in (totals_as or {}).items()],
     )
     out = carry_join(local, before, here)
     for n in sums:
         out = out.withColumn(n, F.coalesce(f"_ps_{n}", F.lit(0)) + F.col(f"_s_{n}"))
     for n in maxima:
         out = out.withColumn(n, F.greatest(f"_pm_{n}", f"_m_{n}"))
-    keep = [*df.columns, *[c for c in [*sums, *maxima] if c not in df.columns]]
+    keep = [*df.columns, *[c for c in [*sums, *maxima, *(totals_as or {}).values()] if c not in df.columns]]
     return out.select(*keep)
 
 

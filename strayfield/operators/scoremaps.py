@@ -118,7 +118,7 @@ def component_map(px: DataFrame, refs_px: DataFrame, scores: DataFrame, category
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles ``q0, q1, ...`` in one row, from running counts of the distinct values."""
     counts = df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = attach(running(counts, ["v"], {"upto": "n"}), counts.agg(F.sum("n").alias("total")), [])
+    ranked = attach(running(counts, ["v"], {"upto": "n"}, sample=df.select(F.col(col).cast("double").alias("v"))), counts.agg(F.sum("n").alias("total")), [])
 
     def holds(rank: Column) -> Column:
         return (rank <= F.col("upto")) & (rank > F.col("upto") - F.col("n"))

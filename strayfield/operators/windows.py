@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strayfield.operators.ordering import as_col, framed, row_index, running, top_per_key
+from strayfield.session import cut_lineage
 
 CHUNK = 1 << 14
 
@@ -96,7 +97,7 @@ def ema(
     parallel and then linked.
     """
     by = list(by)
-    ranked = row_index(df, order, by, "_i").withColumn("pos", F.col("_i") - 1).drop("_i")
+    ranked = cut_lineage(row_index(df, order, by, "_i").withColumn("pos", F.col("_i") - 1).drop("_i"))  # read three times
     d = F.least(F.lit(1.0) - F.lit(1.0) / (F.col("pos") + 1), F.lit(decay)) if ramp else F.lit(decay)
     d = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(d)
     maps = ranked.select(*by, "pos", d.alias("a"), ((1 - d) * F.col(col)).alias("b"))

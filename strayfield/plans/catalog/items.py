@@ -359,7 +359,7 @@ _CORESET = """with recursive pts as ({pts}),
     ),
 )
 def _(t):
-    return sp.greedy_coreset(t.query_vec, 0.1, look=64)
+    return sp.greedy_coreset(t.query_vec, 0.1, look=256)
 
 
 @query(
@@ -371,7 +371,7 @@ def _(t):
     ),
 )
 def _(t):
-    return sp.approx_coreset(t.query_vec, 0.1, 10, 6, look=64)
+    return sp.approx_coreset(t.query_vec, 0.1, 10, 6, look=256)
 
 
 @query(

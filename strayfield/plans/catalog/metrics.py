@@ -49,7 +49,7 @@ _AUROC_TAIL = f"select round({_AREA}, 6) auroc from crv"
 def _(t):
     scored = nn.knn_score(t.query_vec, t.bank_vec, 4).withColumnRenamed("query_id", "vec_id")
     images = m.rollup_instances(scored.join(t.query_vec.drop("vec"), "vec_id"))
-    return rounded(m.curve(images).agg(m._AREA.alias("auroc"), F.count(F.lit(1)).alias("thresholds")))
+    return rounded(m.curve(images).agg(m._area().alias("auroc"), F.count(F.lit(1)).alias("thresholds")))
 
 
 @query("f1_image_score", "select image_id, max(score) score from score_px group by 1")
