@@ -165,11 +165,17 @@ def block_join(
     block_rows: int = BLOCK_ROWS,
     query_rows: int = BLOCK_ROWS,
     cell: str = "cell",
+    few_cells: bool = True,
 ) -> DataFrame:
-    """Run ``kernel(visitors, block)`` on every (block, chunk) of every cell that has both."""
+    """Run ``kernel(visitors, block)`` on every (block, chunk) of every cell that has both.
+
+    Pivot cells number at most ``MAX_PIVOTS``, so their sizes are broadcast; pass ``few_cells=False`` when the
+    cells are groups of the data.
+    """
     blocks = bank.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_nb"))
     chunks = visits.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(query_rows)).cast("int").alias("_nc"))
     sizes = blocks.join(chunks, cell)
+    sizes = F.broadcast(sizes) if few_cells else sizes
     q = (
         visits.join(sizes, cell)
         .withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.col("_nc")).cast("int"))

@@ -152,6 +152,8 @@ def ann(
 ) -> DataFrame:
     """Approximate kNN with inverted lists: k-means lists, and each query searches its ``probes`` nearest ones."""
     q, b = _sides(query, bank, query_id, bank_id, vec, vec)
+    if lists > B.MAX_PIVOTS:
+        raise ValueError(f"at most {B.MAX_PIVOTS} lists")
     model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="f", predictionCol="cell").fit(
         b.select(array_to_vector(F.col("vec").cast("array<double>")).alias("f"))
     )
@@ -190,7 +192,7 @@ def self_score(
     )
     visits = attach(rows.withColumnRenamed("bank_id", "query_id"), k, ["cell"])
     schema = f"query_id {_type(df, item)}, bank_id {_type(df, item)}, distance double"
-    partial = B.block_join(visits, rows, _nearest_kernel(metric, 1.5, None), schema, block_rows, block_rows)
+    partial = B.block_join(visits, rows, _nearest_kernel(metric, 1.5, None), schema, block_rows, block_rows, few_cells=False)
     ks = visits.select("query_id", F.col("cell").alias(group), "k")
     w = W.partitionBy("query_id").orderBy("distance", "bank_id")
     ranked = partial.withColumn("rn", F.row_number().over(w)).join(ks, "query_id").where(F.col("rn") <= F.col("k"))

@@ -222,8 +222,9 @@ def rotate_maps(px: DataFrame, h: int, w: int, keys: Sequence[str] = ("image_id"
         .distinct()
         .withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1))))
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
-        .withColumn("_sy", c * (F.col("y") - cy) + s * (F.col("x") - cx) + cy)
-        .withColumn("_sx", -s * (F.col("y") - cy) + c * (F.col("x") - cx) + cx)
+        # rounded, so that quarter turns hit the cells on the rim
+        .withColumn("_sy", F.round(c * (F.col("y") - cy) + s * (F.col("x") - cx) + cy, 9))
+        .withColumn("_sx", F.round(-s * (F.col("y") - cy) + c * (F.col("x") - cx) + cx, 9))
         .where(F.col("_sy").between(0, h - 1) & F.col("_sx").between(0, w - 1))
     )
     fy, fx = F.col("_sy") - F.floor("_sy"), F.col("_sx") - F.floor("_sx")

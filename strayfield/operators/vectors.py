@@ -211,7 +211,7 @@ def projection_score(hist: DataFrame, dens: DataFrame, bins: int, proj_dims: int
     ``low_mean`` averages the ``int(0.1 * proj_dims)`` lowest projections, at least one.
     """
     model = _projections(dens, bins, proj_dims)
-    rows = bin_vectors(hist, by, bins).withColumn("proj", F.floor(F.col("dim") / proj_dims).cast("int")).join(model, "proj")
+    rows = bin_vectors(hist, by, bins).withColumn("proj", F.floor(F.col("dim") / proj_dims).cast("int")).join(F.broadcast(model), "proj")
     exponents = F.transform("model", lambda m: squared_distance(F.col("h"), m) * F.lit(-0.5))
     lse = bind(F.array_max("e"), lambda top: top + F.log(total(F.transform("e", lambda e: F.exp(e - top)))))
     log_density = lse - F.log(F.size("model").cast("double")) - F.lit(bins / 2.0 * float(np.log(2 * np.pi)))
@@ -235,7 +235,7 @@ def projection_kl(
     both Kullback-Leibler directions of the smoothed histograms instead.
     """
     model = bin_vectors(dens, [], bins, "density").withColumnRenamed("h", "t")
-    rows = bin_vectors(hist, by, bins).join(model, "dim")
+    rows = bin_vectors(hist, by, bins).join(F.broadcast(model), "dim")  # one row per projected dimension
 
     def one(x: Column, t: Column) -> Column:
         if symmetric:
