@@ -430,7 +430,8 @@ def _(t):
 # reference histogram of an image: mean of its 3 nearest images, and the closest other labels come from ref_id
 _NORMAL = f"""h as (select image_id, {_hist_sql()} hist, {_quad_sql()} quad from component_px group by 1),
   pr as (select a.image_id, b.image_id ref_id, b.hist, b.quad,
-    list_sum(list_transform(list_zip(a.hist, b.hist), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) d from h a join h b on a.image_id <> b.image_id),
+    list_sum(list_transform(list_zip(a.hist, b.hist), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) d from h a join h b on a.image_id <> b.image_id
+    join normal_image n on n.image_id = b.image_id),
   nn as (select *, row_number() over (partition by image_id order by d, ref_id) rn from pr qualify rn <= 3),
   rf as (select image_id, max(case when rn = 1 then ref_id end) ref_id,
     list_transform(range(5), lambda i: list_sum(list_transform(list(hist), lambda l: l[i + 1])) / 3) rh,
@@ -444,10 +445,11 @@ _NORMAL = f"""h as (select image_id, {_hist_sql()} hist, {_quad_sql()} quad from
 
 
 def _scores(t):
-    """Component scores of every image against the mean of its three nearest other images."""
+    """Component scores of every image against the mean of its three nearest other normal images."""
     hist = sm.label_histogram(t.component_px, 5)
     quad = sm.quadrant_histogram(t.component_px, 5, S, S).withColumnRenamed("hist", "quad")
-    hits = nn.knn(hist, hist, 4, query_id="image_id", bank_id="image_id", vec="hist").where("query_id <> bank_id")
+    normal = hist.join(t.normal_image, "image_id", "left_semi")
+    hits = nn.knn(hist, normal, 4, query_id="image_id", bank_id="image_id", vec="hist").where("query_id <> bank_id")
     w = F.row_number().over(rs.W.partitionBy("query_id").orderBy("distance", "bank_id"))  # four hits per image
     hits = hits.withColumn("rn", w).where("rn <= 3")
     both = hist.join(quad, "image_id")

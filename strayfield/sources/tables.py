@@ -22,12 +22,13 @@ VIEWS: dict[str, str] = {
         "select l_suppkey image_id, cast(l_partkey % 32 as int) y, cast(l_quantity as int) % 32 x, "
         "max(1 + l_linenumber % 5) label from lineitem group by 1, 2, 3"
     ),
-    # label map in which some images show one component in place of another
+    # label map in which the images of some suppliers show component 4 in place of component 3
     "component_px": (
         "select l_suppkey image_id, cast(l_partkey % 32 as int) y, cast(l_quantity as int) % 32 x, "
-        "max(1 + case when l_suppkey % 9 = l_linenumber % 5 then (l_linenumber + 1) % 5 else l_linenumber % 5 end) label "
-        "from lineitem group by 1, 2, 3"
+        "max(1 + case when s_acctbal < 1000 and l_linenumber % 5 = 2 then 3 else l_linenumber % 5 end) label "
+        "from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2, 3"
     ),
+    "normal_image": "select s_suppkey image_id from supplier where s_acctbal >= 1000",
     "mask_px": (
         "select distinct l_suppkey image_id, l_linenumber mask_id, cast(l_partkey % 32 as int) y, "
         "cast(l_quantity as int) % 32 x from lineitem"

@@ -14,7 +14,7 @@ from strayfield.streaming import ops as so
 
 
 def test_manifest_of_a_tree(spark, tmp_path):
-    for name in ("candle/train/good/001_0.png", "candle/test/good/002_1.png", "candle/test/bad/003_2.png"):
+    for name in ("gear/train/good/001_0.png", "gear/test/good/002_1.png", "gear/test/bad/003_2.png"):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(b"x")
@@ -24,7 +24,7 @@ def test_manifest_of_a_tree(spark, tmp_path):
         "002": ("test", "good", 1, 0),
         "003": ("test", "bad", 2, 1),
     }
-    assert rows["003"]["mask_path"] == f"{tmp_path}/candle/ground_truth/bad/003_mask.png"
+    assert rows["003"]["mask_path"] == f"{tmp_path}/gear/ground_truth/bad/003_mask.png"
     assert rows["001"]["mask_path"] is None
 
 
