@@ -50,7 +50,7 @@ def adaptive_pool(v: str | Column, bins: int) -> Column:
 
 def standardize(v: str | Column, mean: str | Column, std: str | Column) -> Column:
     centred = F.zip_with(doubles(v), doubles(mean), lambda x, m: x - m)
-    return F.zip_with(centred, doubles(std), lambda x, s: x / s)
+    return F.zip_with(centred, doubles(std), lambda x, s: x / F.nullif(s, F.lit(0.0)))
 
 
 def destandardize(v: str | Column, mean: str | Column, std: str | Column) -> Column:
@@ -85,7 +85,7 @@ def squared_distance(a: str | Column, b: str | Column) -> Column:
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
 def mean_squared_difference(a: str | Column, b: str | Column) -> Column:

@@ -30,7 +30,7 @@ def curve(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Se
 
 def roc_curve(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
     return curve(df, score, label, by).select(
-        *by, "threshold", (F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr")
+        *by, "threshold", (F.col("fp") / F.nullif("n", F.lit(0))).alias("fpr"), (F.col("tp") / F.nullif("p", F.lit(0))).alias("tpr")
     )
 
 
@@ -39,7 +39,7 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "is_anomaly", by:
         *by,
         "threshold",
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / F.col("p")).alias("recall"),
+        (F.col("tp") / F.nullif("p", F.lit(0))).alias("recall"),
     )
 
 
@@ -58,7 +58,7 @@ def _previous_precision() -> Column:
 
 
 def _average_precision() -> Column:
-    return F.sum(F.col("pos") * _precision()) / F.max("p")
+    return F.sum(F.col("pos") * _precision()) / F.nullif(F.max("p"), F.lit(0))
 
 
 def _best() -> Column:
@@ -77,7 +77,7 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "is_anom
 
 def auc_pr(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
     """Trapezoid area under the precision-recall curve, starting at recall 0 and precision 1."""
-    area = F.sum(F.col("pos") * (_precision() + _previous_precision()) / 2) / F.max("p")
+    area = F.sum(F.col("pos") * (_precision() + _previous_precision()) / 2) / F.nullif(F.max("p"), F.lit(0))
     return curve(df, score, label, by).groupBy(*by).agg(area.alias("auc_pr"))
 
 

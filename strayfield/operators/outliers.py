@@ -294,7 +294,7 @@ def _strongest(centres: DataFrame, bw: float, block_rows: int) -> DataFrame:
 def refine_by_area(df: DataFrame, t: float = 0.2, area: str = "area", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Inliers whose area is off the inlier mean by more than ``t`` of it become outliers."""
     mean = df.where(F.col(label) == 0).groupBy(*by).agg(F.avg(area).alias("_mu"))
-    off = F.abs(F.col(area) - F.col("_mu")) / F.col("_mu") > t
+    off = F.abs(F.col(area) - F.col("_mu")) / F.nullif("_mu", F.lit(0.0)) > t
     return attach(df, mean, by, "left").withColumn(label, F.when((F.col(label) == 0) & off, 1).otherwise(F.col(label))).drop("_mu")
 
 
@@ -311,7 +311,7 @@ def debris(df: DataFrame, t: float = 0.25, batch: str = "batch", item: str = "ve
     """Distance sum of every item within its batch, scaled to unit length over the batch, and the flag above ``t``."""
     sums = pairwise(df, batch, item, vec).select(batch, item, F.aggregate("distances", F.lit(0.0), lambda a, x: a + x).alias("s"))
     length = sums.groupBy(batch).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("_len"))
-    share = F.col("s") / F.col("_len")
+    share = F.col("s") / F.nullif("_len", F.lit(0.0))
     return attach(sums, length, [batch]).select(batch, item, share.alias("share"), (share > t).cast("int").alias("debris"))
 
 

@@ -411,7 +411,7 @@ def pro_curve(score_px: DataFrame, h: int, w: int, steps: int = 200, score: str
     """
     span = score_px.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     # thresholds lo + i * delta; a pixel is predicted at threshold i when its score exceeds it
-    above = F.least(F.ceil((F.col("s") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / steps)), F.lit(steps)).cast("int")
+    above = F.least(F.ceil((F.col("s") - F.col("_lo")) / F.nullif((F.col("_hi") - F.col("_lo")) / steps, F.lit(0.0))), F.lit(steps)).cast("int")
     regions = cut_lineage(components(score_px.where(F.col(gt) == 1), h, w, 8))  # read twice below
     area = component_stats(regions).select("image_id", "component", "area")
     grown = max_filter(score_px.select(*PX, F.col(score).cast("double").alias("s")), 5, h, w, "s")
@@ -446,5 +446,5 @@ def pro_score(score_px: DataFrame, h: int, w: int, steps: int = 200, limit: floa
         F.lag("fpr").over(order).alias("fpr0"),
         F.lag("pro").over(order).alias("pro0"),
     )
-    step = (F.col("fpr") - F.col("fpr0")) / F.col("top") * (F.col("pro") + F.col("pro0")) / 2
+    step = (F.col("fpr") - F.col("fpr0")) / F.nullif("top", F.lit(0.0)) * (F.col("pro") + F.col("pro0")) / 2
     return pts.agg(F.sum(step).alias("pro_auc"))

@@ -87,7 +87,7 @@ def rotations(df: DataFrame, interval: int) -> DataFrame:
 def weighted_sample(df: DataFrame, weight: str, k: int, seed: int, item: str, by: Sequence[str] = (), power: float = 0.5) -> DataFrame:
     """k rows per group without replacement, chance proportional to ``weight ** power`` at every draw."""
     u = hash_unit(seed, *by, item)
-    keyed = df.withColumn("_key", -F.log(F.greatest(u, F.lit(1e-300))) / F.pow(F.col(weight), F.lit(power)))
+    keyed = df.withColumn("_key", F.coalesce(-F.log(F.greatest(u, F.lit(1e-300))) / F.nullif(F.pow(F.col(weight), F.lit(power)), F.lit(0.0)), F.lit(float("inf"))))
     return top_per_key(keyed, by, [F.col("_key"), F.col(item)], k).drop("_key")
 
 

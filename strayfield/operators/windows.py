@@ -26,7 +26,7 @@ def moving_avg(df: DataFrame, col: str, order: Sequence[str], n: int = 20, by: S
 def running_avg(df: DataFrame, col: str, order: Sequence[str], weight: str | Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     w = F.lit(1.0) if weight is None else as_col(weight).cast("double")
     out = running(df, order, {"_sum": F.col(col) * w, "_weight": w}, by=by)
-    return out.withColumn("running_avg", F.col("_sum") / F.col("_weight")).drop("_sum", "_weight")
+    return out.withColumn("running_avg", F.col("_sum") / F.nullif("_weight", F.lit(0.0))).drop("_sum", "_weight")
 
 
 def running_best(df: DataFrame, col: str, order: str, by: Sequence[str] = ()) -> DataFrame:

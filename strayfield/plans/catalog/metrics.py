@@ -22,7 +22,7 @@ crv as (
     sum(pos) over (partition by grp)::double p, sum(neg) over (partition by grp)::double n from cnt)"""
 
 _AREA = "sum(neg * (tp - pos / 2)) / nullif(max(p) * max(n), 0)"
-_AP = "sum(pos * tp / (tp + fp)) / max(p)"
+_AP = "sum(pos * tp / (tp + fp)) / nullif(max(p), 0)"
 _F1 = "2.0::double * tp / (tp + fp + p)"
 
 
