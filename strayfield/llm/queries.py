@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strayfield.llm import exact_dedup, html_extract, license_scan, mixing, packing, quality, sharding, url_filter
+from strayfield.llm import exact_dedup, html_extract, license_scan, minhash, mixing, packing, quality, sharding, url_filter
 from strayfield.session import configure
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -56,6 +56,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents").select("doc_id", "text")).drop("text", "line_chars", "kept_chars")
 
 
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.labelled(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
 
@@ -90,6 +94,18 @@ select page_id, host, path, rule, coalesce(v, 'allow') verdict from fit where i
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) s from documents)
 select doc_id, min(doc_id) over w keep_id, count(*) over w group_size, doc_id = min(doc_id) over w kept, s text_sha256
 from d window w as (partition by s)""",
+    "op9_minhash": rf"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as materialized (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) n from s group by 1),
+link as materialized (
+  select a.doc_id x, b.doc_id y from s a join s b on a.s = b.s and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  group by 1, 2, na.n, nb.n having 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+reach as (select doc_id x, doc_id y from documents union select r.x, l.y from reach r join link l on l.x = r.y),
+c as (select x doc_id, min(y) component_id from reach group by 1)
+select c.doc_id, coalesce(n, 0) n_shingles, component_id, c.doc_id = component_id kept from c left join n on n.doc_id = c.doc_id""",
     "op8_quality_rules": rf"""
 with d as (
   select doc_id, coalesce(text, '') t, {_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls from documents),
