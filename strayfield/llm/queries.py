@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strayfield.llm import exact_dedup, html_extract, license_scan, minhash, mixing, packing, quality, sharding, url_filter
+from strayfield.llm import exact_dedup, html_extract, license_scan, minhash, mixing, packing, quality, sharding, suffix_dedup, url_filter
 from strayfield.session import configure
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -52,6 +52,10 @@ def op6_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extracted(_table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.removed(_table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents").select("doc_id", "text")).drop("text", "line_chars", "kept_chars")
 
