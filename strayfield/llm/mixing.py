@@ -28,7 +28,7 @@ SHARDS = 16
 WEIGHTS = (1, 2, 3)
 PASSES = 3  # a document is taken at most so often
 BLOCK_WORDS = 4096  # most words of a block
-BLOCKS = 1024  # a source has so many blocks at least, if it has as many words
+BLOCKS = 256  # a source and its target have so many blocks at least, if they have as many words
 ROUNDS = 24  # of the keyed bijection
 NO_LONGS = "array<bigint>"
 
@@ -59,10 +59,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
 def quotas(sources: DataFrame) -> DataFrame:
     """Adds ``block`` (words of a block), ``blocks`` of the source, and ``quota``: how many the mixture draws."""
     size = F.col("source_size")
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(size / BLOCKS))).cast("long")
-    return sources.withColumn("block", block).withColumns(
-        {"blocks": F.ceil(size / F.col("block")).cast("long"), "quota": F.floor(F.col("target") / F.col("block") + 0.5).cast("long")}
-    )
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.least(size, F.col("target")) / BLOCKS))).cast("long")
+    blocks = sources.withColumn("block", block).withColumn("blocks", F.ceil(size / F.col("block")).cast("long"))
+    share = F.coalesce(F.try_divide("target", size), F.lit(0.0))  # of the source; the last block may be short, so blocks are drawn in proportion
+    return blocks.withColumn("quota", F.floor(share * F.col("blocks") + 0.5).cast("long"))
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
