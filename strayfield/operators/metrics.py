@@ -44,7 +44,8 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "is_anomaly", by:
 
 
 def _area() -> Column:
-    return F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / F.nullif(F.max("p") * F.max("n"), F.lit(0))
+    pairs = F.max("p").cast("double") * F.max("n").cast("double")  # beyond a long's range at some 3e9 rows of each class
+    return F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2)) / F.nullif(pairs, F.lit(0.0))
 
 
 def _precision() -> Column:

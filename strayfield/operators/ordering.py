@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from strayfield.session import parallelism
 
-SAMPLE_GROUPS = 2048  # rows the driver sees when it picks cut points
+SLICE_ROWS = 1 << 20  # rows of a slice, about
+PER_SLICE = 64  # sampled keys for each slice: slices then differ by an eighth of their size, typically
 
 
 def as_col(c: str | Column) -> Column:
@@ -41,16 +42,16 @@ def _sort_key(df: DataFrame, cols: Sequence[str | Column]) -> list[Column]:
 
 
 def cut_points(df: DataFrame, keys: list[Column], slices: int) -> list[tuple]:
-    """``slices - 1`` cut points of the order ``keys``, from one bounded hash sample.
+    """``slices - 1`` cut points of the order ``keys``, from a hash sample of ``PER_SLICE`` rows per slice.
 
-    Rows fall into ``SAMPLE_GROUPS`` hash groups and every group contributes its smallest hash: a uniform
-    sample that is combined map-side, repeatable, and independent of the number of rows.
+    Rows fall into hash groups and every group contributes its smallest hash: a uniform sample that is combined
+    map-side and repeatable. The driver sees a fixed number of keys per slice, as in any range partitioning.
     """
     names = [f"k{i}" for i in range(len(keys))]
     sample = (
         df.select(*keys)
         .withColumn("h", F.xxhash64(*names))
-        .groupBy(F.pmod("h", F.lit(SAMPLE_GROUPS)).alias("g"))
+        .groupBy(F.pmod("h", F.lit(PER_SLICE * slices)).alias("g"))
         .agg(*[F.min_by(n, "h").alias(n) for n in names])
         .orderBy(*names)
         .select(*names)
@@ -60,22 +61,13 @@ def cut_points(df: DataFrame, keys: list[Column], slices: int) -> list[tuple]:
     return [tuple(sample[i]) for i in picks if i < len(sample)]
 
 
-def slice_index(keys: list[Column], points: list[tuple], schema: T.StructType) -> Column:
-    """Number of cut points at or before the row: a binary search over one literal array."""
-    if not points:
-        return F.lit(0)
+def slice_index(bounds: Column, n: int, keys: list[Column]) -> Column:
+    """Number of the ``n`` sorted ``bounds`` at or before the row, by binary search."""
     row = F.struct(*keys)
-    bounds = F.array(
-        *[
-            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(p, schema.fields)])
-            for p in points
-        ]
-    )
     step, steps = 1, []
-    while step <= len(points):
+    while step <= n:
         steps.append(step)
         step *= 2
-    n = len(points)
     return F.aggregate(
         F.array(*[F.lit(s) for s in reversed(steps)]),
         F.lit(0),
@@ -94,25 +86,38 @@ def with_slice(
     """Add a slice number that never decreases along ``order`` within ``by``.
 
     Groups may follow each other in any order, so a hash stands for ``by``. ``sample`` is a cheaper table
-    with the same key columns to take the cut points from; any cut points give a right result.
+    with the same key columns to take the cut points from; any cut points give a right result. The number of
+    slices follows the number of rows. Rows that tie on the whole order are told apart by a hash of the row, so
+    that a value held by a third of all rows is spread over slices as well; their order is free anyway.
     """
-    slices = slices or max(8, min(1024, 2 * parallelism(df.sparkSession)))
+    slices = slices or max(8, 2 * parallelism(df.sparkSession), df.count() // SLICE_ROWS)
     group = [F.xxhash64(*by)] if by else []
-    keys = _sort_key(df, [*group, *order])
-    points = cut_points(df if sample is None else sample, keys, slices)
-    schema = df.select(*keys).schema
-    return df.withColumn(name, slice_index(keys, points, schema))
+    own = _sort_key(df, [*group, *order])
+    if sample is None:
+        simple = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        own.append(F.xxhash64(*[F.col(f"`{c}`") for c in simple]).alias(f"k{len(own)}"))
+    points = cut_points(df if sample is None else sample, own, slices)
+    if not points:
+        return df.withColumn(name, F.lit(0))
+    names = [f"k{i}" for i in range(len(own))]
+    table = df.sparkSession.createDataFrame(points, T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, df.select(*own).schema.fields)]))
+    bounds = table.select(F.array_sort(F.collect_list(F.struct(*names)))).scalar()  # kept out of the plan
+    marked = df.withColumn("_bounds", bounds)
+    return marked.withColumn(name, slice_index(F.col("_bounds"), len(points), own)).drop("_bounds")
 
 
+def null_safe_join(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the keys come from ``df``."""
+    renamed = other.select(*[F.col(f"`{k}`").alias(f"_r_{k}") for k in keys], *[F.col(f"`{c}`") for c in other.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`"))
+    return df.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def carry_join(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach one row per (key, slice) to its rows; AQE broadcasts it when it proves small at run time."""
-    renamed = carried.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in carried.columns if c not in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return df.join(renamed, cond, "inner").drop(*[f"_r_{k}" for k in keys])
+    return null_safe_join(df, carried, keys)
 
 
 def row_index(
@@ -149,14 +154,14 @@ def group_size(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Join one-row-per-key ``stats`` onto ``df``.
 
-    Nothing is hinted: AQE measures ``stats`` and broadcasts it below the threshold, else runs a sort-merge
+    A NULL key is a key like any other. Nothing is hinted: AQE measures ``stats`` and broadcasts it below the threshold, else runs a sort-merge
     join whose skewed partitions it splits. Without keys the stats are one row, read as scalar subqueries.
     """
     by = list(by)
     if not by:
         row = stats.select(F.struct(*stats.columns)).scalar()  # one subquery, however many columns
         return df.select("*", *[row[c].alias(c) for c in stats.columns])
-    return df.join(stats, by, how)
+    return null_safe_join(df, stats, by, how)
 
 
 def running(
@@ -217,8 +222,7 @@ def framed(
     Rows are numbered, cut into chunks of ``chunk`` rows, and the last ``width - 1`` rows of a chunk are
     copied into the next one, so every frame is complete inside its chunk.
     """
-    if width > chunk:
-        raise ValueError("frame wider than a chunk")
+    chunk = max(chunk, 2 * width)
     by = list(by)
     ranked = row_index(df, order, by, "_rn")
     at = F.floor((F.col("_rn") - 1) / F.lit(chunk)).cast("long")

@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strayfield.operators.ordering import as_col, framed, row_index, running, top_per_key
+from strayfield.operators.ordering import as_col, framed, null_safe_join, row_index, running, top_per_key
 from strayfield.session import cut_lineage
 
 CHUNK = 1 << 14
+FAN = 64  # chunk tables that one task composes
 
 
 def topk(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -69,12 +70,12 @@ def _affine_scan(df: DataFrame, by: list[str], rows: int, chunk: int) -> DataFra
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        a, b = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
-        pa, pb, ca, cb = np.empty(len(a)), np.empty(len(a)), 1.0, 0.0
-        for i in range(len(a)):
-            ca, cb = ca * a[i], a[i] * cb + b[i]
-            pa[i], pb[i] = ca, cb
-        return pdf[[*by, "_chunk", "pos"]].assign(_a=pa, _b=pb)
+        a, b = pdf["a"].to_numpy(float).copy(), pdf["b"].to_numpy(float).copy()
+        step = 1
+        while step < len(a):  # each pass composes twice as many maps
+            a[step:], b[step:] = a[step:] * a[:-step], a[step:] * b[:-step] + b[step:]
+            step *= 2
+        return pdf[[*by, "_chunk", "pos"]].assign(_a=a, _b=b)
 
     local = chunked.groupBy(*by, "_chunk").applyInPandas(scan, schema)
     if rows <= chunk:
@@ -84,7 +85,7 @@ def _affine_scan(df: DataFrame, by: list[str], rows: int, chunk: int) -> DataFra
     carried = _affine_scan(totals, by, -(-rows // chunk), chunk).select(
         *by, (F.col("pos") + 1).alias("_chunk"), F.col("value").alias("_carry")
     )
-    joined = local.join(carried, [*by, "_chunk"], "left")
+    joined = null_safe_join(local, carried, [*by, "_chunk"], "left")
     return joined.select(*by, "pos", (F.col("_b") + F.col("_a") * F.coalesce("_carry", F.lit(0.0))).alias("value"))
 
 
@@ -103,7 +104,14 @@ def ema(
     maps = ranked.select(*by, "pos", d.alias("a"), ((1 - d) * F.col(col)).alias("b"))
     rows = maps.agg(F.max("pos")).first()[0]
     values = _affine_scan(maps, by, (rows if rows is not None else -1) + 1, chunk)
-    return ranked.join(values.withColumnRenamed("value", "ema"), [*by, "pos"]).drop("pos")
+    return null_safe_join(ranked, values.withColumnRenamed("value", "ema"), [*by, "pos"]).drop("pos")
+
+
+def _closings(counts: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running counts from 0, and for each row the row that closes the batch that starts behind it (past the end: none)."""
+    total = np.r_[0, np.cumsum(counts)]
+    after = np.searchsorted(total[1:], total[1:] + threshold)
+    return total, np.r_[np.maximum(after, np.arange(1, len(counts) + 1)), len(counts)]
 
 
 def greedy_batches(
@@ -112,46 +120,69 @@ def greedy_batches(
     """Fill a batch row by row until its count reaches ``threshold``, then start the next one (``batch``, from 0).
 
     The running count is a small state (0..threshold-1). Each chunk is summarised as a table "state in ->
-    (state out, batches closed)", the tables are chained per key, and chunks then replay from their true state.
+    (state out, batches closed)". Tables compose, so they are chained in levels of ``FAN`` chunks, and chunks then
+    replay from their true state. Inside a chunk, the row that closes a batch follows from running counts by search.
+    Counts are not negative.
     """
     by, columns = list(by), list(df.columns)
-    ranked = row_index(df, [order], by, "_i")
+    ranked = cut_lineage(row_index(df, [order], by, "_i"))
     chunked = ranked.withColumn("_chunk", F.floor((F.col("_i") - 1) / F.lit(chunk)).cast("long"))
     types = {f.name: f.dataType.simpleString() for f in chunked.schema.fields}
     keys = ", ".join(f"{c} {types[c]}" for c in [*by, "_chunk"])
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, closed = np.arange(threshold), np.zeros(threshold, dtype=np.int64)
-        for c in pdf.sort_values("_i")[count].to_numpy():
-            state = state + int(c)
-            full = state >= threshold
-            closed += full
-            state = np.where(full, 0, state)
-        return pdf[[*by, "_chunk"]].head(1).assign(out=[state.astype(np.int64)], closed=[closed])
+        counts = pdf.sort_values("_i")[count].to_numpy(np.int64)
+        n, (total, then) = len(counts), _closings(counts, threshold)
+        closed, last, jump = (then < n).astype(np.int64), np.where(then < n, then, np.arange(n + 1)), then
+        while (jump < n).any():  # pointers double: batches closed after a row, and the last row that closes one
+            closed, last, jump = closed + closed[jump], last[last], jump[jump]
+        first = np.searchsorted(total[1:], threshold - np.arange(threshold))
+        some = first < n
+        at = np.minimum(first, n)
+        out = np.where(some, total[n] - total[np.minimum(last[at] + 1, n)], np.arange(threshold) + total[n])
+        return pdf[[*by, "_chunk"]].head(1).assign(out=[out.astype(np.int64)], closed=[np.where(some, closed[at] + 1, 0).astype(np.int64)])
+
+    tables = cut_lineage(chunked.groupBy(*by, "_chunk").applyInPandas(summarise, f"{keys}, out array<long>, closed array<long>"))
+    starts = _chain(tables, by, keys, tables.agg(F.max("_chunk")).first()[0] or 0)
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        counts, state = pdf[count].to_numpy(np.int64), int(pdf["_state"].iloc[0])
+        total, then = _closings(counts, threshold)
+        closes, at = np.zeros(len(counts) + 1, np.int64), int(np.searchsorted(total[1:], threshold - state))
+        while at < len(counts):  # one step per batch
+            closes[at + 1] = 1
+            at = int(then[at])
+        return pdf[columns].assign(batch=int(pdf["_batch"].iloc[0]) + np.cumsum(closes)[:-1])
+
+    schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", batch long"
+    return null_safe_join(chunked, starts, [*by, "_chunk"]).groupBy(*by, "_chunk").applyInPandas(replay, schema)
+
 
-    tables = chunked.groupBy(*by, "_chunk").applyInPandas(summarise, f"{keys}, out array<long>, closed array<long>")
+def _chain(tables: DataFrame, by: list[str], keys: str, last: int) -> DataFrame:
+    """``_state`` and ``_batch`` at the start of each chunk. A task composes ``FAN`` tables; their products are chained
+    the same way, one level up, and carried back in."""
+    up = tables.withColumn("_up", F.floor(F.col("_chunk") / FAN).cast("long"))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
-        state, batch, starts = 0, 0, []
+        out, closed = np.arange(len(pdf["out"].iloc[0])), np.zeros(len(pdf["out"].iloc[0]), np.int64)
+        for o, c in zip(pdf["out"], pdf["closed"]):
+            out, closed = np.asarray(o)[out], closed + np.asarray(c)[out]
+        return pdf[[*by]].head(1).assign(_chunk=pdf["_up"].iloc[0], out=[out], closed=[closed])
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk")
+        state, batch, starts = int(pdf["_state"].iloc[0]), int(pdf["_batch"].iloc[0]), []
         for out, closed in zip(pdf["out"], pdf["closed"]):
             starts.append((state, batch))
             state, batch = int(out[state]), batch + int(closed[state])
         return pdf[[*by, "_chunk"]].assign(_state=[s for s, _ in starts], _batch=[b for _, b in starts])
 
-    # one small row per chunk of 16k rows
-    grouped = tables.groupBy(*by) if by else tables.groupBy(F.lit(0).alias("_all"))
-    starts = grouped.applyInPandas(chain, f"{keys}, _state long, _batch long")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        state, batch, out = int(pdf["_state"].iloc[0]), int(pdf["_batch"].iloc[0]), []
-        for c in pdf[count].to_numpy():
-            out.append(batch)
-            state += int(c)
-            if state >= threshold:
-                state, batch = 0, batch + 1
-        return pdf[columns].assign(batch=out)
-
-    schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", batch long"
-    return chunked.join(starts, [*by, "_chunk"]).groupBy(*by, "_chunk").applyInPandas(replay, schema)
+    if last < FAN:
+        begun = up.withColumns({"_state": F.lit(0).cast("long"), "_batch": F.lit(0).cast("long")})
+    else:
+        higher = up.groupBy(*by, "_up").applyInPandas(compose, f"{keys}, out array<long>, closed array<long>")
+        above = _chain(cut_lineage(higher), by, keys, last // FAN).withColumnRenamed("_chunk", "_up")
+        begun = null_safe_join(up, above, [*by, "_up"])
+    return begun.groupBy(*by, "_up").applyInPandas(deal, f"{keys}, _state long, _batch long")
