@@ -8,6 +8,7 @@ task. A cell of any size is therefore spread over many tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame, functions as F
 from strayfield.session import cut_lineage
 
 BLOCK_ROWS = 32768
-MAX_PIVOTS = 1024  # pivots live in every task: MAX_PIVOTS * dims doubles at most
 TILE = 4_000_000  # elements of one distance matrix held in memory
 
 
@@ -66,7 +66,7 @@ def as_metric_space(d: np.ndarray, metric: str, p: float = 1.5) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Cells:
-    """Pivots with the size and radius of their cells: at most ``MAX_PIVOTS`` entries."""
+    """Pivots with the size and radius of their cells: at most the square root of the bank's rows (``make_cells``)."""
 
     pivots: np.ndarray
     count: np.ndarray
@@ -77,13 +77,19 @@ class Cells:
     def to_pivots(self, q: np.ndarray) -> np.ndarray:
         return as_metric_space(np.maximum(distances(q, self.pivots, self.metric, self.p), 0.0), self.metric, self.p)
 
+    def strips(self, rows: int) -> Iterator[slice]:
+        """Row ranges whose distances to all pivots fit into one matrix of bounded size."""
+        step = max(1, TILE // max(1, len(self.pivots)))
+        return (slice(lo, lo + step) for lo in range(0, rows, step))
+
 
 def make_cells(
     bank: DataFrame, metric: str, p: float = 1.5, block_rows: int = BLOCK_ROWS, pivots: int | None = None
 ) -> tuple[DataFrame, Cells | None]:
-    """Add ``cell`` to ``bank(bank_id, vec)``. A bank that fits one block gets a single cell and no pivots."""
+    """Add ``cell`` to ``bank(bank_id, vec)``: a cell for each block of rows, up to the square root of the rows, so that
+    neither the pivots nor a cell outgrows the other. A bank that fits one block gets a single cell and no pivots."""
     rows = bank.count()
-    wanted = pivots or min(MAX_PIVOTS, -(-rows // block_rows))
+    wanted = pivots or min(math.isqrt(rows) + 1, -(-rows // block_rows))
     if wanted <= 1:
         return bank.withColumn("cell", F.lit(0).cast("long")), None
     every = max(1, rows // (4 * wanted))
@@ -100,10 +106,11 @@ def make_cells(
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                d = bare.to_pivots(matrix(pdf["vec"]))
+            for at in bare.strips(len(pdf)):
+                part = pdf.iloc[at]
+                d = bare.to_pivots(matrix(part["vec"]))
                 cell = d.argmin(1)
-                yield pdf.assign(cell=cell.astype(np.int64), pivot_distance=d[np.arange(len(d)), cell])
+                yield part.assign(cell=cell.astype(np.int64), pivot_distance=d[np.arange(len(d)), cell])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bank.schema.fields)
     placed = cut_lineage(bank.mapInPandas(assign, f"{kept}, cell long, pivot_distance double"))
@@ -121,9 +128,10 @@ def visit(queries: DataFrame, cells: Cells | None, reach: Callable[[np.ndarray,
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                row, cell = np.nonzero(reach(cells.to_pivots(matrix(pdf["vec"])), cells))
-                yield pdf.iloc[row].assign(cell=cell.astype(np.int64))
+            for at in cells.strips(len(pdf)):
+                part = pdf.iloc[at]
+                row, cell = np.nonzero(reach(cells.to_pivots(matrix(part["vec"])), cells))
+                yield part.iloc[row].assign(cell=cell.astype(np.int64))
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
     return queries.mapInPandas(choose, f"{kept}, cell long")
@@ -147,12 +155,16 @@ def radius_reach(eps: float) -> Callable[[np.ndarray, Cells], np.ndarray]:
     return lambda d, cells: (cells.count > 0)[None, :] & (d - cells.radius[None, :] <= eps * (1 + 1e-9) + 1e-9)
 
 
-def probe_reach(probes: int) -> Callable[[np.ndarray, Cells], np.ndarray]:
-    """The ``probes`` nearest cells only: the approximate search."""
+def probe_reach(probes: int, k: int) -> Callable[[np.ndarray, Cells], np.ndarray]:
+    """The approximate search: the ``probes`` nearest cells, and more where these hold fewer than ``k`` rows."""
 
     def reach(d: np.ndarray, cells: Cells) -> np.ndarray:
-        rank = np.where(cells.count[None, :] > 0, d, np.inf).argsort(1).argsort(1)
-        return (rank < probes) & (cells.count > 0)[None, :]
+        order = np.where(cells.count[None, :] > 0, d, np.inf).argsort(1)
+        held = cells.count[order]
+        wanted = (np.arange(d.shape[1])[None, :] < probes) | (np.cumsum(held, axis=1) - held < k)
+        out = np.zeros(d.shape, dtype=bool)
+        np.put_along_axis(out, order, wanted, 1)
+        return out & (cells.count > 0)[None, :]
 
     return reach
 
@@ -169,7 +181,7 @@ def block_join(
 ) -> DataFrame:
     """Run ``kernel(visitors, block)`` on every (block, chunk) of every cell that has both.
 
-    Pivot cells number at most ``MAX_PIVOTS``, so their sizes are broadcast; pass ``few_cells=False`` when the
+    Pivots already live in every task, so the sizes of their cells are broadcast; pass ``few_cells=False`` when the
     cells are groups of the data.
     """
     blocks = bank.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_nb"))

@@ -150,10 +150,9 @@ def ann(
     seed: int = 0,
     block_rows: int = B.BLOCK_ROWS,
 ) -> DataFrame:
-    """Approximate kNN with inverted lists: k-means lists, and each query searches its ``probes`` nearest ones."""
+    """Approximate kNN with inverted lists: k-means lists, and each query searches its ``probes`` nearest ones, or as many
+    more as it takes to see ``k`` rows."""
     q, b = _sides(query, bank, query_id, bank_id, vec, vec)
-    if lists > B.MAX_PIVOTS:
-        raise ValueError(f"at most {B.MAX_PIVOTS} lists")
     model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="f", predictionCol="cell").fit(
         b.select(array_to_vector(F.col("vec").cast("array<double>")).alias("f"))
     )
@@ -162,15 +161,15 @@ def ann(
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(cell=bare.to_pivots(B.matrix(pdf["vec"])).argmin(1).astype(np.int64))
+            for at in bare.strips(len(pdf)):
+                yield pdf.iloc[at].assign(cell=bare.to_pivots(B.matrix(pdf.iloc[at]["vec"])).argmin(1).astype(np.int64))
 
     schema = f"bank_id {_type(b, 'bank_id')}, vec {_type(b, 'vec')}, cell long"
     placed = cut_lineage(b.mapInPandas(assign, schema))
     count = np.zeros(len(centres))
     for r in placed.groupBy("cell").count().collect():
         count[r["cell"]] = r["count"]
-    visits = B.visit(q, B.Cells(centres, count, np.zeros(len(centres)), "l2sq", 2.0), B.probe_reach(probes))
+    visits = B.visit(q, B.Cells(centres, count, np.zeros(len(centres)), "l2sq", 2.0), B.probe_reach(probes, k))
     out = f"query_id {_type(q, 'query_id')}, bank_id {_type(b, 'bank_id')}, distance double"
     return _merge(B.block_join(visits, placed, _nearest_kernel("l2sq", 2.0, k), out, block_rows, block_rows), k)
 
@@ -199,25 +198,55 @@ def self_score(
     return ranked.groupBy("query_id", group, "k").agg(F.avg("distance").alias("score"))
 
 
-def pairwise(df: DataFrame, batch: str, item: str = "vec_id", vec: str = "vec", metric: str = "l2", limit: int = 4096) -> DataFrame:
+def _in_batches(df: DataFrame, batch: str, item: str, vec: str, kernel, schema: str, block_rows: int) -> DataFrame:
+    """Every item against its whole batch, block by block; a NULL batch is a batch like any other."""
+    cell = F.xxhash64(F.col(batch).isNull(), F.col(batch)).alias("cell")
+    rows = df.select(cell, F.col(item).alias("bank_id"), F.col(vec).alias("vec"))
+    visits = df.select(cell, F.col(item).alias("query_id"), F.col(batch).alias("batch"), F.col(vec).alias("vec"))
+    return B.block_join(visits, rows, kernel, schema, block_rows, block_rows, few_cells=False)
+
+
+def _block_distances(q: pd.DataFrame, b: pd.DataFrame, metric: str) -> Iterator[np.ndarray]:
+    """Exact distances of each visitor to the rows of a block, one visitor at a time."""
+    m = B.matrix(b["vec"])
+    for row in B.matrix(q["vec"]):
+        d = B.paired(np.broadcast_to(row, m.shape), m, "l2sq" if metric == "l2" else metric)
+        yield np.sqrt(np.maximum(d, 0.0)) if metric == "l2" else d
+
+
+def pairwise(
+    df: DataFrame, batch: str, item: str = "vec_id", vec: str = "vec", metric: str = "l2", block_rows: int = B.BLOCK_ROWS
+) -> DataFrame:
     """Distance matrix of every batch as one row per item, its distances ordered by item id.
 
-    Batches are the fixed-size ones of ``batch_id``; one above ``limit`` rows is refused, because a full
-    matrix of it could not be held by anyone.
+    Blocks of a batch give parts of a row in any task; a row of the matrix is all that has to fit together.
     """
-    power = "l2sq" if metric == "l2" else metric
-
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError(f"batch of {len(pdf)} rows exceeds {limit}")
-        pdf = pdf.sort_values(item)
-        m = B.matrix(pdf[vec])
-        d = np.stack([B.paired(np.broadcast_to(row, m.shape), m, power) for row in m])
-        d = np.sqrt(np.maximum(d, 0.0)) if metric == "l2" else d
-        return pd.DataFrame({batch: pdf[batch], item: pdf[item], "distances": list(d)})
-
-    schema = f"{batch} {_type(df, batch)}, {item} {_type(df, item)}, distances array<double>"
-    return df.select(batch, item, vec).groupBy(batch).applyInPandas(rows, schema)
+
+    def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or b.empty:
+            return pd.DataFrame({batch: q["batch"][:0], item: q["query_id"][:0], "ids": pd.Series([], dtype=object), "d": pd.Series([], dtype=object)})
+        ids = b["bank_id"].tolist()
+        return pd.DataFrame({batch: q["batch"], item: q["query_id"], "ids": [ids] * len(q), "d": list(_block_distances(q, b, metric))})
+
+    schema = f"{batch} {_type(df, batch)}, {item} {_type(df, item)}, ids array<{_type(df, item)}>, d array<double>"
+    parts = _in_batches(df, batch, item, vec, kernel, schema, block_rows)
+    pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("ids", "d"), lambda z: F.struct(z["ids"].alias("i"), z["d"].alias("d")))))
+    whole = parts.groupBy(batch, item).agg(F.array_sort(pairs).alias("p"))
+    return whole.select(batch, item, F.transform("p", lambda z: z["d"]).alias("distances"))
+
+
+def distance_sums(
+    df: DataFrame, batch: str, item: str = "vec_id", vec: str = "vec", metric: str = "l2", block_rows: int = B.BLOCK_ROWS
+) -> DataFrame:
+    """Sum ``s`` of every item's distances within its batch, added up block by block without a matrix."""
+
+    def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or b.empty:
+            return pd.DataFrame({batch: q["batch"][:0], item: q["query_id"][:0], "s": np.zeros(0)})
+        return pd.DataFrame({batch: q["batch"], item: q["query_id"], "s": [d.sum() for d in _block_distances(q, b, metric)]})
+
+    schema = f"{batch} {_type(df, batch)}, {item} {_type(df, item)}, s double"
+    return _in_batches(df, batch, item, vec, kernel, schema, block_rows).groupBy(batch, item).agg(F.sum("s").alias("s"))
 
 
 def nearest_point(a: DataFrame, b: DataFrame, a_id: str, b_id: str, coords: tuple[str, str] = ("x", "y")) -> DataFrame:

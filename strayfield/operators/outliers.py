@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from strayfield.functions.arrays import alignment_divergence, cosine
 from strayfield.operators import blocks as B
 from strayfield.operators.graph import connected_components
-from strayfield.operators.neighbours import knn, pairwise
+from strayfield.operators.neighbours import distance_sums, knn
 from strayfield.operators.ordering import attach, row_index
 from strayfield.operators.vectors import mean_vector
 from strayfield.session import cut_lineage
@@ -200,13 +200,14 @@ def mean_shift(
     bandwidth: float | None = None,
     item: str = "vec_id",
     vec: str = "vec",
-    max_iter: int = 300,
+    max_iter: int | None = None,
     block_rows: int = B.BLOCK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Flat-kernel mean shift: ``(item, label)`` and ``(label, centre, n)``, labels by descending ``n``.
 
     Every point is a seed. A step averages the points within the bandwidth of each seed; seeds that meet are
-    merged (at nine decimals), settled seeds leave the loop. Of the final centres, those within the
+    merged (at nine decimals), settled seeds leave the loop, which runs until all have; ``max_iter`` rounds without
+    that raise an error. Of the final centres, those within the
     bandwidth of a stronger kept one are dropped.
     """
     bw = estimate_bandwidth(df, 0.3, item, vec, block_rows) if bandwidth is None else float(bandwidth)
@@ -230,16 +231,18 @@ def mean_shift(
 
     active, settled = seeds(points), []
     placed, cells = B.make_cells(bank, "l2sq", block_rows=block_rows)
-    for step in range(max_iter):
+    while True:
         visits = B.visit(active, cells, B.radius_reach(bw))
         part = B.block_join(visits, placed, average, "query_id long, n long, s array<double>", block_rows, block_rows)
         summed = part.groupBy("query_id").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", i)) for i in range(dims)]).alias("s"))
         moved = active.join(summed.where("n > 0"), "query_id").withColumn("to", F.transform("s", lambda x: F.round(x / F.col("n"), 9)))
         gap = F.sqrt(F.aggregate(F.zip_with("vec", "to", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
         moved = cut_lineage(moved.select("to", "n", (gap <= 1e-3 * bw).alias("done")))
-        settled.append(moved.where("done" if step + 1 < max_iter else "true").select(F.col("to").alias("vec"), "n"))
+        settled.append(moved.where("done").select(F.col("to").alias("vec"), "n"))
         if moved.where("not done").isEmpty():
             break
+        if len(settled) == max_iter:
+            raise RuntimeError(f"mean shift has not settled in {max_iter} rounds")
         active = seeds(moved.where("not done").select(F.col("to").alias("vec")))
     centres = settled[0]
     for s in settled[1:]:
@@ -309,7 +312,7 @@ def refine_by_feature(
 
 def debris(df: DataFrame, t: float = 0.25, batch: str = "batch", item: str = "vec_id", vec: str = "vec") -> DataFrame:
     """Distance sum of every item within its batch, scaled to unit length over the batch, and the flag above ``t``."""
-    sums = pairwise(df, batch, item, vec).select(batch, item, F.aggregate("distances", F.lit(0.0), lambda a, x: a + x).alias("s"))
+    sums = distance_sums(df, batch, item, vec)
     length = sums.groupBy(batch).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("_len"))
     share = F.col("s") / F.nullif("_len", F.lit(0.0))
     return attach(sums, length, [batch]).select(batch, item, share.alias("share"), (share > t).cast("int").alias("debris"))
@@ -331,23 +334,26 @@ def iterative_outliers(
     step: float = 0.3,
     area: str = "area",
     refit: Callable[[DataFrame], DataFrame] | None = None,
-    max_rounds: int = 100,
 ) -> DataFrame:
     """Repeat the z-score rule on re-scaled areas with b = 2 - step * round until it finds nothing new.
 
     ``refit`` stands for the repair between rounds: it gets all rows with their ``label`` and returns the rows
-    of the next round. By default flagged rows leave. The last pass uses b = 2.
+    of the next round. By default flagged rows leave. The loop ends when no row, every row, or exactly the rows of the
+    round before are flagged. The last pass uses b = 2.
     """
     repair = refit or (lambda labelled: labelled.where("label = 0"))
-    rows, before = df, None
-    for round_no in range(1, max_rounds + 1):
+    rows, before, round_no = df, None, 0
+    while True:
+        round_no += 1
         labelled = zscore_outliers(scale_unit(rows, area, "_unit"), "_unit", 2.0 - step * round_no)
         labelled = cut_lineage(labelled.drop("_unit"))
         flagged = labelled.where("label = 1")
-        mark = (labelled.count(), flagged.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns) % 1_000_003)).first())
-        if flagged.isEmpty() or flagged.count() == mark[0] or mark == before:
+        found = flagged.count()
+        if found == 0 or found == labelled.count():
+            break
+        if before is not None and found == before.count() and flagged.exceptAll(before).isEmpty():
             break
-        before = mark
+        before = flagged
         rows = repair(labelled).select(*df.columns)
     return zscore_outliers(scale_unit(labelled.drop("label"), area, "_unit"), "_unit", 2.0).drop("_unit")
 

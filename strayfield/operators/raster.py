@@ -25,27 +25,28 @@ TILE = 1024
 # --- morphology -------------------------------------------------------------------------------------------
 
 
-def _radius(k: int) -> int:
-    if k % 2 == 0:
-        raise ValueError("kernel size must be odd")
-    return k // 2
+def _sides(k: int) -> tuple[int, int]:
+    """Cells of a k-wide kernel before and after its anchor, which is cell k // 2."""
+    return k // 2, k - 1 - k // 2
 
 
 def dilate(px: DataFrame, k: int, h: int, w: int, by: Sequence[str] = IMAGE) -> DataFrame:
     """k x k dilation, one axis after the other: 2k copies per pixel instead of k*k."""
-    r, out = _radius(k), px.select(*by, "y", "x")
+    (before, after), out = _sides(k), px.select(*by, "y", "x")
     for axis, n in (("x", w), ("y", h)):
-        reach = F.sequence(F.greatest(F.col(axis) - r, F.lit(0)), F.least(F.col(axis) + r, F.lit(n - 1)))
+        reach = F.sequence(F.greatest(F.col(axis) - after, F.lit(0)), F.least(F.col(axis) + before, F.lit(n - 1)))
         out = out.withColumn(axis, F.explode(reach)).select(*by, "y", "x").distinct()
     return out
 
 
 def erode(px: DataFrame, k: int, h: int, w: int, by: Sequence[str] = IMAGE) -> DataFrame:
     """k x k erosion; cells outside the raster count as set."""
-    r, out = _radius(k), px.select(*by, "y", "x")
+    (before, after), out = _sides(k), px.select(*by, "y", "x")
     for axis, n in (("x", w), ("y", h)):
-        lo, hi = F.greatest(F.col(axis) - r, F.lit(0)), F.least(F.col(axis) + r, F.lit(n - 1))
-        votes = out.withColumn(axis, F.explode(F.sequence(lo, hi))).groupBy(*by, "y", "x").agg(F.count(F.lit(1)).alias("_n"))
+        at = F.col(axis)
+        seen = F.sequence(F.greatest(at - after, F.lit(0)), F.least(at + before, F.lit(n - 1)))
+        votes = out.withColumn(axis, F.explode(seen)).groupBy(*by, "y", "x").agg(F.count(F.lit(1)).alias("_n"))
+        lo, hi = F.greatest(at - before, F.lit(0)), F.least(at + after, F.lit(n - 1))
         out = votes.where(F.col("_n") == hi - lo + 1).select(*by, "y", "x")
     return out
 
@@ -360,7 +361,7 @@ def tile_windows(images: DataFrame, s: float) -> DataFrame:
     """Sliding windows of ``images(image_id, h, w)``: size int(h*s), step size//10, then the last column of
     every row and the last corner, numbered as they are cut."""
     size = (F.col("h") * s).cast("int")
-    step = F.floor(F.col("size") / 10).cast("int")
+    step = F.greatest(F.floor(F.col("size") / 10), F.lit(1)).cast("int")  # small images: one cell at a time
     n_rows = F.greatest(F.ceil((F.col("h") - F.col("size")) / F.col("step")), F.lit(0)).cast("int")
     n_cols = F.greatest(F.ceil((F.col("w") - F.col("size")) / F.col("step")), F.lit(0)).cast("int")
     sized = (
@@ -396,9 +397,9 @@ def tile_windows(images: DataFrame, s: float) -> DataFrame:
 
 def max_filter(px: DataFrame, k: int, h: int, w: int, value: str = "score", by: Sequence[str] = IMAGE) -> DataFrame:
     """k x k maximum, one axis after the other; absent cells take no part."""
-    r, out = _radius(k), px.select(*by, "y", "x", value)
+    (before, after), out = _sides(k), px.select(*by, "y", "x", value)
     for axis, n in (("x", w), ("y", h)):
-        reach = F.sequence(F.greatest(F.col(axis) - r, F.lit(0)), F.least(F.col(axis) + r, F.lit(n - 1)))
+        reach = F.sequence(F.greatest(F.col(axis) - after, F.lit(0)), F.least(F.col(axis) + before, F.lit(n - 1)))
         out = out.withColumn(axis, F.explode(reach)).groupBy(*by, "y", "x").agg(F.max(value).alias(value))
     return out
 

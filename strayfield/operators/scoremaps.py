@@ -16,7 +16,7 @@ from strayfield.operators.raster import PX, complement
 # fixed values of the component score
 SMALL_COUNT, SMALL_STANDS_FOR = 50, 256.0 * 256.0
 WHOLE_THRESHOLD, QUADRANT_THRESHOLD = 0.4, 0.7
-QUADRANT_WEIGHT, NO_QUADRANT_CATEGORIES = 0.5, ("screw_bag", "breakfast_box")
+QUADRANT_WEIGHT = 0.5
 COMPONENT_WEIGHT = 0.15
 
 
@@ -89,15 +89,15 @@ def component_score(hist: str | Column, ref: str | Column, classes: int, patches
     )
 
 
-def component_map(px: DataFrame, refs_px: DataFrame, scores: DataFrame, category: str = "") -> DataFrame:
+def component_map(px: DataFrame, refs_px: DataFrame, scores: DataFrame, quadrant_weight: float = QUADRANT_WEIGHT) -> DataFrame:
     """Map of missing and surplus components.
 
     ``px(image_id, y, x, label)`` is the observed label map, ``refs_px(ref_id, y, x, label)`` those of the
     normal images, ``scores(image_id, ref_id, whole, quadrant)`` carries both component scores. A missing
     component is drawn where the reference has it and hides what was observed there; a surplus one where
-    it was observed. The quadrant pass draws on the reference only.
+    it was observed. The quadrant pass draws on the reference only; weight 0 leaves it out, for categories whose parts
+    may lie anywhere.
     """
-    weight = 0.0 if category in NO_QUADRANT_CATEGORIES else QUADRANT_WEIGHT
     whole = F.get("whole", F.col("label") - 1)
     quadrant = F.get("quadrant", F.col("label") - 1)
     normal = refs_px.where("label > 0").join(scores, "ref_id")
@@ -106,9 +106,9 @@ def component_map(px: DataFrame, refs_px: DataFrame, scores: DataFrame, category
     surplus = seen.where((whole["sign"] == 1) & (whole["score"] > WHOLE_THRESHOLD)).select(*PX, whole["score"].alias("score"))
     surplus = surplus.join(missing.select(*PX), list(PX), "left_anti")
     parts = missing.unionByName(surplus)
-    if weight:
+    if quadrant_weight:
         part = quadrant["score"]
-        parts = parts.unionByName(normal.where(part > QUADRANT_THRESHOLD).select(*PX, (part * F.lit(weight)).alias("score")))
+        parts = parts.unionByName(normal.where(part > QUADRANT_THRESHOLD).select(*PX, (part * F.lit(quadrant_weight)).alias("score")))
     return parts.groupBy(*PX).agg(F.sum("score").alias("score"))
 
 
