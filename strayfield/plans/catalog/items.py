@@ -1,5 +1,7 @@
 """Queries of the manifest, filter, sampling, window and set groups."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strayfield.operators import filters as fl
@@ -85,7 +87,7 @@ def _(t):
 
 @query("a7_bank_roundtrip", "select vec_id, label, len(vec) dims from bank_vec")
 def _(t):
-    folder = f"{shared_folder(t.spark)}/bank"
+    folder = f"{shared_folder(t.spark)}/bank-{uuid.uuid4().hex}"
     sk.save_bank(t.bank_vec, {"metric": "l2sq", "k": 3}, folder)
     bank, _params = sk.load_bank(t.spark, folder)
     return bank.select("vec_id", "label", F.size("vec").cast("long").alias("dims"))
@@ -105,7 +107,7 @@ def _(t):
 
 @query("a9_append_stats", "select event_type, count(*) n, 2 parts from events group by 1")
 def _(t):
-    folder = f"{shared_folder(t.spark)}/stats"
+    folder = f"{shared_folder(t.spark)}/stats-{uuid.uuid4().hex}"
     sk.reset_dir(t.spark, folder)
     stats = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     sk.append_stats(stats.withColumn("part", F.lit(1)), folder)
@@ -116,7 +118,7 @@ def _(t):
 
 @query("a11_save_reference", "select dataset, count(*) n, sum(score) total from image_score group by 1")
 def _(t):
-    folder = f"{shared_folder(t.spark)}/reference"
+    folder = f"{shared_folder(t.spark)}/reference-{uuid.uuid4().hex}"
     sk.save_reference(t.image_score, "scores", folder, "dataset")
     back = sk.load_reference(t.spark, "scores", folder)
     return back.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))

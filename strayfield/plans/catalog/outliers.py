@@ -205,10 +205,10 @@ def _(t):
 
 @query(
     "m3_embed",
-    "select vec_id, list_transform(vec[1:4], lambda v: round(v::double * 2 + 1, 6)) out from query_vec",
+    "select vec_id, list_transform(vec, lambda v: round(v::double * 2 + 1, 6)) out from query_vec",
 )
 def _(t):
-    out = pl.embed(t.query_vec.select("vec_id", "vec"), lambda m: m[:, :4].astype(np.float64) * 2 + 1, "vec", "out")
+    out = pl.embed(t.query_vec.select("vec_id", "vec"), lambda m: m.astype(np.float64) * 2 + 1, "vec", "out")
     return out.select("vec_id", F.transform("out", lambda x: F.round(x, 6)).alias("out"))
 
 

@@ -24,18 +24,17 @@ def _each(term: str, digits: int = 6) -> str:
 @query(
     "d1_patchify",
     """with o as (select * from (select unnest(range(3)) - 1 dy) a cross join (select unnest(range(3)) - 1 dx) b),
-    g as (select image_id, y, x, vec[1:8] v from grid_vec),
+    g as (select image_id, y, x, vec v from grid_vec),
     t as (select distinct image_id, g.y - o.dy y, g.x - o.dx x from g cross join o
       where g.y - o.dy between 0 and 3 and g.x - o.dx between 0 and 3),
     taps as (
-      select t.image_id, t.y, t.x, list(coalesce(g.v, list_transform(range(8), lambda i: 0::float)) order by o.dy, o.dx) l
+      select t.image_id, t.y, t.x, list(coalesce(g.v, list_transform(range(64), lambda i: 0::float)) order by o.dy, o.dx) l
       from t cross join o left join g on g.image_id = t.image_id and g.y = t.y + o.dy and g.x = t.x + o.dx group by 1, 2, 3)
     select image_id, cast(y as int) y, cast(x as int) x,
-      flatten(list_transform(range(8), lambda c: list_transform(l, lambda v: round(v[c + 1]::double, 6)))) vec from taps""",
+      flatten(list_transform(range(64), lambda c: list_transform(l, lambda v: round(v[c + 1]::double, 6)))) vec from taps""",
 )
 def _(t):
-    g = t.grid_vec.withColumn("vec", F.slice("vec", 1, 8))
-    return vx.patchify(g, 4, 4).select("image_id", "y", "x", rounded_list("vec"))
+    return vx.patchify(t.grid_vec, 4, 4).select("image_id", "y", "x", rounded_list("vec"))
 
 
 @query(
@@ -74,12 +73,12 @@ def _(t):
 
 @query(
     "d4_merge_layers",
-    """select image_id, y, x, list_concat(list_transform(vec[1:4], lambda v: round(v::double, 6)),
-      list_transform(vec[5:10], lambda v: round(v::double * 2, 6))) vec from grid_vec""",
+    """select image_id, y, x, list_concat(list_transform(vec[1:24], lambda v: round(v::double, 6)),
+      list_transform(vec[25:64], lambda v: round(v::double * 2, 6))) vec from grid_vec""",
 )
 def _(t):
-    low = t.grid_vec.withColumn("vec", ar.doubles(F.slice("vec", 1, 4)))
-    high = t.grid_vec.withColumn("vec", F.transform(F.slice("vec", 5, 6), lambda v: v.cast("double") * 2))
+    low = t.grid_vec.withColumn("vec", ar.doubles(F.slice("vec", 1, 24)))
+    high = t.grid_vec.withColumn("vec", F.transform(F.slice("vec", 25, 40), lambda v: v.cast("double") * 2))
     return vx.merge_layers([low, high]).select("image_id", "y", "x", rounded_list("vec"))
 
 
@@ -95,11 +94,11 @@ def _(t):
 
 @query(
     "d6_l2_normalize",
-    "select vec_id, list_transform(vec[1:16], lambda v: round(v::double / "
-    "sqrt(list_sum(list_transform(vec[1:16], lambda u: u::double * u::double))), 6)) vec from query_vec",
+    "select vec_id, list_transform(vec, lambda v: round(v::double / "
+    "sqrt(list_sum(list_transform(vec, lambda u: u::double * u::double))), 6)) vec from query_vec",
 )
 def _(t):
-    return t.query_vec.select("vec_id", rounded_list(ar.l2_normalize(F.slice("vec", 1, 16))))
+    return t.query_vec.select("vec_id", rounded_list(ar.l2_normalize("vec")))
 
 
 _MEAN = "select {key}, unnest(range(64)) pos, unnest(vec)::double v from query_vec"
@@ -137,22 +136,24 @@ def _(t):
 
 @query(
     "d10_standardize",
-    """select vec_id, list_transform(vec[1:3], lambda v, i: round((v::double - [0.485, 0.456, 0.406][i]::double) / [0.229, 0.224, 0.225][i]::double, 6)) vec,
-      list_transform(vec[1:3], lambda v: round(v::double, 6)) back from query_vec""",
+    """select vec_id, list_transform(vec, lambda v, i: round((v::double - (0.4 + i / 256)::double) / (0.2 + i / 512)::double, 6)) vec,
+      list_transform(vec, lambda v: round(v::double, 6)) back from query_vec""",
 )
 def _(t):
-    mean, std = (F.array(*[F.lit(v) for v in vs]) for vs in ([0.485, 0.456, 0.406], [0.229, 0.224, 0.225]))
-    z = t.query_vec.select("vec_id", ar.standardize(F.slice("vec", 1, 3), mean, std).alias("z"))
+    mean, std = (F.array(*[F.lit(a + i / b) for i in range(1, 65)]) for a, b in ((0.4, 256), (0.2, 512)))
+    z = t.query_vec.select("vec_id", ar.standardize("vec", mean, std).alias("z"))
     return z.select("vec_id", rounded_list("z"), rounded_list(ar.destandardize("z", mean, std)).alias("back"))
 
 
-_LOGITS = "select image_id, y, x, gt, list_transform(vec[1:10], lambda v: exp(v::double * 5)) e from prob_px"
+# all 64 numbers of a vector, pooled to ten logits
+_POOLED = _POOL.replace("round(", "(", 1).replace(", 6))", "))")
+_LOGITS = f"select image_id, y, x, gt, list_transform({_POOLED}, lambda v: exp(v * 20)) e from prob_px"
 _PROBS = f"select image_id, y, x, gt, list_transform(e, lambda v: v / list_sum(e)) p from ({_LOGITS})"
 
 
 def probs(t):
     """Pixels with softmaxed probabilities ``p`` and the logits they come from."""
-    logits = F.transform(F.slice("vec", 1, 10), lambda v: v.cast("double") * 5)
+    logits = F.transform(ar.adaptive_pool("vec", 10), lambda v: v * 20)
     return t.prob_px.select("image_id", "y", "x", "gt", logits.alias("logits")).withColumn("p", ar.softmax("logits"))
 
 
@@ -184,7 +185,7 @@ def _(t):
     return out.select("vec_id", rounded_list("projected").alias("projected"))
 
 
-_DIMS = "dims as (select image_id sample_id, unnest(range(8))::int dim, unnest(vec[1:8])::double v from grid_vec)"
+_DIMS = "dims as (select image_id sample_id, unnest(range(64))::int dim, unnest(vec)::double v from grid_vec)"
 _RANGES = "rng as (select dim, least(999, min(v))::double lo, greatest(-999, max(v))::double hi from dims group by 1)"
 _BINS = """hist as (select sample_id, d.dim, least(floor((v - lo) / (hi - lo) * 5), 4)::int bin, count(*) n
   from dims d join rng r on d.dim = r.dim group by 1, 2, 3)"""
@@ -200,13 +201,13 @@ _UNIT_ROWS = """grid as (select sample_id, dim, bin from (select distinct sample
 
 
 def _hist(t):
-    px = t.grid_vec.select(F.col("image_id").alias("sample_id"), F.slice("vec", 1, 8).alias("vec"))
+    px = t.grid_vec.select(F.col("image_id").alias("sample_id"), "vec")
     return vx.dim_histogram(px, vx.dim_range(px), 5)
 
 
 @query("d13_dim_range", f"with {_DIMS}, {_RANGES} select dim, round(lo, 6) lo, round(hi, 6) hi from rng")
 def _(t):
-    return rounded(vx.dim_range(t.grid_vec.withColumn("vec", F.slice("vec", 1, 8))))
+    return rounded(vx.dim_range(t.grid_vec))
 
 
 @query("d14_dim_histogram", f"with {_DIMS}, {_RANGES}, {_BINS} select * from hist")
@@ -382,7 +383,7 @@ def _(t):
 @query(
     "j22_merge_tiles",
     f"""with s as (select * from (values (0), (2)) s(t)), tl as (
-      select image_id, y, x, gt, ty.t ty, tx.t tx, list_transform(vec[1:10], lambda v, i: exp(v::double * (5 + ty.t + tx.t))) e
+      select image_id, y, x, gt, ty.t ty, tx.t tx, list_transform({_POOLED}, lambda v: exp(v * (20 + ty.t + tx.t))) e
       from prob_px join s ty on y >= ty.t and y < ty.t + 3 join s tx on x >= tx.t and x < tx.t + 3),
     ex as (select image_id, y, x, unnest(range(10))::int c, unnest(list_transform(e, lambda v: v / list_sum(e))) v from tl),
     sm as (select image_id, y, x, c, sum(v) v from ex group by 1, 2, 3, 4)
@@ -390,6 +391,6 @@ def _(t):
 )
 def _(t):
     tiles = sg.tile_pixels(t.prob_px, 4, 4, 3).withColumn(
-        "logits", F.transform(F.slice("vec", 1, 10), lambda v: v.cast("double") * (5 + F.col("ty") + F.col("tx")))
+        "logits", F.transform(ar.adaptive_pool("vec", 10), lambda v: v * (20 + F.col("ty") + F.col("tx")))
     )
     return sg.merge_tiles(tiles, 10).select("image_id", "y", "x", rounded_list("probs"), "label")
