@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strayfield.operators.ordering import attach, running
+from strayfield.session import cut_lineage
 
 
 def threshold_counts(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
@@ -22,10 +23,14 @@ def threshold_counts(df: DataFrame, score: str = "score", label: str = "is_anoma
 
 def curve(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: rows at it (``pos``, ``neg``), at or above it (``tp``, ``fp``), totals (``p``, ``n``)."""
-    counts = threshold_counts(df, score, label, by)
-    raw = df.select(*by, F.col(score).cast("double").alias("threshold"))
+    return curve_of(threshold_counts(df, score, label, by), by)
+
+
+def curve_of(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The curve of ``threshold, pos, neg``, one row per distinct score. They are written once and then read by every
+    step, so the rows they come from are scanned once."""
     sums = {"tp": "pos", "fp": "neg"}
-    return running(counts, [-F.col("threshold")], sums, by=by, sample=raw, totals_as={"tp": "p", "fp": "n"})
+    return running(cut_lineage(counts), [-F.col("threshold")], sums, by=by, totals_as={"tp": "p", "fp": "n"})
 
 
 def roc_curve(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
@@ -102,7 +107,11 @@ def error_shares(
 
 def summary(df: DataFrame, score: str = "score", label: str = "is_anomaly", by: Sequence[str] = ()) -> DataFrame:
     """AUROC, AP, best F1 with its threshold and error shares, all from one curve."""
-    best = curve(df, score, label, by).groupBy(*by).agg(
+    return summary_of(curve(df, score, label, by), by)
+
+
+def summary_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    best = points.groupBy(*by).agg(
         _area().alias("auroc"), _average_precision().alias("ap"), _best().alias("b")
     )
     rows = F.col("b.p") + F.col("b.n")
@@ -124,21 +133,25 @@ def anomalous_only(px: DataFrame, image: str = "image_id", gt: str = "gt") -> Da
 
 
 def pixel_metrics(px: DataFrame, image: str = "image_id", score: str = "score", gt: str = "gt") -> DataFrame:
-    """Pixel metrics over all images and over images with defects only (``scope``)."""
-    cols = [F.col(score).alias("score"), F.col(gt).alias("is_anomaly")]
-    both = px.select(F.lit("all").alias("scope"), *cols).unionByName(
-        anomalous_only(px, image, gt).select(F.lit("anomalous").alias("scope"), *cols)
-    )
-    return summary(both, by=["scope"])
+    """Pixel metrics over all images and over images with defects only (``scope``).
+
+    Images are flagged once and pixels counted once per score; the counts, not the pixels, enter both scopes.
+    """
+    flagged = px.where(F.col(gt) > 0).select(F.col(image).alias("_image")).distinct().withColumn("_flag", F.lit(True))
+    marked = px.join(flagged, F.col(image) == F.col("_image"), "left")
+    rows = marked.select("_flag", F.col(score).alias("score"), F.col(gt).alias("is_anomaly"))
+    scopes = F.when(F.col("_flag"), F.array(F.lit("all"), F.lit("anomalous"))).otherwise(F.array(F.lit("all")))
+    counts = threshold_counts(rows, by=["_flag"]).withColumn("scope", F.explode(scopes))
+    return summary_of(curve_of(counts.groupBy("scope", "threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), ["scope"]), ["scope"])
 
 
 def auroc_by_family(df: DataFrame, families: Sequence[str], score: str = "score", family: str = "family", good: str = "good") -> DataFrame:
-    """AUROC per anomaly family; good rows count for every family."""
+    """AUROC per anomaly family; good rows count for every family: their counts are copied, not they."""
     targets = F.when(F.col(family) == good, F.array(*[F.lit(f) for f in families])).otherwise(F.array(family))
-    rows = df.select(
-        F.explode(targets).alias("_family"), F.col(score).alias("score"), (F.col(family) != good).cast("int").alias("is_anomaly")
-    )
-    return auroc(rows.withColumnRenamed("_family", family), by=[family])
+    rows = df.select(family, F.col(score).alias("score"), (F.col(family) != good).cast("int").alias("is_anomaly"))
+    counts = threshold_counts(rows, by=[family]).select(F.explode(targets).alias(family), "threshold", "pos", "neg")
+    counts = counts.groupBy(family, "threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return curve_of(counts, [family]).groupBy(family).agg(_area().alias("auroc"))
 
 
 def image_score(px: DataFrame, by: Sequence[str] = ("image_id",), score: str = "score") -> DataFrame:

@@ -179,9 +179,17 @@ def _(t):
     return out.select("vec_id", rounded_list("projected").alias("projected"))
 
 
-@query("d12_rand_projection_seeded")
+_SEEDED = vx.gaussian_weights(64, 6, seed=1)
+_MATRIX = ", ".join("[" + ", ".join(f"{float(w)!r}::double" for w in row) + "]" for row in np.asarray(_SEEDED).reshape(6, 64))
+
+
+@query(
+    "d12_rand_projection_seeded",
+    f"""with w as (select [{_MATRIX}] w)
+    select vec_id, list_transform(w, lambda r: round(list_sum(list_transform(list_zip(r, vec), lambda p: p[1] * p[2]::double)), 6)) projected from query_vec, w""",
+)
 def _(t):
-    out = vx.rand_projection(t.query_vec, vx.gaussian_weights(64, 6, seed=1))
+    out = vx.rand_projection(t.query_vec, _SEEDED)
     return out.select("vec_id", rounded_list("projected").alias("projected"))
 
 
