@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from strayfield.operators import filters as fl
 from strayfield.operators import neighbours as nn
+from strayfield.operators import metrics as m
 from strayfield.operators import raster as rs
 from strayfield.operators import scoremaps as sm
 from strayfield.operators import shapes as sh
@@ -554,9 +555,7 @@ _PASTE_POS = (
 )
 
 
-@query(
-    "j16_paste_instances",
-    """with pos as (select l_suppkey image_id, l_linenumber instance_id, max(l_discount) * 8 cx, max(l_tax) * 10 cy,
+_PASTED = """with pos as (select l_suppkey image_id, l_linenumber instance_id, max(l_discount) * 8 cx, max(l_tax) * 10 cy,
       1.0::double + l_linenumber * 0.25::double scale from lineitem group by 1, 2),
     px as (select l_suppkey image_id, l_linenumber instance_id, cast(l_partkey % 32 as int) y, cast(l_quantity as int) % 32 x,
       max(ln(l_extendedprice)) score from lineitem group by 1, 2, 3, 4),
@@ -569,17 +568,40 @@ _PASTE_POS = (
     rz as (select px.image_id, px.instance_id, wy.pos y, wx.pos x, sum(score * (1 - abs(wy.src - px.y)) * (1 - abs(wx.src - px.x))) score
       from px join wy on wy.image_id = px.image_id and wy.instance_id = px.instance_id and abs(wy.src - px.y) < 1
         join wx on wx.image_id = px.image_id and wx.instance_id = px.instance_id and abs(wx.src - px.x) < 1
-      where wy.pos between 0 and 31 and wx.pos between 0 and 31 group by 1, 2, 3, 4)
-    select image_id, y, x, round(max(score), 3) score from rz group by 1, 2, 3""",
-)
-def _(t):
+      where wy.pos between 0 and 31 and wx.pos between 0 and 31 group by 1, 2, 3, 4)"""
+
+
+def _pasted(t):
     px = t.lineitem.groupBy(
         F.col("l_suppkey").alias("image_id"),
         F.col("l_linenumber").alias("instance_id"),
         (F.col("l_partkey") % 32).cast("int").alias("y"),
         (F.col("l_quantity").cast("int") % 32).alias("x"),
     ).agg(F.max(F.log("l_extendedprice")).alias("score"))
-    return rounded(sm.paste_instances(px, t.sql(_PASTE_POS).withColumn("scale", F.col("scale").cast("double")), S, 36, 40), 3)
+    return sm.paste_instances(px, t.sql(_PASTE_POS).withColumn("scale", F.col("scale").cast("double")), S, 36, 40)
+
+
+@query("j16_paste_instances", _PASTED + " select image_id, y, x, round(max(score), 3) score from rz group by 1, 2, 3")
+def _(t):
+    return rounded(_pasted(t), 3)
+
+
+@query(
+    "p3_rollup_with_map",
+    _PASTED
+    + """, map as (select image_id, y, x, max(score) score from rz group by 1, 2, 3),
+    m as (select image_id, count(*) n, max(score) top from map group by 1),
+    r as (select l_suppkey image_id, max(l_extendedprice) score, max(case when l_returnflag = 'R' then 1 else 0 end) is_anomaly from lineitem group by 1)
+    select r.image_id, score, is_anomaly, coalesce(n, 0) map_pixels, round(coalesce(top, 0), 3) map_top from r left join m on r.image_id = m.image_id""",
+)
+def _(t):
+    """Instances rolled up to images, each with its merged score map: F3 beside J16."""
+    inst = t.lineitem.select(
+        F.col("l_suppkey").alias("image_id"), F.col("l_extendedprice").alias("score"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("is_anomaly")
+    )
+    maps = _pasted(t).groupBy(F.col("image_id").alias("map_of")).agg(F.count(F.lit(1)).alias("map_pixels"), F.max("score").alias("map_top"))
+    both = m.rollup_instances(inst).join(maps, F.col("image_id") == F.col("map_of"), "left").drop("map_of")
+    return rounded(both.na.fill({"map_pixels": 0, "map_top": 0.0}), 3)
 
 
 @query("j16_paste_rotated")
