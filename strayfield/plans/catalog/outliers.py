@@ -104,7 +104,20 @@ def _(t):
     return ol.drop_debris(sp.batch_id(t.query_vec.select("vec_id", "vec"), 32, ["vec_id"]), 0.18).select("vec_id")
 
 
-@query("g7_iterative_outliers")
+def _unrolled_outliers(rounds: int) -> str:
+    """The outlier loop with step 0.3, written out: round n flags |z| > 1 + 0.3 n, and the first round that flags no row
+    or every row is the last."""
+    z = "(area - avg(area) over ()) / nullif(stddev_pop(area) over (), 0)"
+    parts = ["r1 as (select event_id, value area from events)"]
+    for n in range(1, rounds + 1):
+        parts.append(f"s{n} as materialized (select event_id, area, case when abs(z) > {1 + 0.3 * n:.1f}::double then 1 else 0 end f from (select *, {z} z from r{n}))")
+        parts.append(f"a{n} as materialized (select coalesce(sum(f), 0) f, count(*) n from s{n})")
+        parts.append(f"r{n + 1} as (select event_id, area from s{n}, a{n} where s{n}.f = 0 and a{n}.f > 0 and a{n}.f < a{n}.n)")
+    ends = " union all ".join(f"select event_id, area from s{n}, a{n} where a{n}.f = 0 or a{n}.f = a{n}.n" for n in range(1, rounds + 1))
+    return f"with {', '.join(parts)}, last as ({ends}) select event_id, area, case when abs({z}) > 1 then 1 else 0 end label from last"
+
+
+@query("g7_iterative_outliers", _unrolled_outliers(14))
 def _(t):
     return ol.iterative_outliers(t.events.select("event_id", F.col("value").alias("area")), 0.3)
 
