@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -102,6 +103,45 @@ def linear_map(df: DataFrame, vec: str, weights: np.ndarray, out: str) -> DataFr
     return df.withColumn(out, apply(F.col(vec)))
 
 
+@dataclass(frozen=True)
+class Index:
+    """A bank that is ready to be searched: its rows placed in cells, written once when there are several."""
+
+    placed: DataFrame
+    cells: B.Cells | None
+    metric: str
+    p: float
+    whiten: np.ndarray | None
+    block_rows: int
+
+
+def index_bank(
+    bank: DataFrame, metric: str = "l2sq", p: float = 1.5, bank_id: str = "vec_id", vec: str = "vec", block_rows: int = B.BLOCK_ROWS
+) -> Index:
+    """Count, sample and place a bank once, for any number of searches."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    b, whiten = bank.select(F.col(bank_id).alias("bank_id"), F.col(vec).alias("vec")), None
+    if metric == "mahalanobis":
+        whiten = np.linalg.inv(np.linalg.cholesky(covariance(b, "vec")[1]))
+        b, metric = linear_map(b, "vec", whiten, "vec"), "l2sq"
+    placed, cells = B.make_cells(b, metric, p, block_rows)
+    return Index(placed, cells, metric, p, whiten, block_rows)
+
+
+def search(query: DataFrame, index: Index, k: int, query_id: str = "vec_id", vec: str = "vec") -> DataFrame:
+    """Exact k nearest rows of an indexed bank per query: ``(query_id, bank_id, distance, rn)``."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    q = query.select(F.col(query_id).alias("query_id"), F.col(vec).alias("vec"))
+    if index.whiten is not None:
+        q = linear_map(q, "vec", index.whiten, "vec")
+    visits = B.visit(q, index.cells, B.nearest_reach(k))
+    schema = f"query_id {_type(q, 'query_id')}, bank_id {_type(index.placed, 'bank_id')}, distance double"
+    kernel = _nearest_kernel(index.metric, index.p, k)
+    return _merge(B.block_join(visits, index.placed, kernel, schema, index.block_rows, index.block_rows), k)
+
+
 def knn(
     query: DataFrame,
     bank: DataFrame,
@@ -119,18 +159,9 @@ def knn(
     ``l2sq`` is squared, ``lp`` has no root, ``cosine`` is 1 - dot of unit vectors, and ``mahalanobis``
     whitens both sides with the inverse Cholesky factor of the bank covariance before ``l2sq``.
     """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric}")
     if k < 1:
         raise ValueError("k must be at least 1")
-    q, b = _sides(query, bank, query_id, bank_id, vec, bank_vec or vec)
-    if metric == "mahalanobis":
-        whiten = np.linalg.inv(np.linalg.cholesky(covariance(b, "vec")[1]))
-        q, b, metric = linear_map(q, "vec", whiten, "vec"), linear_map(b, "vec", whiten, "vec"), "l2sq"
-    placed, cells = B.make_cells(b, metric, p, block_rows)
-    visits = B.visit(q, cells, B.nearest_reach(k))
-    schema = f"query_id {_type(q, 'query_id')}, bank_id {_type(b, 'bank_id')}, distance double"
-    return _merge(B.block_join(visits, placed, _nearest_kernel(metric, p, k), schema, block_rows, block_rows), k)
+    return search(query, index_bank(bank, metric, p, bank_id, bank_vec or vec, block_rows), k, query_id, vec)
 
 
 def knn_score(query: DataFrame, bank: DataFrame, k: int, metric: str = "l2sq", **kw) -> DataFrame:

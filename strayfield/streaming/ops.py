@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strayfield.operators.neighbours import knn_score
+from strayfield.operators.neighbours import index_bank, search
 from strayfield.operators.ordering import as_col
 from strayfield.session import shared_folder
 
@@ -30,14 +30,18 @@ def stream_rollup(
     )
 
 
-def score_batch(bank: DataFrame, k: int, out: str, metric: str = "l2sq", **kw) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` writer that scores a micro-batch against a fixed bank.
+def score_batch(
+    bank: DataFrame, k: int, out: str, metric: str = "l2sq", query_id: str = "vec_id", bank_id: str = "vec_id", vec: str = "vec", **kw
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer that scores a micro-batch against a fixed bank, which is indexed once.
 
     Each batch owns one folder of ``out`` and overwrites it, so a replayed batch leaves no duplicates.
     """
+    index = index_bank(bank, metric, bank_id=bank_id, vec=kw.pop("bank_vec", vec), **kw)
 
     def write(batch: DataFrame, batch_no: int) -> None:
-        knn_score(batch, bank, k, metric, **kw).write.mode("overwrite").parquet(f"{out}/batch={batch_no}")
+        scores = search(batch, index, k, query_id, vec).groupBy("query_id").agg(F.avg("distance").alias("score"))
+        scores.write.mode("overwrite").parquet(f"{out}/batch={batch_no}")
 
     return write
 

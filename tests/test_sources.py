@@ -1,5 +1,7 @@
 """File sources, sinks, named stages and multi-batch streams."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -102,3 +104,26 @@ def test_profile_over_batches_equals_batch(spark, parts):
     got = so.run_available(so.stream_profile(stream), mode="complete").toPandas().sort_values("dim")
     m = np.stack(table.toPandas()["vec"].to_numpy())
     assert np.allclose(got["lo"], m.min(0)) and np.allclose(got["hi"], m.max(0))
+
+
+def test_stream_rollup_emits_closed_sessions_once(spark, tmp_path):
+    """Append mode over several batches: a session appears when the watermark passes it; later rows for it are dropped."""
+    parts = [
+        [("a", "2024-01-01 00:00:00", 1.0, 0), ("a", "2024-01-01 00:00:20", 3.0, 1), ("b", "2024-01-01 00:00:10", 2.0, 0)],
+        [("a", "2024-01-01 00:10:00", 5.0, 0)],
+        [("b", "2024-01-01 00:10:05", 4.0, 0)],  # the watermark of the batch before closes the first sessions here
+        [("a", "2024-01-01 00:00:30", 9.0, 1)],  # too late
+        [("c", "2024-01-01 01:00:00", 7.0, 0)],
+    ]
+    for i, rows in enumerate(parts):
+        frame = spark.createDataFrame(rows, "image_id string, at string, score double, is_anomaly int").withColumn("ts", F.to_timestamp("at")).drop("at")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by their time
+    stream = spark.readStream.schema("image_id string, score double, is_anomaly int, ts timestamp").option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    got = so.run_available(so.stream_rollup(stream, "ts", "1 minute", "2 minutes")).collect()
+    assert sorted((r.image_id, str(r.start), r.score, r.is_anomaly, r.instances) for r in got) == [
+        ("a", "2024-01-01 00:00:00", 3.0, 1, 2),
+        ("a", "2024-01-01 00:10:00", 5.0, 0, 1),
+        ("b", "2024-01-01 00:00:10", 2.0, 0, 1),
+        ("b", "2024-01-01 00:10:05", 4.0, 0, 1),
+    ]
