@@ -8,7 +8,7 @@ Equal shingle sets are one class, found by a digest; one member stands for it fr
 A band's bucket never becomes all pairs. First each member is confirmed against the bucket's first one. Members that are
 still in other components than the rest of their bucket are then confirmed against a second center, and those that even
 then stay apart against every member of another component: only pairs that neither are linked nor hang together already,
-and whose sizes and one-bit sketches allow 0.75, get that far. So no link between different texts is lost to a star's
+and whose sizes and long one-bit sketches allow 0.75, get that far. So no link between different texts is lost to a star's
 choice of center. Confirmation intersects full sets, fetched by joins that Spark splits where one center is hot.
 
 Edge cases: a text with fewer than five words has its whole word sequence as its one shingle; one without words, or NULL,
@@ -18,6 +18,7 @@ and it is kept. Rows that share an id are one document, linked if one of its tex
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +37,13 @@ PERMUTATIONS = BANDS * ROWS // 2
 SKETCH = 192  # signature values with one bit in the sketch
 # Bits that may differ: at 0.75 an eighth of them do on average; this is seven standard deviations more.
 FAR = int(SKETCH / 8 + 7 * (SKETCH * 7 / 64) ** 0.5)
-CHUNK = 2048  # shingles hashed under all permutations at a time
+FINE = 2048  # bits of the sketch that decides on pairs which no center settles, and how many of them may differ
+FINE_FAR = int(FINE / 8 + 6 * (FINE * 7 / 64) ** 0.5)  # six standard deviations more than at 0.75
+CHUNK = 256  # shingles hashed under all permutations at a time
 
 _RANDOM = np.random.default_rng(20240229)
-_A = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
+_A = _RANDOM.integers(0, 2**63, FINE // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RANDOM.integers(0, 2**63, FINE // 2, dtype=np.uint64)
 _SPREAD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 _BAND_NO = np.arange(1, BANDS + 1, dtype=np.uint64)
 
@@ -65,11 +68,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     """Minimum, then maximum, of the hashes under each permutation."""
-    low, high = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
-    for i in range(0, len(hashes), CHUNK):
-        h = hashes[i : i + CHUNK, None] * _A + _B
+    low, high = np.full(permutations, np.iinfo(np.uint64).max, np.uint64), np.zeros(permutations, np.uint64)
+    step = CHUNK * (FINE // 2) // permutations
+    for i in range(0, len(hashes), step):
+        h = hashes[i : i + step, None] * _A[:permutations] + _B[:permutations]
         np.minimum(low, h.min(axis=0), out=low)
         np.maximum(high, h.max(axis=0), out=high)
     return np.concatenate([low, high])
@@ -83,8 +87,9 @@ def bands(values: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    bits = (values[np.linspace(0, len(values) - 1, SKETCH).astype(int)] >> np.uint64(41)) & np.uint64(1)
+def sketch(values: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """One bit of each of ``size`` signature values."""
+    bits = (values[np.linspace(0, len(values) - 1, size).astype(int)] >> np.uint64(41)) & np.uint64(1)
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -126,11 +131,29 @@ def shingle_sets(df: DataFrame, id: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(collect, f"id {kind.simpleString()}, hashes array<bigint>")
 
 
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """``rep, fine``: the long sketch of each set."""
+    kind = sets.schema["id"].dataType
+    schema = pa.schema([("rep", to_arrow_type(kind)), ("fine", pa.list_(pa.int64()))])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_sets = [np.asarray(h, np.int64).view(np.uint64) for h in batch.column(1).to_pylist()]
+            fine = [sketch(signature(h, FINE // 2), FINE) for h in all_sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, schema.field("fine").type)], schema=schema)
+
+    return sets.select("id", "hashes").mapInArrow(draw, f"rep {kind.simpleString()}, fine array<bigint>")
+
+
+def apart(a: Column, b: Column, bits: int) -> Column:
+    """Bits in which two sketches differ."""
+    return functools.reduce(lambda n, i: n + F.bit_count(a[i].bitwiseXOR(b[i])), range(1, bits // 64), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
 def possible(a: str, b: str) -> Column:
     """Sizes and sketches of two documents allow the similarity."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col(f"{a}.sketch")[0].bitwiseXOR(F.col(f"{b}.sketch")[0])))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR) & (apart <= FAR)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * SIMILAR) & (apart(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), SKETCH) <= FAR)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -142,10 +165,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").where(similar).select("u", "v").distinct()
 
 
-def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``rep, comp`` of every node, a node without edges being its own component."""
-    found = cut_lineage(connected_components(edges))
-    return nodes.join(found, nodes["rep"] == found["node"], "left").select("rep", F.coalesce("root", "rep").alias("comp"))
+def _merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rep, comp`` after joining the components that ``edges`` connect; only component ids enter the graph."""
+    ends = edges.join(comp.select(F.col("rep").alias("u"), F.col("comp").alias("a")), "u").join(comp.select(F.col("rep").alias("v"), F.col("comp").alias("b")), "v")
+    root = connected_components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    joined = comp.join(root, comp["comp"] == root["node"], "left").select("rep", F.coalesce("root", "comp").alias("comp"))
+    return cut_lineage(joined)
 
 
 def labelled(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,19 +182,19 @@ def labelled(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     member = reps.select(F.explode("bands").alias("key"), "rep")
     size = member.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min_by("rep", F.xxhash64(F.lit(1), "rep")).alias("alt"))
     shared = cut_lineage(member.join(size.where("lo < hi"), "key").select("key", "rep", "lo", "alt"))
-    near = cut_lineage(shared.select("rep").distinct())
-    facts = cut_lineage(reps.select("rep", "of").join(near, "rep"))
+    facts = cut_lineage(reps.select("rep", "of", "bands").join(shared.select("rep").distinct(), "rep"))
+    near = facts.select("rep")
     sets = cut_lineage(shingle_sets(df.join(near.withColumnRenamed("rep", id), id, "left_semi"), id, text))
 
     def test(pairs: DataFrame) -> DataFrame:
         """Edges among ``u, v``, each pair tested once."""
         u, v = facts.select(F.col("rep").alias("u"), F.col("of").alias("x")), facts.select(F.col("rep").alias("v"), F.col("of").alias("y"))
-        likely = pairs.distinct().join(v, "v").join(u, "u").where(possible("x", "y")).select("u", "v")
-        return cut_lineage(confirmed(cut_lineage(likely.distinct()), sets))
+        likely = cut_lineage(pairs.distinct().join(v, "v").join(u, "u").where(possible("x", "y")).select("u", "v"))
+        return cut_lineage(confirmed(likely, sets))
 
-    edges = test(shared.where("rep > lo").select(F.col("lo").alias("u"), F.col("rep").alias("v")))
+    firsts = test(shared.where("rep > lo").select(F.col("lo").alias("u"), F.col("rep").alias("v")))
+    comp = _merged(near.select("rep", F.col("rep").alias("comp")), firsts)
     for turn in ("second center", "all that stay apart"):
-        comp = cut_lineage(_labels(near, edges))
         mixed = shared.join(comp, "rep")
         open_keys = mixed.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).where("one < two").select("key")
         mixed = cut_lineage(mixed.join(open_keys, "key"))
@@ -177,15 +202,21 @@ def labelled(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
             break
         if turn == "second center":
             center = comp.select(F.col("rep").alias("alt"), F.col("comp").alias("other"))
-            apart = mixed.where("alt <> rep and alt <> lo and rep <> lo").join(center, "alt").where("comp <> other")
-            pairs = apart.select(F.least("alt", "rep").alias("u"), F.greatest("alt", "rep").alias("v"))
+            across = mixed.where("alt <> rep and alt <> lo and rep <> lo").join(center, "alt").where("comp <> other")
+            pairs = across.select(F.least("alt", "rep").alias("u"), F.greatest("alt", "rep").alias("v"))
         else:
-            rest = mixed.where("rep <> lo and rep <> alt").join(facts, "rep")
+            rest = mixed.where("rep <> lo and rep <> alt")
+            fine = fine_sketches(sets.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+            rest = cut_lineage(rest.join(facts, "rep").join(fine, "rep").withColumn("no", F.array_position("bands", F.col("key"))))
             x, y = rest.alias("x"), rest.alias("y")
-            near_pair = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-            pairs = x.join(y, near_pair & possible("x.of", "y.of")).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
-        edges = edges.unionByName(test(pairs))
-    root = _labels(near, edges).where("comp <> rep")
+            other = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+            like = possible("x.of", "y.of") & (apart(F.col("x.fine"), F.col("y.fine"), FINE) <= FINE_FAR)
+            same = F.zip_with("x.bands", "y.bands", lambda a, b: a == b)  # a pair counts in the first band it shares
+            pairs = x.join(y, other & like & (F.array_position(same, True) == F.col("x.no"))).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
+        links = test(pairs)
+        if not links.isEmpty():
+            comp = _merged(comp, links)
+    root = comp.where("comp <> rep")
     of_class = classes.join(root, "rep", "left").select("set", F.coalesce("comp", "rep").alias("root"))
     out = all_rows.select("id", F.col("n").alias("n_shingles"), "set").join(of_class, "set", "left")
     return out.select(
