@@ -185,7 +185,8 @@ def covered(df: DataFrame, id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.full(m, k1[i]), np.full(m, k2[i]), start, n.astype(np.int32), core, span), run)], schema=run)
 
     all_runs = texts.mapInArrow(cut, "k1 bigint, k2 bigint, start bigint, n int, core bigint, span bigint")
-    twice = all_runs.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("core")
+    # written, so that the join has a plain shuffle on both sides, which Spark can split at a hot core
+    twice = cut_lineage(all_runs.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("core"))
     shared = cut_lineage(all_runs.join(twice, "core", "left_semi"))
     spans = cut_lineage(shared.groupBy("core", "span").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")))
     mixed = spans.groupBy("core").agg(F.min("times").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 and kinds > 1")
