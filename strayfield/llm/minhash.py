@@ -8,7 +8,7 @@ Equal shingle sets are one class, found by a digest; one member stands for it fr
 A band's bucket never becomes all pairs. First each member is confirmed against the bucket's first one. Members that are
 still in other components than the rest of their bucket are then confirmed against a second center, and those that even
 then stay apart against every member of another component: only pairs that neither are linked nor hang together already,
-and whose sizes and long one-bit sketches allow 0.75, get that far. So no link between different texts is lost to a star's
+and whose sizes, shingles of their own and long one-bit sketches allow 0.75, get that far. So no link between different texts is lost to a star's
 choice of center. Confirmation intersects full sets, fetched by joins that Spark splits where one center is hot.
 
 Edge cases: a text with fewer than five words has its whole word sequence as its one shingle; one without words, or NULL,
@@ -165,6 +165,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").where(similar).select("u", "v").distinct()
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """``rep, own``: how many shingles of a set no other set has. None of them can be shared by any pair."""
+    each = sets.select("id", F.explode("hashes").alias("h"))
+    alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where("c = 1")
+    several = sets.groupBy(F.col("id").alias("rep")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")  # an id with two texts
+    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(several, "rep", "left_anti")
+
+
 def _merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
     """``rep, comp`` after joining the components that ``edges`` connect; only component ids enter the graph."""
     ends = edges.join(comp.select(F.col("rep").alias("u"), F.col("comp").alias("a")), "u").join(comp.select(F.col("rep").alias("v"), F.col("comp").alias("b")), "v")
@@ -206,11 +214,14 @@ def labelled(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
             pairs = across.select(F.least("alt", "rep").alias("u"), F.greatest("alt", "rep").alias("v"))
         else:
             rest = mixed.where("rep <> lo and rep <> alt")
-            fine = fine_sketches(sets.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-            rest = cut_lineage(rest.join(facts, "rep").join(fine, "rep").withColumn("no", F.array_position("bands", F.col("key"))))
+            left = cut_lineage(sets.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+            rest = rest.join(facts, "rep").join(fine_sketches(left), "rep").join(own_shingles(left), "rep", "left")
+            rest = cut_lineage(rest.withColumns({"no": F.array_position("bands", F.col("key")), "most": F.col("of.n") - F.coalesce("own", F.lit(0))}))
             x, y = rest.alias("x"), rest.alias("y")
             other = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-            like = possible("x.of", "y.of") & (apart(F.col("x.fine"), F.col("y.fine"), FINE) <= FINE_FAR)
+            both = F.least("x.most", "y.most")  # shingles that the two can share at most
+            enough = both * 100 >= (F.col("x.of.n") + F.col("y.of.n") - both) * SIMILAR
+            like = enough & possible("x.of", "y.of") & (apart(F.col("x.fine"), F.col("y.fine"), FINE) <= FINE_FAR)
             same = F.zip_with("x.bands", "y.bands", lambda a, b: a == b)  # a pair counts in the first band it shares
             pairs = x.join(y, other & like & (F.array_position(same, True) == F.col("x.no"))).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
         links = test(pairs)
