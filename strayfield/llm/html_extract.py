@@ -8,6 +8,11 @@ bad one it goes with the nearer, good at equal distance. Neighbours count inside
 next to an article doesn't decide for it: in an ``article`` or ``main`` section undecided blocks without a decided
 neighbour are good, elsewhere bad. If a page marks an article, blocks outside it are no part of the main text.
 
+What an element is called condemns it if a part of a class name says so by itself (``ad-box``), or if the whole name does
+(``sidebar``, ``main-menu``, ``cookie-notice``). A whole name that may as well hold text (``notice``, ``widget``) only
+makes its element a place of its own: its long blocks are judged by their text, its short ones by those inside it. Such
+words as a part of a name (``elementor-widget-container``) say nothing. ``hidden`` is the attribute, not a word in one.
+
 Each page is handled by itself: no shuffle. Edge cases: a NULL or empty page has an empty text; unclosed tags, tags cut off
 at the end of the page and unknown character references are read as browsers do; repeated pages are extracted alike.
 """
@@ -39,49 +44,83 @@ STOP_WORDS = frozenset(
     " aber als am an auch auf aus bei das dass dem den der des die ein eine einem einen einer er es für hat ich ihr im ist mit nach nicht noch oder sich sie sind so über um und uns von vor war wie wir zu zum zur"
     " al como con del el ella ellos era es esta este ha hay las lo los más me mi muy no nos o para pero por que se sin sobre su sus también un una y ya".split()
 )
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adbox adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb"
-    " breadcrumbs footer header masthead sidebar cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe signup login social"
-    " share sharing related recommended comment comments reply replies disqus respond pagination pager toolbar widget navigation contentinfo complementary search dialog alert".split()
+FIRM = frozenset(  # condemn as any part of a name
+    "ad ads advert adverts advertisement advertisements advertising adbox adsense sponsored promo navbar breadcrumb breadcrumbs masthead"
+    " comment comments disqus pagination".split()
+)
+WHOLE = frozenset(  # condemn as a whole name
+    "sponsor promotion nav menu footer sidebar cookie cookies consent gdpr notification popup modal newsletter subscribe signup login social"
+    " sharing related recommended reply replies respond pager toolbar navigation contentinfo complementary dialog".split()
 )
+LAST = frozenset("footer menu nav navigation pager toolbar".split())  # condemn as the last part of a name as well
+DOUBTFUL = frozenset("widget header notice notices share search alert banner".split())  # as a whole name: a place of its own
+ROLES = frozenset("banner search alert alertdialog dialog navigation contentinfo complementary menu menubar toolbar".split())
+AROUND = frozenset("site main top bottom global primary secondary mobile bar box".split())  # may stand beside them in a whole name
 FOREIGN = frozenset("comment comments reply replies related recommended ad ads advert advertisement sponsored promo".split())
-SAFE = frozenset("html body article main".split())  # condemned by the names in FOREIGN only
+SECTIONED = frozenset("article main".split())  # condemned by the names in FOREIGN only
+SAFE = frozenset("html body".split())
 LONG, SHORT = 200, 70  # characters
 MANY, FEW = 0.20, 0.08  # stop words among the words
 LINKED, ARTICLE_LINKED = 0.33, 0.9  # characters inside links
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:[\"'][^>]*)?)(?:>|$)", re.S)
-MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+TELLING = re.compile("class|id|role|hidden|style", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-LAYOUT = re.compile("(?:has|with|no|without|is)[-_]")  # says that an element has a sidebar or the like, not that it is one
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+LAYOUT = re.compile("(?:has|with|no|without|is|sticky|category|tag)[-_]")  # says what an element has or is about, not what it is
+CLEAR, DOUBT, CONDEMNED = 0, 1, 2
+
+
+def named(name: str) -> int:
+    """What one class name or id says of its element."""
+    parts = [p for p in PARTS.split(name) if p]
+    if not parts or LAYOUT.match(name):
+        return CLEAR
+    if not FIRM.isdisjoint(parts) or parts[-1] in LAST:
+        return CONDEMNED
+    if not all(p in WHOLE or p in DOUBTFUL or p in AROUND for p in parts):
+        return CLEAR
+    return CONDEMNED if not WHOLE.isdisjoint(parts) else CLEAR if DOUBTFUL.isdisjoint(parts) else DOUBT
 
 
-def condemned(tag: str, attributes: str) -> bool:
+def judged(tag: str, attributes: str) -> int:
+    """What an element's tag and attributes say of its text."""
     if tag in BAD:
-        return True
-    if not attributes:
-        return False
-    marks = FOREIGN if tag in SAFE else MARKS
-    for found in MARKED.finditer(attributes):
-        for name in (found[1] or found[2] or found[3] or "").lower().split():
-            if not LAYOUT.match(name) and not marks.isdisjoint(PARTS.split(name)):
-                return True
-    return tag not in SAFE and bool(HIDDEN.search(attributes))
-
-
-def blocks(page: str) -> list[tuple[str, int, bool, int]]:
-    """``(text, linked characters, bad by its place, article section)`` of each block with a text; section 0 is none."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, bad from here on, section
+        return CONDEMNED
+    if tag in SAFE or not TELLING.search(attributes):
+        return CLEAR
+    out = CLEAR
+    for found in ATTRIBUTE.finditer(attributes):
+        key, value = found[1].lower(), (found[2] or found[3] or found[4] or "").lower()
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                if tag in SECTIONED:
+                    if not LAYOUT.match(name) and not FOREIGN.isdisjoint(PARTS.split(name)):
+                        return CONDEMNED
+                elif key == "role":
+                    out = CONDEMNED if name in ROLES else out
+                else:
+                    out = max(out, named(name))
+        elif tag not in SECTIONED and (
+            (key == "hidden" and not value.startswith("until")) or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and HIDDEN.search(value))
+        ):
+            return CONDEMNED
+    return out
+
+
+def blocks(page: str) -> list[tuple[str, int, bool, int, int]]:
+    """``(text, linked characters, bad by its place, article section, doubtful element)`` of each block with a text; 0 is none."""
+    out: list[tuple[str, int, bool, int, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: name, bad from here on, section, doubtful element
     texts: list[str] = []
-    linked, links, skip, bad, section, sections, at = 0, 0, 0, False, 0, 0, 0
+    linked, links, skip, bad, section, doubt, sections, doubts, at = 0, 0, 0, False, 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked, texts
         text = " ".join("".join(texts).split())
         if text:
-            out.append((text, linked, bad, section))
+            out.append((text, linked, bad, section, doubt))
         linked, texts = 0, []
 
     def add(raw: str) -> None:
@@ -94,12 +133,12 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
 
     def close(n: int) -> None:
         """Close the elements from place ``n`` of the stack on."""
-        nonlocal bad, section, links, skip
-        for name, _, _ in stack[n:]:
+        nonlocal bad, section, doubt, links, skip
+        for name, *_ in stack[n:]:
             links -= name == "a"
             skip -= name in SKIPPED
         del stack[n:]
-        bad, section = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        bad, section, doubt = stack[-1][1:] if stack else (False, 0, 0)
 
     end = len(page)
     while at < end:
@@ -145,11 +184,15 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
-        bad = bad or condemned(tag, attributes)
+        says = judged(tag, attributes)
+        bad = bad or says == CONDEMNED
         if tag in SECTIONS and not section:
             sections += 1
-            section = sections
-        stack.append((tag, bad, section))
+            section, doubt = sections, 0
+        elif says == DOUBT:
+            doubts += 1
+            doubt = doubts
+        stack.append((tag, bad, section, doubt))
         links += tag == "a"
         skip += tag in SKIPPED
     flush()
@@ -169,16 +212,16 @@ def first_pass(text: str, linked: int, bad: bool, section: int) -> int:
     return 0 if section or len(text) < LONG or density > 0 else -1
 
 
-def second_pass(labels: list[int], sections: list[int]) -> list[int]:
-    """Undecided blocks take the label of their nearest decided neighbours in the same section."""
+def second_pass(labels: list[int], places: list[tuple[int, int]]) -> list[int]:
+    """Undecided blocks take the label of their nearest decided neighbours in the same place: section and doubtful element."""
     n = len(labels)
-    before, after = _nearest(labels, sections, range(n)), _nearest(labels, sections, range(n - 1, -1, -1))
+    before, after = _nearest(labels, places, range(n)), _nearest(labels, places, range(n - 1, -1, -1))
     out = list(labels)
     for i, label in enumerate(labels):
         if label == 0:
             (b, bd), (a, ad) = before[i], after[i]
             if b == 0 and a == 0:
-                out[i] = 1 if sections[i] else -1
+                out[i] = 1 if places[i][0] and not places[i][1] else -1
             elif b == 0 or a == 0 or a == b:
                 out[i] = a or b
             else:
@@ -186,22 +229,22 @@ def second_pass(labels: list[int], sections: list[int]) -> list[int]:
     return out
 
 
-def _nearest(labels: list[int], sections: list[int], order: range) -> dict[int, tuple[int, int]]:
+def _nearest(labels: list[int], places: list[tuple[int, int]], order: range) -> dict[int, tuple[int, int]]:
     found, last = {}, {}
     for i in order:
-        label, where = last.get(sections[i], (0, 0))
+        label, where = last.get(places[i], (0, 0))
         found[i] = label, abs(i - where)
         if labels[i]:
-            last[sections[i]] = labels[i], i
+            last[places[i]] = labels[i], i
     return found
 
 
 def main_text(page: str | None) -> str:
     """The main text: white space inside a block is one space, and blocks are joined by one space."""
     parts = blocks(page or "")
-    if any(section and not bad for _, _, bad, section in parts):
+    if any(section and not bad for _, _, bad, section, _ in parts):
         parts = [p for p in parts if p[3] and not p[2]]  # the page says where its article is; an advert in it is no neighbour
-    labels = second_pass([first_pass(*p) for p in parts], [p[3] for p in parts])
+    labels = second_pass([first_pass(*p[:4]) for p in parts], [p[3:] for p in parts])
     return " ".join(p[0] for p, label in zip(parts, labels) if label > 0)
 
 

@@ -275,6 +275,36 @@ def test_main_text_cases(page, text):
     assert html_extract.main_text(page) == text
 
 
+PROSE = ["It was the best of times and it was the worst of times, and all that was in the city.", "In the end they said that it was not for her to be with him or to see the sea."]
+PARAS = "".join(f"<p>{p}</p>" for p in PROSE) + "<p>Short.</p>"
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<body>{}</body>"])
+@pytest.mark.parametrize(
+    "attributes",
+    ["class='overflow-hidden'", "aria-hidden='false'", "data-hidden='0'", "style='overflow:hidden'", "title='hidden'", "class='elementor-widget-container'", "class='post-header notice'", "class='notice'",
+     "class='share-wrap'", "id='search-results'", "class='content-sidebar-wrap'", "class='category-comments'", "data-id='comment-1'", "class='sticky-footer'", "hidden=until-found"],
+)
+def test_main_text_wrappers(around, attributes):
+    page = around.format(f"<div {attributes}>{PARAS}</div>")
+    assert html_extract.main_text(page) == " ".join([*PROSE, "Short."])
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ["hidden", "hidden=''", "aria-hidden=true", "style='display: none'", "class='x comments'", "id=sidebar", "class='main-menu'", "role='banner'", "class='entry-footer'", "class='ad-slot'", "class='cookie-banner'"],
+)
+def test_main_text_condemned(attributes):
+    assert html_extract.main_text(f"<article><p>Text.</p><div {attributes}>{PARAS}</div></article>") == "Text."
+
+
+def test_main_text_doubtful_places():
+    page = f"<article>{PARAS}<div class='share'>Share this</div><div class='widget'><p>{PROSE[0]}</p><p>More</p></div></article>"
+    assert html_extract.main_text(page) == " ".join([*PROSE, "Short.", PROSE[0], "More"])
+    assert html_extract.main_text(f"<body class='ad-free comments-open'>{PARAS}") == " ".join([*PROSE, "Short."])
+    assert html_extract.main_text("<div class=widget><article><p>Bit.</p></article></div>") == "Bit."
+
+
 def test_main_text_frame(spark):
     frame = spark.createDataFrame([(1, None, "u"), (2, "<article>a  b</article>", None), (2, "<article>a  b</article>", None)], "page_id int, html string, text string")
     got = html_extract.extracted(frame)
