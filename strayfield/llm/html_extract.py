@@ -8,6 +8,11 @@ bad one it goes with the nearer, good at equal distance. Neighbours count inside
 next to an article doesn't decide for it: in an ``article`` or ``main`` section undecided blocks without a decided
 neighbour are good, elsewhere bad. If a page marks an article, blocks outside it are no part of the main text.
 
+Stop words exist for four languages. Where they don't fit, a long block with few links is good whatever its words, and so
+is a shorter one that ends as a sentence does: in a block of mostly other than Latin letters, and in all blocks of a page
+whose text (weighed by length, links and bad places left out) has few stop words on the whole. A Chinese, Japanese or
+Korean character counts as three.
+
 What an element is called condemns it if a part of a class name says so by itself (``ad-box``), or if the whole name does
 (``sidebar``, ``main-menu``, ``cookie-notice``). A whole name that may as well hold text (``notice``, ``widget``) only
 makes its element a place of its own: its long blocks are judged by their text, its short ones by those inside it. Such
@@ -61,6 +66,7 @@ SECTIONED = frozenset("article main".split())  # condemned by the names in FOREI
 SAFE = frozenset("html body".split())
 LONG, SHORT = 200, 70  # characters
 MANY, FEW = 0.20, 0.08  # stop words among the words
+FITS = 0.15  # stop words on a page in one of the four languages
 LINKED, ARTICLE_LINKED = 0.33, 0.9  # characters inside links
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:[\"'][^>]*)?)(?:>|$)", re.S)
@@ -69,6 +75,8 @@ TELLING = re.compile("class|id|role|hidden|style", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 LAYOUT = re.compile("(?:has|with|no|without|is|sticky|category|tag)[-_]")  # says what an element has or is about, not what it is
+WIDE = re.compile("[\u1100-\u11ff\u3005-\u30ff\u3130-\u318f\u31f0-\u31ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+SENTENCE = re.compile("[.!?\u2026;\u037e\u0589\u06d4\u061f\u0964\u0965\u1362\u104b\u17d4\u3002\uff0e\uff01\uff1f\uff61][\\s\"'\u2019\u201d\u00bb)\\]\u300d\u300f\uff09]*$")
 CLEAR, DOUBT, CONDEMNED = 0, 1, 2
 
 
@@ -199,17 +207,47 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, int]]:
     return out
 
 
-def first_pass(text: str, linked: int, bad: bool, section: int) -> int:
+def latin(text: str) -> bool:
+    """Whether at least half of the letters are Latin ones."""
+    if text.isascii():
+        return True
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in letters) >= len(letters)
+
+
+def length(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(WIDE.findall(text))
+
+
+def density(text: str) -> float:
+    """The share of stop words among the words."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+
+
+def linking(text: str, linked: int, section: int) -> bool:
+    return linked > (ARTICLE_LINKED if section else LINKED) * len(text.replace(" ", ""))
+
+
+def fitting(parts: list[tuple[str, int, bool, int, int]]) -> bool:
+    """Whether the page's Latin text is in a language of the stop words."""
+    texts = [text for text, linked, bad, _, _ in parts if not bad and len(text) >= SHORT and not linking(text, linked, 0) and latin(text)]
+    return sum(len(t) * density(t) for t in texts) >= FITS * sum(map(len, texts))
+
+
+def first_pass(text: str, linked: int, bad: bool, section: int, fits: bool = True) -> int:
     """1 good, -1 bad, 0 undecided. In a marked article few stop words don't condemn: it may hold tables or code."""
-    if bad or linked > (ARTICLE_LINKED if section else LINKED) * len(text.replace(" ", "")):
+    if bad or linking(text, linked, section):
         return -1
-    if len(text) < SHORT:
+    size = length(text)
+    if size < SHORT:
         return 0
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    density = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
-    if density >= MANY or (len(text) >= LONG and density >= FEW):
+    share = density(text)
+    if share >= MANY or (size >= LONG and share >= FEW):
         return 1
-    return 0 if section or len(text) < LONG or density > 0 else -1
+    if not fits or not latin(text):
+        return 1 if size >= LONG or SENTENCE.search(text) else 0
+    return 0 if section or size < LONG or share > 0 else -1
 
 
 def second_pass(labels: list[int], places: list[tuple[int, int]]) -> list[int]:
@@ -244,7 +282,8 @@ def main_text(page: str | None) -> str:
     parts = blocks(page or "")
     if any(section and not bad for _, _, bad, section, _ in parts):
         parts = [p for p in parts if p[3] and not p[2]]  # the page says where its article is; an advert in it is no neighbour
-    labels = second_pass([first_pass(*p[:4]) for p in parts], [p[3:] for p in parts])
+    fits = fitting(parts)
+    labels = second_pass([first_pass(*p[:4], fits) for p in parts], [p[3:] for p in parts])
     return " ".join(p[0] for p, label in zip(parts, labels) if label > 0)
 
 

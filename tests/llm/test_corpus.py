@@ -305,6 +305,33 @@ def test_main_text_doubtful_places():
     assert html_extract.main_text("<div class=widget><article><p>Bit.</p></article></div>") == "Bit."
 
 
+FOREIGN_PROSE = {
+    "Russian": ["Вчера вечером в городе прошёл сильный дождь, и улицы старого центра оказались под водой. Жители рассказали, что такого ливня здесь не помнят уже много лет, а городские службы работали до самого утра, чтобы открыть движение.", "Сегодня днём вода начала уходить, и первые автобусы снова вышли на свои обычные маршруты."],
+    "Greek": ["Χθες το βράδυ έπεσε δυνατή βροχή στην πόλη και οι δρόμοι του παλιού κέντρου γέμισαν νερό. Οι κάτοικοι είπαν πως τέτοια νεροποντή είχαν να δουν εδώ και πολλά χρόνια, ενώ τα συνεργεία δούλευαν μέχρι το πρωί.", "Σήμερα το μεσημέρι τα νερά υποχώρησαν και τα λεωφορεία βγήκαν πάλι στους δρόμους."],
+    "Chinese": ["昨天晚上这座城市下了一场大雨,老城区的许多街道都被水淹没。当地居民说,他们已经很多年没有见过这样的暴雨,市政部门的工人一直工作到清晨,才让主要道路重新通车,学校也推迟了上课的时间。", "今天中午积水开始退去,第一批公共汽车重新回到了平时的路线上。"],
+    "Japanese": ["昨日の夜、この町では激しい雨が降り、古い中心街の多くの道が水につかった。住民によると、このような大雨は何年も見たことがないという。市の職員は朝まで働き、ようやく主な道路の通行を再開させた。", "今日の昼ごろには水が引きはじめ、最初のバスがいつもの路線に戻った。"],
+    "Polish": ["Wczoraj wieczorem nad miastem przeszła gwałtowna ulewa, przez którą ulice starego centrum znalazły się pod wodą. Mieszkańcy opowiadali, że takiego deszczu nie widziano tutaj od wielu lat, a służby miejskie pracowały aż do rana.", "Dzisiaj około południa woda zaczęła opadać, więc pierwsze autobusy wróciły na swoje trasy."],
+    "Finnish": ["Eilen illalla kaupungissa satoi rankasti, ja vanhan keskustan kadut jäivät veden alle. Asukkaat kertoivat, ettei tällaista sadetta ole nähty täällä vuosiin, ja kaupungin työntekijät tekivät töitä aamuun asti teiden avaamiseksi.", "Tänään puolenpäivän aikaan vesi alkoi laskea, joten ensimmäiset bussit palasivat reiteilleen."],
+}
+LINK = "<div>" + "".join(f"<a href=/{i}>Ссылка на раздел {i} News</a> " for i in range(30)) + "</div>"
+
+
+@pytest.mark.parametrize("language", sorted(FOREIGN_PROSE))
+def test_main_text_other_languages(language):
+    prose = FOREIGN_PROSE[language]
+    body = "".join(f"<p>{p}</p>" for p in prose)
+    for page in (f"<body>{LINK}<div>{body}</div>{LINK}", f"<body>{LINK}<p>Wikipedia</p>{LINK}<div>{body}</div>", f"<article>{body}{LINK}</article>", f"<div>{body}</div><div class=notice>We use cookies.</div>"):
+        assert html_extract.main_text(page) == " ".join(prose)
+    mixed = f"<body><p>{PROSE[0]}</p><p>{PROSE[1]}</p>{LINK}<div>{body}</div>"
+    if language not in ("Polish", "Finnish"):  # next to another script
+        assert html_extract.main_text(mixed) == " ".join([*PROSE, *prose])
+
+
+def test_main_text_known_language_still_needs_stop_words():
+    tags = "<p>" + "camera lens tripod flash battery " * 8 + "</p>"
+    assert html_extract.main_text(f"<body>{PARAS * 3}{LINK}{tags}") == " ".join([*PROSE, "Short."] * 3)
+
+
 def test_main_text_frame(spark):
     frame = spark.createDataFrame([(1, None, "u"), (2, "<article>a  b</article>", None), (2, "<article>a  b</article>", None)], "page_id int, html string, text string")
     got = html_extract.extracted(frame)
