@@ -21,11 +21,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegralType
 
 from strayfield.llm.common import bucket_count, bucket_totals, fresh, lay_out, replace, row_hash
 from strayfield.session import cut_lineage
+from strayfield.sources.sinks import _fs
 
 SHARDS = 8
+NUMBERED = 1_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -55,8 +58,8 @@ def fewest_moves(old: Sequence[int], room: Sequence[int]) -> list[tuple[int, int
 def resharded(df: DataFrame, old: str, size: Column | None = None, key: Sequence[str] = ("doc_id", "text"), shards: int = SHARDS, room: Sequence[float] | None = None) -> DataFrame:
     """``df`` with ``size``, ``old_shard``, ``shard``, ``slot`` (gapless from 0 in each shard) and ``moved``.
 
-    ``old`` is the column that names the old shard of a row; old shards are numbered by their names, NULL last, and one
-    numbered below ``shards`` may stay. ``size`` is the size of a row, that of ``text`` if not given; a row's place in
+    ``old`` is the column that names the old shard of a row; old shards are numbered by their names, NULL last (a column
+    of whole numbers from 0 to below ``NUMBERED`` is the number itself), and one numbered below ``shards`` may stay. ``size`` is the size of a row, that of ``text`` if not given; a row's place in
     its old shard's stream comes from a hash of ``key``, so reruns agree. ``room`` gives the capacities in proportion; equal ones if not given.
     """
     name, hashed, bucket, start, rank, run = fresh(df, "old_name", "row_hash", "row_bucket", "row_start", "row_rank", "row_run")
@@ -66,6 +69,10 @@ def resharded(df: DataFrame, old: str, size: Column | None = None, key: Sequence
     totals = cut_lineage(bucket_totals(sized, name, run, bucket))
     sizes = totals.groupBy(name).agg(F.sum("size").alias("b")).orderBy(F.col(name).asc_nulls_last()).collect()  # one row per old shard
     olds, held = [r[0] for r in sizes], [r[1] for r in sizes]
+    if isinstance(df.select(F.col(f"`{old}`")).schema[0].dataType, IntegralType) and all(n is None or 0 <= int(n) < NUMBERED for n in olds):
+        last = 1 + max((int(n) for n in olds if n is not None), default=-1)
+        of = {last if n is None else int(n): (n, b) for n, b in zip(olds, held)}
+        olds, held = [of.get(i, (None, 0))[0] for i in range(last + 1)], [of.get(i, (None, 0))[1] for i in range(last + 1)]
     share = [float(x) for x in room] if room else [1.0] * shards
     ends = [round(sum(held) * sum(share[: i + 1]) / sum(share)) for i in range(len(share))]
     flows = fewest_moves(held, [b - a for a, b in zip([0, *ends], ends)])
@@ -103,6 +110,19 @@ def rewritten(placed: DataFrame) -> DataFrame:
 
 
 def rewrite(placed: DataFrame, folder: str) -> None:
-    """Write the affected shards, each in slot order, as ``folder/shard=N``; other shards keep their files."""
-    touched = placed.join(F.broadcast(rewritten(placed)), "shard", "left_semi")
-    touched.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(folder)
+    """Write the affected shards, each in slot order, as ``folder/shard=N``; other shards keep their files.
+
+    ``folder`` is empty or holds the old shards by their numbers in ``old_shard``. Shards that end without rows are
+    removed, and only after the others are written: a call that broke off loses no row, and a second call with the
+    same ``placed`` finishes it. Shards that keep their files keep their columns too (read with ``mergeSchema``).
+    """
+    spark = placed.sparkSession
+    changed = [r[0] for r in rewritten(placed).collect()]  # one row per shard
+    touched = placed.where(F.col("shard").isin(changed))
+    left = {r[0] for r in touched.select("shard").distinct().collect()}
+    ordered = touched.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    for shard in sorted(set(changed) - left):
+        fs, path = _fs(spark, f"{folder}/shard={shard}")
+        if fs.exists(path) and not fs.delete(path, True):
+            raise OSError(f"{folder}/shard={shard} has no rows left and can't be removed")

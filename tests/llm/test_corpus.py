@@ -217,6 +217,36 @@ def test_rewrite(spark, tmp_path):
     assert set(back.shard) == touched and len(back) == placed.where(placed.shard.isin(*touched)).count()
 
 
+@pytest.mark.parametrize("olds", [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, None], [0, 1, 2], [0, 2, 3, 9]])
+def test_rewrite_in_place(spark, tmp_path, olds):
+    from pyspark.sql import functions as F
+
+    per = {0: 40, 1: 40, 2: 90}
+    rows = [(o * 1000 + i if o is not None else 99_000 + i, f"{i:08d}", o) for o in olds for i in range(per.get(o, 25))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    folder, missing = str(tmp_path / "shards"), max(o for o in olds if o is not None) + 1
+    frame.withColumn("shard", F.coalesce("old", F.lit(missing))).drop("old").write.partitionBy("shard").parquet(folder)
+    room = [40, 40, 60, 30] if olds == [0, 1, 2] else None  # here 0 and 1 are not touched
+    placed = sharding.resharded(frame, "old", shards=4 if room else 8, room=room)
+    want = Counter((r.doc_id, r.text, r.shard) for r in placed.collect())
+    kept = {p: p.read_bytes() for s in (0, 1) for p in (tmp_path / "shards" / f"shard={s}").glob("*.parquet")} if room else {}
+    for _ in range(2):  # a second call changes nothing
+        sharding.rewrite(placed, folder)
+        back = spark.read.parquet(folder).select("doc_id", "text", "shard").collect()
+        assert Counter(map(tuple, back)) == want and len(back) == len(rows)
+    assert all(p.read_bytes() == b for p, b in kept.items())
+
+
+def test_rewrite_nothing_moved(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "x" * 9, "ab"[i % 2]) for i in range(20)], SCHEMA)
+    placed = sharding.resharded(frame, "source", shards=2)
+    assert not sharding.rewritten(placed).count()
+    folder = str(tmp_path / "shards")
+    placed.select("doc_id", "text", "shard").write.partitionBy("shard").parquet(folder)
+    sharding.rewrite(placed, folder)
+    assert spark.read.parquet(folder).count() == 20
+
+
 # 5 licences
 
 
