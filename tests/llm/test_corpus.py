@@ -274,6 +274,42 @@ def test_license_canonical_forms(spark):
     assert all(r.c == plain(texts[r.i]) for r in got)
 
 
+def test_license_long_texts(spark):
+    """Every long text is found with other line breaks, a holder's line before it, and in upper case."""
+    rng, rows = random.Random(5), []
+    for i, (name, text) in enumerate(license_scan.long_texts()):
+        body = re.sub(license_scan.COPYRIGHT, "", text, flags=re.I)  # a sample notice inside a text stays inside a line
+        wrapped = re.sub(r"[ \n]++(?!(?:copyright(?=[ ,]+(?:\(c\)|year))|\(c\)|\u00a9|all rights reserved))", lambda m: rng.choice((" ", "\n", "\n * ")), body.replace("\n\n", "\n"), flags=re.I)
+        rows += [(i, name, text), (i, name, f"Copyright 2020 Some One\n\n{text.upper()}"), (i, name, "Copyright The Foo Authors\n" + wrapped)]
+    got = license_scan.scanned(spark.createDataFrame(rows, "i int, name string, text string")).collect()
+    assert not [(r.i, r.name, r.license) for r in got if r.license != r.name]
+    assert {r.name for r in got} >= {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "EPL-1.0", "CC0-1.0", "CC-BY-SA-4.0"}
+
+
+@pytest.mark.parametrize("line", ["Copyright Jane Doe 2020", "Copyright The Foo Authors", "Portions Copyright (c) 2020 X", "Copyright (c) 2020 X", "// \u00a9 X", "(c) Jane Doe, 2020", "Parts of this file are copyright Bar Inc.", "Copyright: 2020, X"])
+def test_license_holder_lines(spark, line):
+    rows = [(1, f"{line}\n\n{license_scan.MIT}"), (2, f"MIT License\n\n# {line}\n{line.upper()}\n{license_scan.MIT}")]
+    assert {r.license for r in license_scan.scanned(spark.createDataFrame(rows, "i int, text string")).collect()} == {"MIT"}
+
+
+NOTICE_LINES = {
+    'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.': ["Apache-2.0"],
+    '# Licensed under the Apache License, Version 2.0 (the\n# "License"); you may not use this file except in\n# compliance with the License. You may obtain a copy of the License at\n#\n#   x': ["Apache-2.0"],
+    " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * More": ["GPL-3.0"],
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": ["LGPL-2.1"],
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": ["MPL-2.0"],
+    "// SPDX-License-Identifier: AGPL-3.0-or-later\nx": ["AGPL-3.0"], "SPDX-License-Identifier: EPL-2.0": ["EPL-2.0"], "Text is available under CC BY-SA 4.0.": ["CC-BY-SA-4.0"],
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": ["CC-BY-SA-3.0"], "Released under GPLv2+\nReleased under the BSD 3-Clause Licence.": ["BSD-3-Clause", "GPL-2.0"],
+    "Published under CC0": ["CC0-1.0"], "It is licensed under some license\nMIT License\nCC BY 4.0": [],
+}
+
+
+def test_license_notices(spark):
+    rows = list(enumerate(NOTICE_LINES))
+    got = {r.i: r.notices for r in license_scan.scanned(spark.createDataFrame(rows, "i int, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == NOTICE_LINES
+
+
 # 6 main text
 
 
