@@ -66,7 +66,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strayfield-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` wrote, once nothing that still has to run reads it."""
+    path = getattr(table, "_scratch", None)
+    if path is None:
+        raise ValueError("not a table that cut_lineage wrote")
+    jvm = table.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def parallelism(spark: SparkSession) -> int:
