@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strayfield.llm import exact_dedup, html_extract, license_scan, minhash, mixing, packing, quality, sharding, suffix_dedup, url_filter
+from strayfield.llm import (
+    exact_dedup,
+    html_extract,
+    license_scan,
+    merkle,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    repair,
+    sharding,
+    simhash,
+    suffix_dedup,
+    url_filter,
+)
 from strayfield.session import configure
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -68,6 +82,20 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select(*merkle.COLUMNS)
+    return merkle.manifest(docs, altered=merkle.lower_cased(docs))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(repair.damaged(turns), ids=turns)
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.labelled(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +110,85 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _SQL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+# CRC-32 of a string's bytes: the table of the 256 bytes, and a fold over the string
+_CRC_TABLE = """crc_bits(n, k, c) as (
+  select n, 0, n from range(256) r(n) union all select n, k + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from crc_bits where k < 8),
+crc as materialized (select list(c order by n) l from crc_bits where k = 8)"""
+
+
+def _crc32(ascii: str) -> str:
+    codes = f"list_transform(string_split({ascii}, ''), lambda x: ord(x)::bigint)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, l[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in merkle.COLUMNS) + ")"
+
 SQL = {
+    "op11_merkle": rf"""
+with recursive {_CRC_TABLE},
+own as (select *, {_crc32("doc_id::varchar")} % 5 = 0 as hit from documents, crc),
+two as materialized (
+  select doc_id, source, {_LEAF} leaf, 0 which, row_number() over () r from own union all by name
+  select doc_id, source, {_LEAF} leaf, 1 which, r from (
+    select * replace (case when hit then translate(text, '{merkle.UPPER}', '{merkle.LOWER}') else text end as text), row_number() over () r from own)),
+d as materialized (
+  select a.doc_id, a.source, a.leaf, b.leaf altered, row_number() over (partition by a.source order by a.doc_id nulls first, a.leaf) - 1 i, count(*) over (partition by a.source) n, a.r
+  from two a join two b on a.r = b.r and a.which = 0 and b.which = 1),
+up(lvl, source, i, n, h) as (
+  select 0, source, i, n, leaf from d
+  union all select lvl + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(h, '' order by i)) from up where n > 1 group by lvl, source, i // 16, n),
+sub as materialized (select source, h subroot, row_number() over (order by source nulls first) - 1 i, count(*) over () n from up where n = 1),
+top(lvl, i, n, h) as (
+  select 0, i, n, subroot from sub union all select lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' order by i)) from top where n > 1 group by lvl, i // 16, n),
+side as materialized (
+  select lvl, source, i, coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') bef, coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') aft
+  from up where n > 1 window w as (partition by lvl, source, i // 16 order by i)),
+over_side as materialized (
+  select lvl, i, coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') bef, coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') aft
+  from top where n > 1 window w as (partition by lvl, i // 16 order by i)),
+fold(r, lvl, source, i, n, acc, proof) as (
+  select r, 0, source, i, n, altered, '' from d
+  union all select f.r, f.lvl + 1, f.source, f.i // 16, (f.n + 15) // 16, sha256(bef || acc || aft), proof || bef || aft
+  from fold f join side s on s.lvl = f.lvl and s.source is not distinct from f.source and s.i = f.i where f.n > 1),
+over_fold(r, lvl, i, n, acc, proof, subroot) as (
+  select f.r, 0, s.i, s.n, f.acc, f.proof, s.subroot from fold f join sub s on s.source is not distinct from f.source where f.n = 1
+  union all select f.r, f.lvl + 1, f.i // 16, (f.n + 15) // 16, sha256(bef || acc || aft), proof || bef || aft, subroot
+  from over_fold f join over_side s on s.lvl = f.lvl and s.i = f.i where f.n > 1)
+select d.doc_id, d.leaf, o.subroot, t.h root, sha256(o.proof) proof_sha256, o.acc folded_root, o.acc = t.h verified
+from over_fold o join d on d.r = o.r join top t on t.n = 1 where o.n = 1""",
+    "op12_conversation_repair": rf"""
+with recursive {_CRC_TABLE},
+raw as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 f from conversations, crc),
+hurt as (
+  select conv_id, turn, case when f = 4 then 'user' else role end role, case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case f when 0 then 0 when 3 then 2 else 1 end)) copy from raw),
+pos as materialized (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) p from hurt),
+judged as materialized (
+  select *, substr(role, 1, 1) c, not regexp_matches(text, '[^ 	-]') blank, row_number() over (partition by conv_id, role, text order by p) > 1 seen,
+    not regexp_matches(text, '[.!?][ 	-]*$') cut, lag(substr(role, 1, 1)) over (partition by conv_id order by p) b4 from pos),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint gaps, count(*) filter (blank)::bigint blank, count(*) filter (not blank and seen)::bigint duplicate,
+    count(*) filter (not blank and not seen and cut)::bigint truncated, count(*) filter (b4 || c not in ('su', 'ua', 'au'))::bigint illegal, max(p) rows from judged group by conv_id),
+ins(q, m, pre, made) as (values (0, 0, '', ''), (0, 2, 'I', chr(10) || 'user:'), (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, '', ''), (1, 2, 'I', chr(10) || 'user:'),
+  (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, '', ''), (2, 3, 'I', chr(10) || 'assistant:'), (3, 3, '', ''), (3, 2, 'I', chr(10) || 'user:')),
+dp(conv_id, p, q, cost, audit, body) as (
+  select conv_id, 0::bigint, 0, 0, '', '' from counts
+  union all
+  select conv_id, p, q2, cost, audit, body from (
+    select d.conv_id, j.p, op, case when op = 'D' then m when op = 'K' and c = 's' then 1 when m = 2 then 3 else 2 end q2,
+      d.cost + 3 * length(pre) + case op when 'D' then 4 when 'R' then 3 else 0 end + case when op <> 'D' and cut then 3 else 0 end as cost, d.audit || pre || op audit,
+      d.body || made || case op when 'D' then '' when 'K' then chr(10) || role || ':' || text else chr(10) || case when m = 2 then 'assistant' else 'user' end || ':' || text end body
+    from dp d join judged j on j.conv_id is not distinct from d.conv_id and j.p = d.p + 1 join ins on ins.q = d.q cross join (values ('D'), ('K'), ('R')) o(op)
+    where op = 'D' or (not blank and not seen and (op = 'R' or (c = 's' and m = 0) or c = case when m = 2 then 'a' else 'u' end)))
+  qualify row_number() over (partition by conv_id, p, q2 order by cost, audit) = 1),
+closed as (
+  select d.conv_id, cost + 3 * length(pre) as cost, audit || pre audit, body || made body,
+    row_number() over (partition by d.conv_id order by cost + 3 * length(pre), audit || pre) k
+  from dp d join counts c on c.conv_id is not distinct from d.conv_id and c.rows = d.p join ins on ins.q = d.q and m in (0, 3))
+select i.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+  coalesce(cost, 0)::bigint as cost, coalesce(audit, '') audit, sha256(coalesce(substr(body, 2), '')) repaired_sha256
+from (select distinct conv_id from conversations) i left join counts n on n.conv_id is not distinct from i.conv_id left join closed x on x.conv_id is not distinct from i.conv_id and k = 1""",
     "op1_url_filter": rf"""
 with p as (
   select page_id, coalesce(strpos(url, '://'), 0) pos, url from pages),
