@@ -5,11 +5,13 @@ with probability equal to their Jaccard similarity, so a signature needs half th
 band, and documents that share a band are candidates: at similarity 0.75 one link in 50,000 shares none of 40 bands.
 
 Equal shingle sets are one class, found by a digest; one member stands for it from there on, so copies cost nothing.
-A band's bucket never becomes all pairs. First each member is confirmed against the bucket's first one. Members that are
-still in other components than the rest of their bucket are then confirmed against a second center, and those that even
-then stay apart against every member of another component: only pairs that neither are linked nor hang together already,
-and whose sizes, shingles of their own and long one-bit sketches allow 0.75, get that far. So no link between different texts is lost to a star's
-choice of center. Confirmation intersects full sets, fetched by joins that Spark splits where one center is hot.
+A band's bucket never becomes all pairs. First each member is confirmed against the bucket's first one, then, in buckets
+whose members still hang in several components, against a second center. What is left is compared in blocks: a small bucket
+is a group; large buckets that share members are one group, so that each set travels once and not once a band; a group is cut
+into blocks of bounded size, and two blocks are one task's work. It counts the shingles that each pair shares, exactly and
+over full sets, as a product of 0/1 matrices, and gives back a spanning forest of the links. So rows and bytes between tasks
+follow the documents, not their pairs, and no link between different texts is lost to a center's choice. Members too many of
+whose shingles occur in no set of the other block can't be linked with any of them and are left out of the product.
 
 Edge cases: a text with fewer than five words has its whole word sequence as its one shingle; one without words, or NULL,
 has none and is linked with nothing. A row with a NULL id can't be named: it is linked with nothing, its component is NULL,
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strayfield.operators.graph import connected_components
+from strayfield.llm.components import components, forest
 from strayfield.session import cut_lineage
 
 SHINGLE = 5
@@ -37,13 +39,15 @@ PERMUTATIONS = BANDS * ROWS // 2
 SKETCH = 192  # signature values with one bit in the sketch
 # Bits that may differ: at 0.75 an eighth of them do on average; this is seven standard deviations more.
 FAR = int(SKETCH / 8 + 7 * (SKETCH * 7 / 64) ** 0.5)
-FINE = 2048  # bits of the sketch that decides on pairs which no center settles, and how many of them may differ
-FINE_FAR = int(FINE / 8 + 6 * (FINE * 7 / 64) ** 0.5)  # six standard deviations more than at 0.75
-CHUNK = 256  # shingles hashed under all permutations at a time
+CROWD = 64  # members of a bucket that is compared as a group of its own
+BLOCK = 1 << 18  # shingles of a block of sets, about; a set counts for LEAST at least
+LEAST = 128
+COLUMNS = 4096  # shingles that a product of two blocks takes at a time
+CHUNK = 2048  # shingles hashed under all permutations at a time
 
 _RANDOM = np.random.default_rng(20240229)
-_A = _RANDOM.integers(0, 2**63, FINE // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 2**63, FINE // 2, dtype=np.uint64)
+_A = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _SPREAD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 _BAND_NO = np.arange(1, BANDS + 1, dtype=np.uint64)
 
@@ -68,12 +72,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(hashes: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
+def signature(hashes: np.ndarray) -> np.ndarray:
     """Minimum, then maximum, of the hashes under each permutation."""
-    low, high = np.full(permutations, np.iinfo(np.uint64).max, np.uint64), np.zeros(permutations, np.uint64)
-    step = CHUNK * (FINE // 2) // permutations
-    for i in range(0, len(hashes), step):
-        h = hashes[i : i + step, None] * _A[:permutations] + _B[:permutations]
+    low, high = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
+    for i in range(0, len(hashes), CHUNK):
+        h = hashes[i : i + CHUNK, None] * _A + _B
         np.minimum(low, h.min(axis=0), out=low)
         np.maximum(high, h.max(axis=0), out=high)
     return np.concatenate([low, high])
@@ -87,9 +90,9 @@ def bands(values: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch(values: np.ndarray, size: int = SKETCH) -> np.ndarray:
-    """One bit of each of ``size`` signature values."""
-    bits = (values[np.linspace(0, len(values) - 1, size).astype(int)] >> np.uint64(41)) & np.uint64(1)
+def sketch(values: np.ndarray) -> np.ndarray:
+    """One bit of each of ``SKETCH`` signature values."""
+    bits = (values[np.linspace(0, len(values) - 1, SKETCH).astype(int)] >> np.uint64(41)) & np.uint64(1)
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -131,20 +134,6 @@ def shingle_sets(df: DataFrame, id: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(collect, f"id {kind.simpleString()}, hashes array<bigint>")
 
 
-def fine_sketches(sets: DataFrame) -> DataFrame:
-    """``rep, fine``: the long sketch of each set."""
-    kind = sets.schema["id"].dataType
-    schema = pa.schema([("rep", to_arrow_type(kind)), ("fine", pa.list_(pa.int64()))])
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_sets = [np.asarray(h, np.int64).view(np.uint64) for h in batch.column(1).to_pylist()]
-            fine = [sketch(signature(h, FINE // 2), FINE) for h in all_sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, schema.field("fine").type)], schema=schema)
-
-    return sets.select("id", "hashes").mapInArrow(draw, f"rep {kind.simpleString()}, fine array<bigint>")
-
-
 def apart(a: Column, b: Column, bits: int) -> Column:
     """Bits in which two sketches differ."""
     return functools.reduce(lambda n, i: n + F.bit_count(a[i].bitwiseXOR(b[i])), range(1, bits // 64), F.bit_count(a[0].bitwiseXOR(b[0])))
@@ -165,18 +154,85 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").where(similar).select("u", "v").distinct()
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """``rep, own``: how many shingles of a set no other set has. None of them can be shared by any pair."""
-    each = sets.select("id", F.explode("hashes").alias("h"))
-    alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where("c = 1")
-    several = sets.groupBy(F.col("id").alias("rep")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")  # an id with two texts
-    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own")).join(several, "rep", "left_anti")
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of ``a`` and of ``b`` (or of ``a`` again) that may be similar to one of the others, and how many hashes each two share."""
+    sides = [a] if b is None else [a, b]
+    sizes = [np.array([len(x) for x in s]) for s in sides]
+    flat = [np.concatenate(s) for s in sides]
+    owner = [np.repeat(np.arange(len(s)), n) for s, n in zip(sides, sizes)]
+    while True:
+        if b is None:
+            values, times = np.unique(flat[0], return_counts=True)
+            common = values[times > 1]
+        else:
+            common = np.intersect1d(*map(np.unique, flat))
+        before = sum(map(len, flat))
+        for i, n in enumerate(sizes):
+            inside = np.isin(flat[i], common)
+            held = np.bincount(owner[i][inside], minlength=len(n))
+            enough = inside & (held * 100 >= n * SIMILAR)[owner[i]]
+            flat[i], owner[i] = flat[i][enough], owner[i][enough]
+        if sum(map(len, flat)) == before:
+            break
+    rows, index = zip(*[np.unique(o, return_inverse=True) for o in owner])
+    place = [np.searchsorted(common, f) for f in flat]
+    both = np.zeros((len(rows[0]), len(rows[-1])), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        parts = []
+        for i, r in enumerate(rows):
+            here = (place[i] >= at) & (place[i] < at + COLUMNS)
+            parts.append(np.zeros((len(r), min(COLUMNS, len(common) - at)), np.float32))
+            parts[-1][index[i][here], place[i][here] - at] = 1
+        both += parts[0] @ parts[-1].T
+    return rows[0], rows[-1], both
+
+
+def block_links(table: pa.Table) -> pa.Table:
+    """``u, v``: a spanning forest of the links between two blocks of sets (``side`` 0 and 1), or within one."""
+    side = table["side"].to_numpy()
+    ids = table["rep"].to_numpy()
+    sets = [x.values.to_numpy() for x in table["hashes"]]
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if len(second) == 0:
+        second = None
+    x, y, both = shared_counts([sets[i] for i in first], None if second is None else [sets[i] for i in second])
+    x, y = first[x], (first if second is None else second)[y]
+    n = np.array([len(s) for s in sets])
+    i, j = np.nonzero(both * 100 >= (n[x][:, None] + n[y][None, :] - both) * SIMILAR)
+    apart = ids[x[i]] != ids[y[j]]
+    u, v = forest(ids[x[i[apart]]], ids[y[j[apart]]])
+    return pa.table({"u": pa.array(u, table.schema.field("rep").type), "v": pa.array(v, table.schema.field("rep").type)})
+
+
+def groups(rest: DataFrame) -> DataFrame:
+    """``grp, rep``: the members ``key, rep`` of buckets in groups, each pair of a bucket together in one at least."""
+    size = rest.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("low"))
+    sized = cut_lineage(rest.join(size, "key"))
+    lists = sized.where(F.col("c") <= CROWD).groupBy("key").agg(F.array_sort(F.collect_set("rep")).alias("reps")).select("reps").distinct()
+    small = lists.select(F.concat(F.lit("b"), F.hex(F.xxhash64("reps")), F.lit(":"), F.array_min("reps").cast("string")).alias("grp"), F.explode("reps").alias("rep"))
+    crowd = sized.where(F.col("c") > CROWD)
+    root = components(crowd.select(F.col("rep").alias("u"), F.col("low").alias("v")))
+    large = crowd.select("rep").distinct().join(root, F.col("rep") == F.col("node"), "left").select(F.concat(F.lit("c"), F.coalesce("root", "rep").cast("string")).alias("grp"), "rep")
+    return small.unionByName(large)
+
+
+def compared(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the members ``key, rep`` of buckets, compared in blocks over full sets."""
+    weighed = groups(rest).join(sets.groupBy(F.col("id").alias("rep")).agg(F.sum(F.greatest(F.size("hashes"), F.lit(LEAST))).alias("w")), "rep")
+    member = cut_lineage(weighed)
+    blocks = member.groupBy("grp").agg(F.ceil(F.sum("w") / F.lit(BLOCK)).cast("int").alias("nb"))
+    placed = member.join(blocks, "grp").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    dealt = placed.select("grp", "rep", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    tasks = dealt.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep")
+    kind = sets.schema["id"].dataType.simpleString()
+    held = tasks.join(sets.select(F.col("id").alias("rep"), "hashes"), "rep")
+    return held.groupBy("grp", "i", "j").applyInArrow(block_links, f"u {kind}, v {kind}")
 
 
 def _merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
     """``rep, comp`` after joining the components that ``edges`` connect; only component ids enter the graph."""
     ends = edges.join(comp.select(F.col("rep").alias("u"), F.col("comp").alias("a")), "u").join(comp.select(F.col("rep").alias("v"), F.col("comp").alias("b")), "v")
-    root = connected_components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    root = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
     joined = comp.join(root, comp["comp"] == root["node"], "left").select("rep", F.coalesce("root", "comp").alias("comp"))
     return cut_lineage(joined)
 
@@ -190,7 +246,7 @@ def labelled(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     member = reps.select(F.explode("bands").alias("key"), "rep")
     size = member.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min_by("rep", F.xxhash64(F.lit(1), "rep")).alias("alt"))
     shared = cut_lineage(member.join(size.where("lo < hi"), "key").select("key", "rep", "lo", "alt"))
-    facts = cut_lineage(reps.select("rep", "of", "bands").join(shared.select("rep").distinct(), "rep"))
+    facts = cut_lineage(reps.select("rep", "of").join(shared.select("rep").distinct(), "rep"))
     near = facts.select("rep")
     sets = cut_lineage(shingle_sets(df.join(near.withColumnRenamed("rep", id), id, "left_semi"), id, text))
 
@@ -202,31 +258,19 @@ def labelled(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 
     firsts = test(shared.where("rep > lo").select(F.col("lo").alias("u"), F.col("rep").alias("v")))
     comp = _merged(near.select("rep", F.col("rep").alias("comp")), firsts)
-    for turn in ("second center", "all that stay apart"):
-        mixed = shared.join(comp, "rep")
-        open_keys = mixed.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).where("one < two").select("key")
-        mixed = cut_lineage(mixed.join(open_keys, "key"))
-        if mixed.isEmpty():
-            break
-        if turn == "second center":
-            center = comp.select(F.col("rep").alias("alt"), F.col("comp").alias("other"))
-            across = mixed.where("alt <> rep and alt <> lo and rep <> lo").join(center, "alt").where("comp <> other")
-            pairs = across.select(F.least("alt", "rep").alias("u"), F.greatest("alt", "rep").alias("v"))
-        else:
-            rest = mixed.where("rep <> lo and rep <> alt")
-            left = cut_lineage(sets.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-            rest = rest.join(facts, "rep").join(fine_sketches(left), "rep").join(own_shingles(left), "rep", "left")
-            rest = cut_lineage(rest.withColumns({"no": F.array_position("bands", F.col("key")), "most": F.col("of.n") - F.coalesce("own", F.lit(0))}))
-            x, y = rest.alias("x"), rest.alias("y")
-            other = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-            both = F.least("x.most", "y.most")  # shingles that the two can share at most
-            enough = both * 100 >= (F.col("x.of.n") + F.col("y.of.n") - both) * SIMILAR
-            like = enough & possible("x.of", "y.of") & (apart(F.col("x.fine"), F.col("y.fine"), FINE) <= FINE_FAR)
-            same = F.zip_with("x.bands", "y.bands", lambda a, b: a == b)  # a pair counts in the first band it shares
-            pairs = x.join(y, other & like & (F.array_position(same, True) == F.col("x.no"))).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
-        links = test(pairs)
-        if not links.isEmpty():
-            comp = _merged(comp, links)
+
+    def still_open(members: DataFrame) -> DataFrame:
+        """The members ``key, rep, ...`` of buckets that hang in several components, with theirs."""
+        mixed = members.join(comp, "rep")
+        keys = mixed.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).where("one < two").select("key")
+        return mixed.join(keys, "key")
+
+    mixed = cut_lineage(still_open(shared))
+    center = comp.select(F.col("rep").alias("alt"), F.col("comp").alias("other"))
+    across = mixed.where("alt <> rep and alt <> lo and rep <> lo").join(center, "alt").where("comp <> other")
+    comp = _merged(comp, test(across.select(F.least("alt", "rep").alias("u"), F.greatest("alt", "rep").alias("v"))))
+    rest = cut_lineage(still_open(mixed.where("rep <> lo and rep <> alt").select("key", "rep")).select("key", "rep"))
+    comp = _merged(comp, cut_lineage(compared(rest, sets)))
     root = comp.where("comp <> rep")
     of_class = classes.join(root, "rep", "left").select("set", F.coalesce("comp", "rep").alias("root"))
     out = all_rows.select("id", F.col("n").alias("n_shingles"), "set").join(of_class, "set", "left")
