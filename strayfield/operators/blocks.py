@@ -1,14 +1,12 @@
 """Distance work in blocks: the shared machinery of nearest-neighbour and radius operators.
 
-Pairs never become rows. Bank vectors fall into cells (Voronoi cells of sampled pivots, or given groups);
-a query visits only the cells the triangle inequality cannot rule out; cells are cut into blocks and their
-visitors into chunks of bounded size, and one (block, chunk) pair is one small matrix product inside a
-task. A cell of any size is therefore spread over many tasks.
+Pairs never become rows. Bank vectors fall into cells (leaves of a pivot tree, inverted lists, or given groups); cells
+are cut into blocks and their visitors into chunks of bounded size, and one (block, chunk) pair is one small matrix
+product inside a task. A cell of any size is therefore spread over many tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from strayfield.session import cut_lineage
 
 BLOCK_ROWS = 32768
 TILE = 4_000_000  # elements of one distance matrix held in memory
@@ -66,7 +63,7 @@ def as_metric_space(d: np.ndarray, metric: str, p: float = 1.5) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Cells:
-    """Pivots with the size and radius of their cells: at most the square root of the bank's rows (``make_cells``)."""
+    """Centres of inverted lists with their sizes: as many as the caller asks for."""
 
     pivots: np.ndarray
     count: np.ndarray
@@ -83,44 +80,6 @@ class Cells:
         return (slice(lo, lo + step) for lo in range(0, rows, step))
 
 
-def make_cells(
-    bank: DataFrame, metric: str, p: float = 1.5, block_rows: int = BLOCK_ROWS, pivots: int | None = None
-) -> tuple[DataFrame, Cells | None]:
-    """Add ``cell`` to ``bank(bank_id, vec)``: a cell for each block of rows, up to the square root of the rows, so that
-    neither the pivots nor a cell outgrows the other. A bank that fits one block gets a single cell and no pivots."""
-    rows = bank.count()
-    wanted = pivots or min(math.isqrt(rows) + 1, -(-rows // block_rows))
-    if wanted <= 1:
-        return bank.withColumn("cell", F.lit(0).cast("long")), None
-    every = max(1, rows // (4 * wanted))
-    chosen = (
-        bank.withColumn("h", F.xxhash64("bank_id"))
-        .where(F.pmod("h", F.lit(every)) == 0)
-        .orderBy("h", "bank_id")
-        .limit(wanted)
-        .select("vec")
-        .collect()
-    )
-    pivot = np.array([r["vec"] for r in chosen], dtype=np.float64)
-    bare = Cells(pivot, np.zeros(0), np.zeros(0), metric, p)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in bare.strips(len(pdf)):
-                part = pdf.iloc[at]
-                d = bare.to_pivots(matrix(part["vec"]))
-                cell = d.argmin(1)
-                yield part.assign(cell=cell.astype(np.int64), pivot_distance=d[np.arange(len(d)), cell])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bank.schema.fields)
-    placed = cut_lineage(bank.mapInPandas(assign, f"{kept}, cell long, pivot_distance double"))
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("pivot_distance").alias("r")).collect()
-    count, radius = np.zeros(len(pivot)), np.full(len(pivot), -1.0)
-    for s in stats:
-        count[s["cell"]], radius[s["cell"]] = s["n"], s["r"]
-    return placed.drop("pivot_distance"), Cells(pivot, count, radius, metric, p)
-
-
 def visit(queries: DataFrame, cells: Cells | None, reach: Callable[[np.ndarray, Cells], np.ndarray]) -> DataFrame:
     """One row per (query, cell to search). ``reach`` gives the mask of cells from the pivot distances."""
     if cells is None:
@@ -137,24 +96,6 @@ def visit(queries: DataFrame, cells: Cells | None, reach: Callable[[np.ndarray,
     return queries.mapInPandas(choose, f"{kept}, cell long")
 
 
-def nearest_reach(k: int) -> Callable[[np.ndarray, Cells], np.ndarray]:
-    """Cells that may hold one of the k nearest: distance to the cell at most the bound on the k-th distance."""
-
-    def reach(d: np.ndarray, cells: Cells) -> np.ndarray:
-        filled = cells.count > 0
-        upper = np.where(filled[None, :], d + cells.radius[None, :], np.inf)
-        order = np.argsort(upper, axis=1)
-        enough = np.cumsum(cells.count[order], axis=1) >= min(k, cells.count.sum())
-        kth = np.take_along_axis(upper, order, 1)[np.arange(len(d)), enough.argmax(1)]
-        return filled[None, :] & (d - cells.radius[None, :] <= kth[:, None] * (1 + 1e-9) + 1e-9)
-
-    return reach
-
-
-def radius_reach(eps: float) -> Callable[[np.ndarray, Cells], np.ndarray]:
-    return lambda d, cells: (cells.count > 0)[None, :] & (d - cells.radius[None, :] <= eps * (1 + 1e-9) + 1e-9)
-
-
 def probe_reach(probes: int, k: int) -> Callable[[np.ndarray, Cells], np.ndarray]:
     """The approximate search: the ``probes`` nearest cells, and more where these hold fewer than ``k`` rows."""
 
@@ -177,17 +118,11 @@ def block_join(
     block_rows: int = BLOCK_ROWS,
     query_rows: int = BLOCK_ROWS,
     cell: str = "cell",
-    few_cells: bool = True,
 ) -> DataFrame:
-    """Run ``kernel(visitors, block)`` on every (block, chunk) of every cell that has both.
-
-    Pivots already live in every task, so the sizes of their cells are broadcast; pass ``few_cells=False`` when the
-    cells are groups of the data.
-    """
+    """Run ``kernel(visitors, block)`` on every (block, chunk) of every cell that has both."""
     blocks = bank.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_nb"))
     chunks = visits.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(query_rows)).cast("int").alias("_nc"))
     sizes = blocks.join(chunks, cell)
-    sizes = F.broadcast(sizes) if few_cells else sizes
     q = (
         visits.join(sizes, cell)
         .withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.col("_nc")).cast("int"))

@@ -11,7 +11,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from strayfield.operators import blocks as B
+from strayfield.operators import blocks as B, pivots as T
 from strayfield.operators.ordering import attach
 from strayfield.session import cut_lineage
 
@@ -105,12 +105,9 @@ def linear_map(df: DataFrame, vec: str, weights: np.ndarray, out: str) -> DataFr
 
 @dataclass(frozen=True)
 class Index:
-    """A bank that is ready to be searched: its rows placed in cells, written once when there are several."""
+    """A bank that is ready to be searched: its rows in the leaves of a pivot tree, written once when there are several."""
 
-    placed: DataFrame
-    cells: B.Cells | None
-    metric: str
-    p: float
+    tree: T.Tree
     whiten: np.ndarray | None
     block_rows: int
 
@@ -125,21 +122,51 @@ def index_bank(
     if metric == "mahalanobis":
         whiten = np.linalg.inv(np.linalg.cholesky(covariance(b, "vec")[1]))
         b, metric = linear_map(b, "vec", whiten, "vec"), "l2sq"
-    placed, cells = B.make_cells(b, metric, p, block_rows)
-    return Index(placed, cells, metric, p, whiten, block_rows)
+    return Index(T.grow(b, metric, p, block_rows), whiten, block_rows)
+
+
+def _queries(query: DataFrame, index: Index, query_id: str, vec: str) -> DataFrame:
+    q = query.select(F.col(query_id).alias("query_id"), F.col(vec).alias("vec"))
+    return q if index.whiten is None else linear_map(q, "vec", index.whiten, "vec")
+
+
+def _bounded(q: DataFrame, index: Index, k: int) -> tuple[DataFrame, DataFrame]:
+    """The best ``k`` of the nearest leaves that hold as many rows, and the other leaves within the last one's distance."""
+    tree, kernel, schema = index.tree, *_leaf_search(q, index, k)
+    near = cut_lineage(T.descend(q, tree, T.until(k)))
+    found = cut_lineage(_merge(B.block_join(near, tree.placed, kernel, schema, index.block_rows, index.block_rows), k))
+    far = F.max("distance")
+    bound = {"l2sq": F.sqrt(far), "cosine": F.sqrt(2 * far), "l1": far}.get(tree.metric, F.pow(far, F.lit(1.0 / tree.p)))
+    bounds = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, bound).otherwise(F.lit(float("inf"))).alias("bound"))
+    wide = T.descend(q.join(bounds, "query_id"), tree, T.within())
+    return found, wide.join(near.select("query_id", "cell"), ["query_id", "cell"], "left_anti").drop("bound")
+
+
+def _leaf_search(q: DataFrame, index: Index, k: int):
+    schema = f"query_id {_type(q, 'query_id')}, bank_id {_type(index.tree.placed, 'bank_id')}, distance double"
+    return _nearest_kernel(index.tree.metric, index.tree.p, k), schema
 
 
 def search(query: DataFrame, index: Index, k: int, query_id: str = "vec_id", vec: str = "vec") -> DataFrame:
-    """Exact k nearest rows of an indexed bank per query: ``(query_id, bank_id, distance, rn)``."""
+    """Exact k nearest rows of an indexed bank per query: ``(query_id, bank_id, distance, rn)``. Query ids are unique."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    q = query.select(F.col(query_id).alias("query_id"), F.col(vec).alias("vec"))
-    if index.whiten is not None:
-        q = linear_map(q, "vec", index.whiten, "vec")
-    visits = B.visit(q, index.cells, B.nearest_reach(k))
-    schema = f"query_id {_type(q, 'query_id')}, bank_id {_type(index.placed, 'bank_id')}, distance double"
-    kernel = _nearest_kernel(index.metric, index.p, k)
-    return _merge(B.block_join(visits, index.placed, kernel, schema, index.block_rows, index.block_rows), k)
+    q, tree = _queries(query, index, query_id, vec), index.tree
+    kernel, schema = _leaf_search(q, index, k)
+    if tree.top is None:
+        return _merge(B.block_join(T.descend(q, tree, T.until(k)), tree.placed, kernel, schema, index.block_rows, index.block_rows), k)
+    found, rest = _bounded(q, index, k)
+    more = B.block_join(rest, tree.placed, kernel, schema, index.block_rows, index.block_rows)
+    return _merge(found.drop("rn").unionByName(more), k)
+
+
+def leaves_visited(query: DataFrame, index: Index, k: int, query_id: str = "vec_id", vec: str = "vec") -> DataFrame:
+    """``(query_id, visited, leaves)``: how many leaves an exact search of each query looks at, and how many there are."""
+    q, total = _queries(query, index, query_id, vec), F.lit(index.tree.leaves())
+    near = T.descend(q, index.tree, T.until(k)).select("query_id", "cell")
+    if index.tree.top is not None:
+        near = near.unionByName(_bounded(q, index, k)[1].select("query_id", "cell"))
+    return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("visited")).withColumn("leaves", total)
 
 
 def knn(
@@ -222,7 +249,7 @@ def self_score(
     )
     visits = attach(rows.withColumnRenamed("bank_id", "query_id"), k, ["cell"])
     schema = f"query_id {_type(df, item)}, bank_id {_type(df, item)}, distance double"
-    partial = B.block_join(visits, rows, _nearest_kernel(metric, 1.5, None), schema, block_rows, block_rows, few_cells=False)
+    partial = B.block_join(visits, rows, _nearest_kernel(metric, 1.5, None), schema, block_rows, block_rows)
     ks = visits.select("query_id", F.col("cell").alias(group), "k")
     w = W.partitionBy("query_id").orderBy("distance", "bank_id")
     ranked = partial.withColumn("rn", F.row_number().over(w)).join(ks, "query_id").where(F.col("rn") <= F.col("k"))
@@ -234,7 +261,7 @@ def _in_batches(df: DataFrame, batch: str, item: str, vec: str, kernel, schema:
     cell = F.xxhash64(F.col(batch).isNull(), F.col(batch)).alias("cell")
     rows = df.select(cell, F.col(item).alias("bank_id"), F.col(vec).alias("vec"))
     visits = df.select(cell, F.col(item).alias("query_id"), F.col(batch).alias("batch"), F.col(vec).alias("vec"))
-    return B.block_join(visits, rows, kernel, schema, block_rows, block_rows, few_cells=False)
+    return B.block_join(visits, rows, kernel, schema, block_rows, block_rows)
 
 
 def _block_distances(q: pd.DataFrame, b: pd.DataFrame, metric: str) -> Iterator[np.ndarray]:

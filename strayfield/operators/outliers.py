@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from strayfield.functions.arrays import alignment_divergence, cosine
-from strayfield.operators import blocks as B
+from strayfield.operators import blocks as B, pivots as T
 from strayfield.operators.graph import connected_components
 from strayfield.operators.neighbours import distance_sums, knn
 from strayfield.operators.ordering import attach, row_index
@@ -45,8 +45,8 @@ def _strips(q: np.ndarray, b: np.ndarray):
 
 
 def _radius_join(queries: DataFrame, bank: DataFrame, eps: float, kernel, schema: str, block_rows: int) -> DataFrame:
-    placed, cells = B.make_cells(bank, "l2sq", block_rows=block_rows)
-    return B.block_join(B.visit(queries, cells, B.radius_reach(eps)), placed, kernel, schema, block_rows, block_rows)
+    tree = T.grow(bank, "l2sq", block_rows=block_rows)
+    return B.block_join(T.descend(queries, tree, T.within(eps)), tree.placed, kernel, schema, block_rows, block_rows)
 
 
 def _weighted_points(df: DataFrame, item: str, vec: str) -> DataFrame:
@@ -230,10 +230,10 @@ def mean_shift(
         return rows.select("vec").distinct().select(F.xxhash64("vec").alias("query_id"), "vec")
 
     active, settled = seeds(points), []
-    placed, cells = B.make_cells(bank, "l2sq", block_rows=block_rows)
+    tree = T.grow(bank, "l2sq", block_rows=block_rows)
     while True:
-        visits = B.visit(active, cells, B.radius_reach(bw))
-        part = B.block_join(visits, placed, average, "query_id long, n long, s array<double>", block_rows, block_rows)
+        visits = T.descend(active, tree, T.within(bw))
+        part = B.block_join(visits, tree.placed, average, "query_id long, n long, s array<double>", block_rows, block_rows)
         summed = part.groupBy("query_id").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", i)) for i in range(dims)]).alias("s"))
         moved = active.join(summed.where("n > 0"), "query_id").withColumn("to", F.transform("s", lambda x: F.round(x / F.col("n"), 9)))
         gap = F.sqrt(F.aggregate(F.zip_with("vec", "to", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
