@@ -42,12 +42,14 @@ FAR = int(SKETCH / 8 + 7 * (SKETCH * 7 / 64) ** 0.5)
 CROWD = 64  # members of a bucket that is compared as a group of its own
 BLOCK = 1 << 18  # shingles of a block of sets, about; a set counts for LEAST at least
 LEAST = 128
+FILTER = 1 << 26  # bits of a filter of ids, 8 MB
 COLUMNS = 4096  # shingles that a product of two blocks takes at a time
 CHUNK = 2048  # shingles hashed under all permutations at a time
 
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
+_U = np.uint64
 _SPREAD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 _BAND_NO = np.arange(1, BANDS + 1, dtype=np.uint64)
 
@@ -121,17 +123,36 @@ def signed(df: DataFrame, id: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(sign, ddl)
 
 
-def shingle_sets(df: DataFrame, id: str, text: str) -> DataFrame:
-    """``id, hashes``: the full shingle set of every row."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter with one hash of the column ``rep``, as words of 64 bits: 16 bits for each id, ``FILTER`` bits at most.
+
+    It only saves work: what passes is joined exactly afterwards, so at its bound it lets more through and nothing else.
+    """
+    size = min(FILTER, max(64, 1 << (16 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("rep"), F.lit(size))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+    words = ids.groupBy(F.expr(f"pmod(xxhash64(rep), {size}) div 64").alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(size // 64, np.int64)
+    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def shingle_sets(df: DataFrame, id: str, text: str, near: DataFrame) -> DataFrame:
+    """``id, hashes``: the full shingle set of every row whose id is in ``near(rep)``. The sets travel, not the texts."""
     kind = df.schema[id].dataType
     schema = pa.schema([("id", to_arrow_type(kind)), ("hashes", pa.list_(pa.int64()))])
+    wanted = id_filter(near)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(whole).view(np.int64) for whole in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, schema.field("hashes").type)], schema=schema)
+            at = batch.column(2).to_numpy().view(np.uint64) & _U(len(wanted) * 64 - 1)
+            keep = pa.array((wanted[at >> _U(6)] >> (at & _U(63)) & _U(1)).astype(bool))
+            sets = [shingles(whole).view(np.int64) for whole in batch.column(1).filter(keep).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(sets, schema.field("hashes").type)], schema=schema)
 
-    return df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(collect, f"id {kind.simpleString()}, hashes array<bigint>")
+    rows = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{id}`")).alias("h"))
+    found = rows.mapInArrow(collect, f"id {kind.simpleString()}, hashes array<bigint>")
+    return found.join(near.withColumnRenamed("rep", "id"), "id", "left_semi")
 
 
 def apart(a: Column, b: Column, bits: int) -> Column:
@@ -248,7 +269,7 @@ def labelled(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     shared = cut_lineage(member.join(size.where("lo < hi"), "key").select("key", "rep", "lo", "alt"))
     facts = cut_lineage(reps.select("rep", "of").join(shared.select("rep").distinct(), "rep"))
     near = facts.select("rep")
-    sets = cut_lineage(shingle_sets(df.join(near.withColumnRenamed("rep", id), id, "left_semi"), id, text))
+    sets = cut_lineage(shingle_sets(df, id, text, near))
 
     def test(pairs: DataFrame) -> DataFrame:
         """Edges among ``u, v``, each pair tested once."""
