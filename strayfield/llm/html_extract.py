@@ -1,7 +1,7 @@
 """The main text of a web page by two passes over its blocks.
 
 A page is cut into blocks at block-level tags. Pass one looks at each block alone: a block inside a menu, header, footer,
-sidebar, notice, advert, form or comment section is bad, whatever its text; a block with many links is bad; a long block
+sidebar, notice, advert or comment section, or in a form with little text for its controls, is bad, whatever its text; a block with many links is bad; a long block
 with many stop words is good, one with few is bad; what is left (short, or of middling stop words) is undecided. Pass two
 gives an undecided block the label of its nearest decided neighbours: equal labels settle it, and between a good and a
 bad one it goes with the nearer, good at equal distance. Neighbours count inside the block's own section only, so a menu
@@ -16,7 +16,8 @@ Korean character counts as three.
 What an element is called condemns it if a part of a class name says so by itself (``ad-box``), or if the whole name does
 (``sidebar``, ``main-menu``, ``cookie-notice``). A whole name that may as well hold text (``notice``, ``widget``) only
 makes its element a place of its own: its long blocks are judged by their text, its short ones by those inside it. Such
-words as a part of a name (``elementor-widget-container``) say nothing. ``hidden`` is the attribute, not a word in one.
+words as a part of a name (``elementor-widget-container``) say nothing, and ``ad-free`` is no advert. A form is a place of its
+own while it is judged; one around the text of a page is none. ``hidden`` is the attribute, not a word in one.
 
 Each page is handled by itself: no shuffle. Edge cases: a NULL or empty page has an empty text; unclosed tags, tags cut off
 at the end of the page and unknown character references are read as browsers do; repeated pages are extracted alike.
@@ -35,8 +36,10 @@ from strayfield.llm.common import replace
 # HTML element names, and the commonest words of four languages.
 SKIPPED = frozenset("script style noscript template iframe object svg math canvas select textarea button head title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
-BAD = frozenset("nav header footer aside form dialog menu".split())
+BAD = frozenset("nav header footer aside dialog menu".split())
 SECTIONS = frozenset("article main".split())
+FOREIGN_ROOTS = frozenset("svg math".split())  # inside them, and for them, a slash closes an element
+CONTROLS = frozenset("input select textarea button".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -64,13 +67,16 @@ AROUND = frozenset("site main top bottom global primary secondary mobile bar box
 FOREIGN = frozenset("comment comments reply replies related recommended ad ads advert advertisement sponsored promo".split())
 SECTIONED = frozenset("article main".split())  # condemned by the names in FOREIGN only
 SAFE = frozenset("html body".split())
+QUALIFIED = frozenset("free supported blocker".split())  # beside them a word such as ad says nothing
 LONG, SHORT = 200, 70  # characters
+PER_CONTROL = 150  # characters of a form for each of its controls, and for one at least, from which on its text counts
 MANY, FEW = 0.20, 0.08  # stop words among the words
 FITS = 0.15  # stop words on a page in one of the four languages
 LINKED, ARTICLE_LINKED = 0.33, 0.9  # characters inside links
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:[\"'][^>]*)?)(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:[\"'][^>]*)?)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 TELLING = re.compile("class|id|role|hidden|style", re.I)
 PARTS = re.compile(r"[^a-z0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -83,7 +89,7 @@ CLEAR, DOUBT, CONDEMNED = 0, 1, 2
 def named(name: str) -> int:
     """What one class name or id says of its element."""
     parts = [p for p in PARTS.split(name) if p]
-    if not parts or LAYOUT.match(name):
+    if not parts or LAYOUT.match(name) or not QUALIFIED.isdisjoint(parts):
         return CLEAR
     if not FIRM.isdisjoint(parts) or parts[-1] in LAST:
         return CONDEMNED
@@ -121,8 +127,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, int]]:
     """``(text, linked characters, bad by its place, article section, doubtful element)`` of each block with a text; 0 is none."""
     out: list[tuple[str, int, bool, int, int]] = []
     stack: list[tuple[str, bool, int, int]] = []  # open elements: name, bad from here on, section, doubtful element
+    links: list[int] = []  # places in the stack of the open links
+    forms: list[list[int]] = []  # open forms: place in the stack, first block, controls, doubtful element, the one around it
     texts: list[str] = []
-    linked, links, skip, bad, section, doubt, sections, doubts, at = 0, 0, 0, False, 0, 0, 0, 0, 0
+    linked, skip, foreign, bad, section, doubt, sections, doubts, at = 0, 0, 0, False, 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked, texts
@@ -139,13 +147,24 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, int]]:
             if links:
                 linked += len("".join(text.split()))
 
+    def settle(_: int, first: int, controls: int, own: int, around: int) -> None:
+        """A form with little text for its controls is bad; one around a page's text is no place of its own."""
+        little = sum(len(b[0]) for b in out[first:]) < PER_CONTROL * max(1, controls)
+        for i in range(first, len(out)):
+            text, of_links, was_bad, where, place = out[i]
+            out[i] = (text, of_links, was_bad or little, where, around if place == own else place)
+
     def close(n: int) -> None:
         """Close the elements from place ``n`` of the stack on."""
-        nonlocal bad, section, doubt, links, skip
+        nonlocal bad, section, doubt, foreign, skip
         for name, *_ in stack[n:]:
-            links -= name == "a"
+            foreign -= name in FOREIGN_ROOTS
             skip -= name in SKIPPED
         del stack[n:]
+        while links and links[-1] >= n:
+            links.pop()
+        while forms and forms[-1][0] >= n:
+            settle(*forms.pop())
         bad, section, doubt = stack[-1][1:] if stack else (False, 0, 0)
 
     end = len(page)
@@ -186,24 +205,38 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, int]]:
         elif tag in ("br", "img"):
             texts.append(" ")
         attributes = found[3] or ""
-        if tag in VOID or attributes.endswith("/"):
+        if forms and tag in CONTROLS and "hidden" not in attributes.lower():
+            forms[-1][2] += 1
+        if tag in VOID or (attributes.endswith("/") and (foreign or tag in FOREIGN_ROOTS)):
             continue
-        if tag in RAW:
+        if tag in RAW and not foreign:
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
+        if tag == "a":  # a link ends where the next one begins
+            for n in range(len(stack) - 1, -1, -1):
+                if stack[n][0] == "a":
+                    close(n)
+                    break
+                if stack[n][0] in BLOCKS:
+                    break
         says = judged(tag, attributes)
         bad = bad or says == CONDEMNED
         if tag in SECTIONS and not section:
             sections += 1
             section, doubt = sections, 0
-        elif says == DOUBT:
+        elif says == DOUBT or tag == "form":
             doubts += 1
+            if tag == "form":
+                forms.append([len(stack), len(out), 0, doubts, doubt])
             doubt = doubts
         stack.append((tag, bad, section, doubt))
-        links += tag == "a"
+        if tag == "a" and HREF.search(attributes):
+            links.append(len(stack) - 1)
+        foreign += tag in FOREIGN_ROOTS
         skip += tag in SKIPPED
     flush()
+    close(0)
     return out
 
 
