@@ -31,6 +31,7 @@ BLOCK_WORDS = 4096  # most words of a block
 BLOCKS = 256  # a source and its target have so many blocks at least, if they have as many words
 ROUNDS = 24  # of the keyed bijection
 NO_LONGS = "array<bigint>"
+MADE = frozenset(f"mix_{n}" for n in "row size source_size target shard order pass first words hash key bucket start rank of block blocks quota piece draw".split())
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -166,9 +167,10 @@ def mixed(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
     ``mix_row`` (tells the rows of ``df`` apart), ``mix_size``, ``mix_source_size``, ``mix_target``, and for the piece
     ``mix_shard``, ``mix_order``, ``mix_pass``, ``mix_first`` (words of the document before it) and ``mix_words``.
-    A document that is not drawn has one row with NULL in these five. Input columns of these names give way.
+    A document that is not drawn has one row with NULL in these five. Input columns of these names, and of the names
+    in ``MADE``, give way; others that begin with ``mix_`` are kept.
     """
-    own = [c for c in df.columns if not c.lower().startswith("mix_")]
+    own = [c for c in df.columns if c.lower() not in MADE]
     df = df.select(*[F.col(f"`{c}`") for c in own])
     buckets = bucket_count(df.count())
     hashed = F.xxhash64(F.lit(seed), F.col(f"`{id}`"), F.col(f"`{text}`"))
@@ -224,7 +226,7 @@ def taken(mix: DataFrame, id: str = "doc_id") -> DataFrame:
 
 
 def documents(mix: DataFrame, columns: list[str], text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The drawn pieces as documents with the given columns; a whole document keeps its text byte for byte.
+    """The drawn pieces as documents with the given columns, but for names in ``MADE``; a whole document keeps its text byte for byte.
 
     A part keeps the white space between its words.
     """
@@ -232,6 +234,7 @@ def documents(mix: DataFrame, columns: list[str], text: str = "text", n_chars: s
     part = F.array_join(F.slice(tokens, (F.col("mix_first") + 1).cast("int"), F.col("mix_words").cast("int")), "")
     whole = F.col("mix_words") == F.col("mix_size")
     (piece,) = fresh(mix, "piece")
+    columns = [c for c in columns if c.lower() not in MADE]
     drawn = mix.where("mix_words is not null").withColumn(piece, F.when(whole, F.col(f"`{text}`")).otherwise(part))
     new = {text: F.col(piece)}
     if n_chars in columns:
