@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strayfield.operators import blocks as B, pivots as T
 from strayfield.operators.ordering import attach
+from strayfield.operators.selection import nearest_sums
 from strayfield.session import cut_lineage
 
 METRICS = ("l2sq", "l1", "lp", "cosine", "mahalanobis")
@@ -22,15 +23,15 @@ def _type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
-def _nearest_kernel(metric: str, p: float, k: int | None):
-    """Exact top k inside one block; with ``k`` None every visitor row brings its own (``k`` column)."""
+def _nearest_kernel(metric: str, p: float, k: int):
+    """Exact top k inside one block."""
 
     def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": q["query_id"][:0], "bank_id": b["bank_id"][:0], "distance": np.zeros(0)})
         if q.empty or b.empty:
             return empty
         qm, bm, bank_ids, query_ids = B.matrix(q["vec"]), B.matrix(b["vec"]), b["bank_id"].to_numpy(), q["query_id"]
-        kk = min(int(q["k"].iloc[0]) if k is None else k, len(bm))
+        kk = min(k, len(bm))
         step = max(1, B.TILE // len(bm))
         found = []
         for lo in range(0, len(qm), step):
@@ -242,18 +243,17 @@ def self_score(
     vec: str = "vec",
     block_rows: int = B.BLOCK_ROWS,
 ) -> DataFrame:
-    """Zero-shot score: every group is its own bank, self match included, k = int(min(cap, frac * n)), at least 1."""
-    rows = df.select(F.col(group).alias("cell"), F.col(item).alias("bank_id"), F.col(vec).alias("vec"))
+    """Zero-shot score: every group is its own bank, self match included, k = int(min(cap, frac * n)), at least 1.
+
+    Counts and sums travel, not neighbours (``selection.nearest_sums``). A NULL group is a group.
+    """
+    rows = df.select(F.xxhash64(F.col(group).isNull(), F.col(group)).alias("cell"), F.col(group).alias("g"), F.col(item).alias("query_id"), F.col(vec).alias("vec"))
     k = rows.groupBy("cell").agg(
-        F.greatest(F.lit(1), F.least(F.lit(float(cap)), F.lit(frac) * F.count(F.lit(1))).cast("int")).alias("k")
+        F.greatest(F.lit(1), F.least(F.lit(float(cap)), F.lit(frac) * F.count(F.lit(1))).cast("int")).alias("k"), F.first("g").alias(group)
     )
-    visits = attach(rows.withColumnRenamed("bank_id", "query_id"), k, ["cell"])
-    schema = f"query_id {_type(df, item)}, bank_id {_type(df, item)}, distance double"
-    partial = B.block_join(visits, rows, _nearest_kernel(metric, 1.5, None), schema, block_rows, block_rows)
-    ks = visits.select("query_id", F.col("cell").alias(group), "k")
-    w = W.partitionBy("query_id").orderBy("distance", "bank_id")
-    ranked = partial.withColumn("rn", F.row_number().over(w)).join(ks, "query_id").where(F.col("rn") <= F.col("k"))
-    return ranked.groupBy("query_id", group, "k").agg(F.avg("distance").alias("score"))
+    known = attach(rows.select("cell", "query_id", "vec"), k.select("cell", "k"), ["cell"]).withColumn("w", F.lit(1).cast("long"))
+    sums = nearest_sums(known, metric, block_rows=block_rows)
+    return attach(sums, k, ["cell"]).select("query_id", group, "k", (F.col("total") / F.col("k")).alias("score"))
 
 
 def _in_batches(df: DataFrame, batch: str, item: str, vec: str, kernel, schema: str, block_rows: int) -> DataFrame:
@@ -265,11 +265,15 @@ def _in_batches(df: DataFrame, batch: str, item: str, vec: str, kernel, schema:
 
 
 def _block_distances(q: pd.DataFrame, b: pd.DataFrame, metric: str) -> Iterator[np.ndarray]:
-    """Exact distances of each visitor to the rows of a block, one visitor at a time."""
-    m = B.matrix(b["vec"])
-    for row in B.matrix(q["vec"]):
-        d = B.paired(np.broadcast_to(row, m.shape), m, "l2sq" if metric == "l2" else metric)
-        yield np.sqrt(np.maximum(d, 0.0)) if metric == "l2" else d
+    """Distances of strips of visitors to the rows of a block; near zero they are computed exactly."""
+    rows, m = B.matrix(q["vec"]), B.matrix(b["vec"])
+    step = max(1, B.TILE // max(1, len(m)))
+    for lo in range(0, len(rows), step):
+        part = rows[lo : lo + step]
+        d = B.distances(part, m, "l2sq" if metric == "l2" else metric)
+        r, c = np.nonzero(d <= 1e-6 * (1.0 + np.abs(d).max()))
+        d[r, c] = B.paired(part[r], m[c], "l2sq" if metric == "l2" else metric)
+        yield from np.sqrt(np.maximum(d, 0.0)) if metric == "l2" else d
 
 
 def pairwise(

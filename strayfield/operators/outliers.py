@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -13,6 +14,7 @@ from strayfield.operators import blocks as B, pivots as T
 from strayfield.operators.graph import connected_components
 from strayfield.operators.neighbours import distance_sums, knn
 from strayfield.operators.ordering import attach, row_index
+from strayfield.operators.selection import nearest_sums
 from strayfield.operators.vectors import mean_vector
 from strayfield.session import cut_lineage
 
@@ -129,75 +131,48 @@ def dbscan(
     return rows.join(done, "vec").select(item, "label", "core")
 
 
-def estimate_bandwidth(df: DataFrame, quantile: float = 0.3, item: str = "vec_id", vec: str = "vec", block_rows: int = B.BLOCK_ROWS) -> float:
-    """Mean distance to the ``int(n * quantile)``-th nearest row, itself included.
+def bandwidth(df: DataFrame, quantile: float = 0.3, item: str = "vec_id", vec: str = "vec", block_rows: int = B.BLOCK_ROWS) -> DataFrame:
+    """One row: the mean distance of a row to its ``int(n * quantile)``-th nearest row, itself included; NULL without rows.
 
-    The neighbours are never listed: rounds of 64 radius bins close in on every row's distance, and a last
-    round takes the largest distance inside the final bin.
+    The neighbours are never listed: rounds of distance bins close in on each row's distance (``selection.nearest_sums``),
+    and copies of a vector count once with a weight.
     """
-    bins, rounds = 64, 4
     points = cut_lineage(_weighted_points(df, item, vec))
-    n = points.agg(F.sum("n")).first()[0]
-    k = max(1, int(n * quantile))
-    kind = points.schema["id"].dataType.simpleString()
-    bank = points.select(F.col("id").alias("bank_id"), "vec", "n")
-    corner = points.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg((F.max("v") - F.min("v")).alias("s"))
-    reach = float(np.sqrt(corner.agg(F.sum(F.col("s") * F.col("s"))).first()[0]))
-    state = points.select(F.col("id").alias("query_id"), "vec", "n", F.lit(0.0).alias("lo"), F.lit(reach * (1 + 1e-9) + 1e-12).alias("hi"))
+    size = points.agg(F.sum("n").alias("all"))
+    k = F.greatest(F.lit(1), F.floor(F.col("all") * quantile)).cast("long").alias("k")
+    rows = attach(points, size, []).select(F.lit(0).alias("cell"), F.col("id").alias("query_id"), "vec", k, F.col("n").alias("w"))
+    far = nearest_sums(rows, block_rows=block_rows).select(F.col("query_id").alias("id"), F.sqrt("kth").alias("d"))
+    return far.join(points.select("id", "n"), "id").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("bandwidth"))
 
-    def tally(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or b.empty:
-            return pd.DataFrame({"query_id": q["query_id"][:0], "c": pd.Series([], dtype=object)})
-        qm, bm, w = B.matrix(q["vec"]), B.matrix(b["vec"]), b["n"].to_numpy(float)
-        lo, hi, out = q["lo"].to_numpy()[:, None], q["hi"].to_numpy()[:, None], []
-        for at, part in _strips(qm, bm):
-            d = np.sqrt(B.distances(part, bm, "l2sq"))
-            a, z = lo[at : at + len(part)], hi[at : at + len(part)]
-            slot = np.clip(np.ceil((d - a) / np.maximum(z - a, 1e-300) * bins), 0, bins + 1).astype(int)
-            out += [np.bincount(s, w, bins + 2).astype(np.int64) for s in slot]
-        return pd.DataFrame({"query_id": q["query_id"], "c": out})
-
-    def widest(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or b.empty:
-            return pd.DataFrame({"query_id": q["query_id"][:0], "d": np.zeros(0)})
-        qm, bm, hi, out = B.matrix(q["vec"]), B.matrix(b["vec"]), q["hi"].to_numpy(), []
-        for at, part in _strips(qm, bm):
-            d = np.sqrt(B.distances(part, bm, "l2sq"))
-            out.append(np.where(d <= hi[at : at + len(part), None], d, 0.0).max(1))
-        return pd.DataFrame({"query_id": q["query_id"], "d": np.concatenate(out)})
-
-    def all_blocks(kernel, schema):
-        visits = state.withColumn("cell", F.lit(0).cast("long"))
-        return B.block_join(visits, bank.withColumn("cell", F.lit(0).cast("long")), kernel, schema, block_rows, block_rows)
-
-    for _ in range(rounds):
-        counts = all_blocks(tally, f"query_id {kind}, c array<long>")
-        summed = counts.groupBy("query_id").agg(F.array(*[F.sum(F.get("c", i)) for i in range(bins + 2)]).alias("c"))
-        # first slot at which the running count reaches k
-        walked = F.aggregate(
-            "c",
-            F.struct(F.lit(0).cast("long").alias("acc"), F.lit(0).alias("slot")),
-            lambda s, x: F.struct((s["acc"] + x).alias("acc"), (s["slot"] + (s["acc"] + x < k).cast("int")).alias("slot")),
-            lambda s: s["slot"],
-        )
-        width = (F.col("hi") - F.col("lo")) / bins
-        slot = F.col("_slot")
-        state = cut_lineage(
-            state.join(summed.select("query_id", walked.alias("_slot")), "query_id").select(
-                "query_id",
-                "vec",
-                "n",
-                F.when(slot == 0, F.col("lo")).otherwise(F.col("lo") + (slot - 1) * width).alias("lo"),
-                F.when(slot == 0, F.col("lo")).otherwise(F.col("lo") + slot * width).alias("hi"),
-            )
-        )
-    best = all_blocks(widest, f"query_id {kind}, d double").groupBy("query_id").agg(F.max("d").alias("d"))
-    return float(best.join(state.select("query_id", "n"), "query_id").agg(F.sum(F.col("d") * F.col("n")) / F.sum("n")).first()[0])
+
+class Grid:
+    """Square cells as wide as a radius over the widest of the first dimensions: what lies within the radius of a point
+    lies in its cell or one beside it."""
+
+    DIMS = 3
+
+    def __init__(self, points: DataFrame, side: float):
+        span = points.select(F.posexplode("vec").alias("i", "v")).groupBy("i").agg((F.max("v") - F.min("v")).alias("s"))
+        self.dims = [r["i"] for r in span.where("s > 0").orderBy(F.col("s").desc(), "i").limit(self.DIMS).collect()]
+        self.side = side * (1 + 1e-9)
+
+    def _steps(self) -> list:
+        return [F.floor(F.get("vec", F.lit(i)) / F.lit(self.side)).cast("long") for i in self.dims]
+
+    def cell(self):
+        return F.xxhash64(*self._steps()) if self.dims else F.lit(0).cast("long")
+
+    def around(self):
+        """The cells a point has to look at; two that share a hash are one."""
+        if not self.dims:
+            return F.array(F.lit(0).cast("long"))
+        shifts = itertools.product((-1, 0, 1), repeat=len(self.dims))
+        return F.array_distinct(F.array(*[F.xxhash64(*[s + F.lit(x).cast("long") for s, x in zip(self._steps(), shift)]) for shift in shifts]))
 
 
 def mean_shift(
     df: DataFrame,
-    bandwidth: float | None = None,
+    width: float | None = None,
     item: str = "vec_id",
     vec: str = "vec",
     max_iter: int | None = None,
@@ -208,11 +183,17 @@ def mean_shift(
     Every point is a seed. A step averages the points within the bandwidth of each seed; seeds that meet are
     merged (at nine decimals), settled seeds leave the loop, which runs until all have; ``max_iter`` rounds without
     that raise an error. Of the final centres, those within the
-    bandwidth of a stronger kept one are dropped.
+    bandwidth of a stronger kept one are dropped. Points lie in the cells of a grid as wide as the bandwidth, and a seed
+    meets those of its own cell and the ones beside it; a crowded cell is cut into blocks. An empty table has no labels and
+    no centres. Without a ``width`` it is the ``bandwidth`` of the rows.
     """
-    bw = estimate_bandwidth(df, 0.3, item, vec, block_rows) if bandwidth is None else float(bandwidth)
     points = cut_lineage(_weighted_points(df, item, vec))
-    dims = len(points.first()["vec"])
+    one = points.select(F.size("vec").alias("dims")).first()
+    if one is None:
+        none = df.select(item, F.lit(0).cast("long").alias("label")).where("false")
+        return none, none.select("label", F.array().cast("array<double>").alias("centre"), F.col("label").alias("n"))
+    dims = one["dims"]
+    bw = bandwidth(df, 0.3, item, vec, block_rows).first()[0] if width is None else float(width)
     bank = points.select(F.xxhash64("vec").alias("bank_id"), "vec", "n")
 
     def average(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -230,10 +211,11 @@ def mean_shift(
         return rows.select("vec").distinct().select(F.xxhash64("vec").alias("query_id"), "vec")
 
     active, settled = seeds(points), []
-    tree = T.grow(bank, "l2sq", block_rows=block_rows)
+    grid = Grid(points, bw)
+    placed = cut_lineage(bank.withColumn("cell", grid.cell()))
     while True:
-        visits = T.descend(active, tree, T.within(bw))
-        part = B.block_join(visits, tree.placed, average, "query_id long, n long, s array<double>", block_rows, block_rows)
+        visits = active.withColumn("cell", F.explode(grid.around()))
+        part = B.block_join(visits, placed, average, "query_id long, n long, s array<double>", block_rows, block_rows)
         summed = part.groupBy("query_id").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", i)) for i in range(dims)]).alias("s"))
         moved = active.join(summed.where("n > 0"), "query_id").withColumn("to", F.transform("s", lambda x: F.round(x / F.col("n"), 9)))
         gap = F.sqrt(F.aggregate(F.zip_with("vec", "to", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
@@ -248,7 +230,7 @@ def mean_shift(
     for s in settled[1:]:
         centres = centres.unionByName(s)
     centres = centres.groupBy("vec").agg(F.max("n").alias("n"))
-    kept = _strongest(cut_lineage(row_index(centres, [-F.col("n"), F.transform("vec", lambda x: -x)], name="rank")), bw, block_rows)
+    kept = _strongest(cut_lineage(row_index(centres, [-F.col("n"), *[-F.get("vec", F.lit(i)) for i in range(dims)]], name="rank")), bw, block_rows)
     named = row_index(kept, ["rank"], name="_no").select((F.col("_no") - 1).alias("label"), F.col("vec").alias("centre"), "n")
     named = cut_lineage(named)
     hits = knn(df, named, 1, query_id=item, bank_id="label", vec=vec, bank_vec="centre", block_rows=block_rows)

@@ -76,6 +76,18 @@ def _(t):
     return hits.groupBy("query_id").agg(F.round(F.sum("distance"), 5).alias("distance_sum"))
 
 
+_CLUSTERED = "select vec_id, transform(embedding, (x, i) -> x * 0.2D + if(i = label * 6, 3D, 0D)) vec from embeddings"
+
+
+@query("e1_knn_leaves", "select count(*) queries, true pruned from embeddings")
+def _(t):
+    """The vectors drawn to a centre for each label, in 64 dimensions: an exact search of every one of them looks at under a
+    third of all leaves, on average."""
+    clustered = t.sql(_CLUSTERED)
+    seen = nn.leaves_visited(clustered, nn.index_bank(clustered, block_rows=SMALL_BLOCK // 4), 4)
+    return seen.agg(F.count(F.lit(1)).alias("queries"), (F.sum("visited") * 3 < F.sum("leaves")).alias("pruned"))
+
+
 @query("e6_ann_recall", "select count(*) queries, true all_complete, true recall_reached from query_vec")
 def _(t):
     """Every query gets its k rows, and at least nine tenths of all true neighbours are found."""
@@ -97,20 +109,32 @@ def _(t):
     return nn.knn_score(t.query_vec, t.bank_vec, 4).withColumn("score", F.round("score", 6))
 
 
-@query(
-    "e8_self_score",
-    f"""with sized as (select source g, doc_id, cast(n_chars as double) n, cast(length(lang) as double) m from documents),
+_SELF_SCORE = (
+    """with sized as (select source g, doc_id, cast(n_chars as double) n, cast(length(lang) as double) m from documents),
     ks as (select g, greatest(1, cast(floor(least(2048.0, 0.05 * count(*))) as int)) k from sized group by 1),
     pairs as (
       select a.g, a.doc_id query_id, b.doc_id bank_id, (a.n - b.n) * (a.n - b.n) + (a.m - b.m) * (a.m - b.m) distance
       from sized a join sized b on a.g = b.g),
     hits as (select *, row_number() over (partition by query_id order by distance, bank_id) rn from pairs)
     select h.g source, query_id, k, round(avg(distance), 4) score
-    from hits h join ks on h.g = ks.g where rn <= k group by 1, 2, 3""",
+    from hits h join ks on h.g = ks.g where rn <= k group by 1, 2, 3"""
 )
-def _(t):
+
+
+def _self_scores(t, block_rows: int):
     docs = t.documents.select("source", "doc_id", F.array(F.col("n_chars").cast("double"), F.length("lang").cast("double")).alias("vec"))
-    return nn.self_score(docs, "source", frac=0.05, item="doc_id").withColumn("score", F.round("score", 4))
+    return nn.self_score(docs, "source", frac=0.05, item="doc_id", block_rows=block_rows).withColumn("score", F.round("score", 4))
+
+
+@query("e8_self_score", _SELF_SCORE)
+def _(t):
+    return _self_scores(t, nn.B.BLOCK_ROWS)
+
+
+@query("e8_self_score_small_blocks", _SELF_SCORE)
+def _(t):
+    """Several blocks in each source: rounds of distance bins instead of one matrix."""
+    return _self_scores(t, SMALL_BLOCK)
 
 
 @query(
@@ -149,33 +173,25 @@ def _(t):
     return hits.withColumn("distance", F.round("distance", 5))
 
 
-_HIST = (
-    "select l_suppkey image_id, array(sum(case when l_linenumber = 1 then 1 else 0 end), "
-    "sum(case when l_linenumber = 2 then 1 else 0 end), sum(case when l_linenumber = 3 then 1 else 0 end)) hist "
-    "from lineitem group by 1"
-)
+LINES = range(1, 8)  # all line numbers
+_HIST = "select l_suppkey image_id, array({}) hist from lineitem group by 1".format(", ".join(f"sum(case when l_linenumber = {i} then 1 else 0 end)" for i in LINES))
 
 
 @query(
     "e14_nearest_reference",
-    """with h as (
-      select l_suppkey image_id, sum(case when l_linenumber = 1 then 1 else 0 end)::double a,
-        sum(case when l_linenumber = 2 then 1 else 0 end)::double b, sum(case when l_linenumber = 3 then 1 else 0 end)::double c
-      from lineitem group by 1),
+    f"""with h as (
+      select l_suppkey image_id, {", ".join(f"sum(case when l_linenumber = {i} then 1 else 0 end)::double n{i}" for i in LINES)} from lineitem group by 1),
     pairs as (
-      select q.image_id, r.image_id ref_id, r.a, r.b, r.c,
-        (q.a - r.a) * (q.a - r.a) + (q.b - r.b) * (q.b - r.b) + (q.c - r.c) * (q.c - r.c) distance
+      select q.image_id, r.image_id ref_id, {", ".join(f"r.n{i}" for i in LINES)}, {" + ".join(f"(q.n{i} - r.n{i}) * (q.n{i} - r.n{i})" for i in LINES)} distance
       from h q cross join h r),
     hits as (select *, row_number() over (partition by image_id order by distance, ref_id) rn from pairs qualify rn <= 5)
-    select image_id, max(case when rn = 1 then ref_id end) ref_id, min(distance) distance,
-      round(avg(a), 6) h1, round(avg(b), 6) h2, round(avg(c), 6) h3 from hits group by 1""",
+    select image_id, max(case when rn = 1 then ref_id end) ref_id, min(distance) distance, {", ".join(f"round(avg(n{i}), 6) h{i}" for i in LINES)}
+    from hits group by 1""",
 )
 def _(t):
     hist = t.sql(_HIST)
     out = nn.nearest_reference(hist, hist, 5)
-    return out.select(
-        "image_id", "ref_id", "distance", *[F.round(F.get("ref_hist", i), 6).alias(f"h{i + 1}") for i in range(3)]
-    )
+    return out.select("image_id", "ref_id", "distance", *[F.round(F.get("ref_hist", i - 1), 6).alias(f"h{i}") for i in LINES])
 
 
 _CODES = "select label code, embedding vec from embeddings where vec_id in (select min(vec_id) from embeddings group by label)"

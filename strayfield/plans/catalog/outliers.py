@@ -27,7 +27,27 @@ _PLANE = "select s_suppkey point_id, s_acctbal / 1000 v from supplier"
 _POINTS = "select c_custkey point_id, c_acctbal / 100 px, cast(c_nationkey as double) py from customer"
 
 
-@query("g2_mean_shift")
+@query(
+    "g2_mean_shift",
+    f"""with recursive p as materialized (select point_id, v + 0.0 v from ({_PLANE})),
+    walk(seed, pos, n, done) as (
+      select distinct v, v, 0::bigint, false from p
+      union all
+      select seed, pos2, n2, abs(pos2 - pos) <= 1e-3 * 1.0 from (
+        select w.seed, w.pos, round(sum(p.v) / count(*), 9) pos2, count(*) n2 from walk w join p on abs(w.pos - p.v) <= 1.0 where not w.done group by 1, 2)),
+    ends as (select pos centre, max(n) n from walk where done group by 1),
+    ranked as (select *, row_number() over (order by n desc, centre desc) r from ends),
+    kept(r, centre, n, have) as (
+      select r, centre, n, [centre] from ranked where r = 1
+      union all
+      select r, centre, n, held from (
+        select x.*, list_append(k.have, x.centre) held, row_number() over (order by x.r) first from ranked x, kept k
+        where x.r > k.r and len(list_filter(k.have, lambda c: abs(c - x.centre) <= 1.0)) = 0) where first = 1),
+    named as (select row_number() over (order by r) - 1 label, centre, n from kept)
+    select point_id, arg_min(label, struct_pack(d := (v - centre) * (v - centre), l := label))::bigint label,
+      round(arg_min(centre, struct_pack(d := (v - centre) * (v - centre), l := label)), 6) centre, arg_min(n, struct_pack(d := (v - centre) * (v - centre), l := label)) n
+    from p cross join named group by 1""",
+)
 def _(t):
     points = t.sql(_PLANE).withColumn("vec", F.array("v"))
     labels, centres = ol.mean_shift(points, 1.0, "point_id")
@@ -41,8 +61,20 @@ def _(t):
     select round(avg(d), 6) bandwidth from d, n where rn = k""",
 )
 def _(t):
-    bw = ol.estimate_bandwidth(t.sql(_PLANE).withColumn("vec", F.array("v")), 0.3, "point_id")
-    return t.spark.range(1).select(F.round(F.lit(bw), 6).alias("bandwidth"))
+    found = ol.bandwidth(t.sql(_PLANE).withColumn("vec", F.array("v")), 0.3, "point_id")
+    return found.select(F.round("bandwidth", 6).alias("bandwidth"))
+
+
+@query(
+    "g2_estimate_bandwidth_small_blocks",
+    f"""with p as ({_PLANE}), n as (select greatest(1, floor(count(*) * 0.3::double)::int) k from p),
+    d as (select a.point_id, abs(a.v - b.v) d, row_number() over (partition by a.point_id order by abs(a.v - b.v)) rn from p a cross join p b)
+    select round(avg(d), 6) bandwidth from d, n where rn = k""",
+)
+def _(t):
+    """Several blocks: rounds of distance bins instead of one matrix."""
+    found = ol.bandwidth(t.sql(_PLANE).withColumn("vec", F.array("v")), 0.3, "point_id", block_rows=64)
+    return found.select(F.round("bandwidth", 6).alias("bandwidth"))
 
 
 @query(
