@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strayfield.operators import blocks as B
-from strayfield.operators.neighbours import linear_map
-from strayfield.operators.ordering import attach, row_index, top_per_key
+from strayfield.operators.neighbours import knn, linear_map
+from strayfield.operators.ordering import attach, row_index, running, top_per_key
 from strayfield.session import cut_lineage
 
 HEX_DIGITS = 13  # 52 random bits: exact in a double
@@ -197,6 +197,68 @@ def approx_coreset(
     return _grow(base.withColumn("anchor", mean_distance("vec")), int(n * p), item, look)
 
 
+def _farthest_first(m: np.ndarray, anchor: np.ndarray, picks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows picked one by one where ``anchor`` is largest, the first of equals, and the anchor of each when it was picked."""
+    anchor, norm = anchor.copy(), (m * m).sum(1)
+    order, reach = np.zeros(picks, np.int64), np.zeros(picks)
+    for step in range(picks):
+        i = int(anchor.argmax())
+        order[step], reach[step] = i, anchor[i]
+        np.minimum(anchor, np.sqrt(np.maximum(norm + norm[i] - 2.0 * m @ m[i], 0.0)), out=anchor)
+        anchor[i] = -1.0  # and it stays so, being the smallest
+    return order, reach
+
+
+def two_level_coreset(
+    df: DataFrame, p: float, starts: int = 10, seed: int = 0, item: str = "vec_id", vec: str = "vec", part_rows: int = 1 << 15, spare: float = 2.0
+) -> DataFrame:
+    """A coreset of ``int(n * p)`` rows in two rounds, whatever n: ``(pick_no, item)``.
+
+    Rows are dealt evenly to parts of ``part_rows``; each part picks ``spare`` times its share farthest-first by itself. The
+    picks are dealt again, and each part of them picks its exact share; up to ``part_rows`` of them are one part, so the last
+    round is the greedy choice over all of them. A row is then as near to a pick as the two rounds' radii add up to: the
+    cover is within a constant of the greedy one, and ``cover_radius`` measures it. Start values are as in
+    ``approx_coreset``. Nothing is written in between but the picks of the first round.
+    """
+    if not 0 < p < 1:
+        raise ValueError("p must lie strictly between 0 and 1")
+    base = df.select(F.col(item).alias("item"), F.col(vec).cast("array<double>").alias("vec"))
+    n = base.count()
+    picks, parts = int(n * p), max(1, -(-n // part_rows))
+    first = np.array([r["vec"] for r in base.orderBy(hash_order(seed, "item"), "item").limit(min(starts, n)).collect()])
+    schema = f"item {_kind(base, 'item')}, vec array<double>, step long, reach double"
+
+    def chosen(pdf: pd.DataFrame, wanted: int) -> pd.DataFrame:
+        pdf = pdf.sort_values("item")
+        m = B.matrix(pdf["vec"])
+        start = np.sqrt(np.stack([B.paired(np.broadcast_to(c, m.shape), m, "l2sq") for c in first])).mean(0)
+        order, reach = _farthest_first(m, start, min(wanted, len(m)))
+        return pd.DataFrame({"item": pdf["item"].to_numpy()[order], "vec": list(m[order]), "step": np.arange(len(order)), "reach": reach})
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        return chosen(pdf, math.ceil(spare * p * len(pdf)))
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        return chosen(pdf.drop(columns=["step", "reach"]), int(pdf["want"].iloc[0]))
+
+    near = base.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "item"), F.lit(parts)))
+    union = cut_lineage(near.groupBy("part").applyInPandas(some, schema))
+    last = max(1, -(-union.count() // part_rows))
+    dealt = row_index(union, [hash_order(seed, F.lit("deal"), "item"), "item"], name="rn") if last > 1 else union.withColumn("rn", F.lit(1).cast("long"))
+    dealt = dealt.withColumn("part", (F.col("rn") - 1) % last).drop("rn")
+    want = F.floor((F.col("part") + 1) * picks / last) - F.floor(F.col("part") * picks / last)
+    final = dealt.withColumn("want", want.cast("long")).groupBy("part").applyInPandas(share, schema)
+    numbered = row_index(cut_lineage(final.select("item", "step", "reach")), ["step", -F.col("reach"), "item"], name="rn")
+    return numbered.select((F.col("rn") - 1).alias("pick_no"), F.col("item").alias(item))
+
+
+def cover_radius(df: DataFrame, picks: DataFrame, item: str = "vec_id", vec: str = "vec", block_rows: int = B.BLOCK_ROWS) -> DataFrame:
+    """One row: how far the farthest row is from its nearest pick (``radius``)."""
+    bank = df.join(picks.select(item), item, "left_semi")
+    hits = knn(df, bank, 1, query_id=item, bank_id=item, vec=vec, block_rows=block_rows)
+    return hits.agg(F.sqrt(F.max("distance")).alias("radius"))
+
+
 def _moments(base: DataFrame) -> tuple[int, np.ndarray, float]:
     """Row count, vector sum and sum of squared norms, reduced per task first."""
 
@@ -227,23 +289,21 @@ def class_chances(conf: DataFrame, smooth: bool = False) -> DataFrame:
 def sample_from_bank(presence: DataFrame, conf: DataFrame, draws: int, seed: int, smooth: bool = False) -> DataFrame:
     """Draw a class by ``class_chances``, then a random image that shows it, else any image.
 
-    ``presence(image_id, class_id, present)``; classes are few, so their cumulative chances are one array.
+    ``presence(image_id, class_id, present)``. A class owns an interval of [0, 1); intervals are cut into as many equal cells
+    as there are classes, at least, and a draw meets those in its cell: an equal join, whose cost for a draw doesn't grow with
+    the number of classes. Draws are MD5 hashes of seed and number.
     """
-    table = class_chances(conf, smooth).agg(F.array_sort(F.collect_list(F.struct("class_id", "chance"))).alias("_t"))
-    spark = presence.sparkSession
-    tries = attach(spark.range(draws).withColumnRenamed("id", "draw_no"), table, [])
-    tries = tries.withColumn("_u", hash_unit(seed, F.lit("class"), "draw_no"))
-    walked = F.aggregate(
-        "_t",
-        F.struct(F.lit(0.0).alias("acc"), F.lit(None).cast(conf.schema["class_id"].dataType).alias("hit")),
-        lambda s, c: F.struct(
-            (s["acc"] + c["chance"]).alias("acc"),
-            F.when(s["hit"].isNull() & (s["acc"] + c["chance"] > F.col("_u")), c["class_id"]).otherwise(s["hit"]).alias("hit"),
-        ),
-        lambda s: s["hit"],
-    )
-    last = F.element_at("_t", -1)["class_id"]
-    chosen = tries.select("draw_no", F.coalesce(walked, last).alias("class_id"))
+    chances = class_chances(conf, smooth)
+    past = running(chances, ["class_id"], {"past": "chance"})
+    cells = 1 << max(6, chances.count().bit_length())
+    edge = lambda c: F.least(F.floor(c * cells), F.lit(cells - 1))
+    owned = past.withColumn("_from", F.col("past") - F.col("chance")).withColumn("_cell", F.explode(F.sequence(edge(F.greatest(F.col("_from"), F.lit(0.0))), edge(F.col("past")))))
+    tries = presence.sparkSession.range(draws).withColumnRenamed("id", "draw_no").withColumn("_u", hash_unit(seed, F.lit("class"), "draw_no"))
+    reached = tries.withColumn("_cell", edge(F.col("_u"))).join(owned.select("_cell", "class_id", "past"), "_cell", "left")
+    # the first class whose interval ends beyond the draw; rounding can leave the last draws beyond all of them
+    first = reached.groupBy("draw_no").agg(F.min(F.when(F.col("past") > F.col("_u"), F.col("class_id"))).alias("class_id"))
+    last = chances.select(F.max("class_id")).scalar()
+    chosen = first.select("draw_no", F.coalesce("class_id", last).alias("class_id"))
     shown = row_index(presence.where("present = 1"), ["image_id"], ["class_id"], "_rn").select("class_id", "image_id", "_rn")
     sizes = shown.groupBy("class_id").agg(F.count(F.lit(1)).alias("_n"))
     everyone = row_index(presence.select("image_id").distinct(), ["image_id"], name="_rn")

@@ -376,6 +376,19 @@ def _(t):
     return sp.approx_coreset(t.query_vec, 0.1, 10, 6, look=256)
 
 
+@query(
+    "c12_two_level_cover",
+    "select count(*) n_rows, cast(floor(count(*) * 0.1::double) as bigint) picks, true covered from query_vec",
+)
+def _(t):
+    """The two-level coreset has its exact size, and its cover radius is at most twice that of the greedy one."""
+    two = sp.two_level_coreset(t.query_vec, 0.1, 10, 6, part_rows=64)
+    one = sp.approx_coreset(t.query_vec, 0.1, 10, 6, look=256)
+    radius = [sp.cover_radius(t.query_vec, picks).scalar() for picks in (two, one)]
+    rows = t.query_vec.agg(F.count(F.lit(1)).alias("n_rows"))
+    return two.agg(F.count(F.lit(1)).alias("picks")).select(rows.scalar().alias("n_rows"), "picks", (radius[0] <= 2 * radius[1]).alias("covered"))
+
+
 @query(
     "c13_random_project",
     """select vec_id, list_transform(range(4), lambda i: round(list_sum(list_transform(vec,
@@ -389,7 +402,22 @@ def _(t):
     return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))
 
 
-@query("c14_sample_from_bank")
+@query(
+    "c14_sample_from_bank",
+    """with shown as (
+      select image_id, class_id, case when count(*) filter (label - 1 = class_id) >= 0.05::double * 1024 then 1 else 0 end present
+      from label_map_px, range(5) c(class_id) group by 1, 2),
+    w as (select class_id, exp(power(1 - avg(present), 1 / 3::double)) w from shown group by 1),
+    chance as (select class_id, sum(w) over (order by class_id) / sum(w) over () past from w),
+    tries as (select range draw_no, ('0x' || substr(md5('9|class|' || range), 1, 13))::bigint / 4503599627370496::double u,
+      ('0x' || substr(md5('9|image|' || range), 1, 13))::bigint / 4503599627370496::double v from range(200)),
+    chosen as (select draw_no, v, coalesce(min(class_id) filter (past > u), max(class_id)) class_id from tries, chance group by 1, 2),
+    own as (select class_id, image_id, row_number() over (partition by class_id order by image_id) rn, count(*) over (partition by class_id) n from shown where present = 1),
+    everyone as (select image_id, row_number() over (order by image_id) rn, count(*) over () n from (select distinct image_id from shown))
+    select draw_no, c.class_id::int class_id, o.image_id from chosen c join own o on o.class_id = c.class_id and o.rn = floor(v * o.n) + 1
+    union all
+    select draw_no, c.class_id::int, e.image_id from chosen c join everyone e on e.rn = floor(v * e.n) + 1 where c.class_id not in (select class_id from own)""",
+)
 def _(t):
     from strayfield.operators.segmentation import presence
 
