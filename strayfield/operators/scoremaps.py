@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strayfield.functions.arrays import doubles, norm
 from strayfield.operators.neighbours import covariance
-from strayfield.operators.ordering import attach, running
+from strayfield.operators.ordering import attach
 from strayfield.operators.raster import PX, complement
 
 # fixed values of the component score
@@ -115,21 +116,44 @@ def component_map(px: DataFrame, refs_px: DataFrame, scores: DataFrame, quadrant
 # --- combining ------------------------------------------------------------------------------------------------
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> DataFrame:
-    """Linear-interpolated quantiles ``q0, q1, ...`` in one row, from running counts of the distinct values."""
-    counts = df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = attach(running(counts, ["v"], {"upto": "n"}, sample=df.select(F.col(col).cast("double").alias("v"))), counts.agg(F.sum("n").alias("total")), [])
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], bins: int = 1024) -> DataFrame:
+    """Linear-interpolated quantiles ``q0, q1, ...`` in one row; NULLs are left out, and without values all are NULL.
 
-    def holds(rank: Column) -> Column:
-        return (rank <= F.col("upto")) & (rank > F.col("upto") - F.col("n"))
-
-    def part(q: float) -> Column:
-        at = F.lit(q) * (F.col("total") - 1) + 1
-        f = at - F.floor(at)
-        low = F.when(holds(F.floor(at)), F.col("v") * (1 - f)).otherwise(0.0)
-        return F.sum(low + F.when((f > 0) & holds(F.floor(at) + 1), F.col("v") * f).otherwise(0.0))
-
-    return ranked.agg(*[part(q).alias(f"q{i}") for i, q in enumerate(qs)])
+    Nothing is sorted: passes of map-side counts over ``bins`` equal bins close in on the values of the ranks asked for. A
+    bin's smallest and largest value are the next interval, so every pass splits it, and a rank is found when they are
+    equal. The driver sees at most ``bins`` rows for each interval and pass.
+    """
+    values = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
+    names = ", ".join(f"q{i} double" for i in range(len(qs)))
+    whole = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not whole["n"]:
+        return df.sparkSession.createDataFrame([tuple(None for _ in qs)], names)
+    at = [q * (whole["n"] - 1) for q in qs]
+    ranks = {r for x in at for r in (math.floor(x), math.ceil(x))}
+    spans = {(whole["lo"], whole["hi"], 0): ranks}  # smallest and largest value, rows before: ranks inside
+    found: dict[int, float] = {}
+    while spans:
+        found |= {r: lo for (lo, hi, _), inside in spans.items() if lo == hi for r in inside}
+        wide = [(k, inside) for k, inside in sorted(spans.items()) if k[0] < k[1]]
+        if not wide:
+            break
+        which, slot = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, ((lo, hi, _), _ranks) in enumerate(wide):
+            here = F.col("v").between(lo, hi)
+            which = F.when(here, i).otherwise(which)
+            slot = F.when(here, F.least(F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1)).cast("int")).otherwise(slot)
+        counted = values.select(which.alias("i"), slot.alias("b"), "v").where("i is not null").groupBy("i", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        spans = {}
+        rows = sorted(map(tuple, counted.collect()))
+        for i, (key, inside) in enumerate(wide):
+            before = key[2]
+            for _, _, n, lo, hi in (r for r in rows if r[0] == i):
+                mine = {r for r in inside if before <= r < before + n}
+                if mine:
+                    spans[(lo, hi, before)] = mine
+                before += n
+    mix = [found[math.floor(x)] * (1 - (x - math.floor(x))) + found[math.ceil(x)] * (x - math.floor(x)) for x in at]
+    return df.sparkSession.createDataFrame([tuple(mix)], names)
 
 
 def quantile_scale(value: str, start: Column, end: Column) -> Column:

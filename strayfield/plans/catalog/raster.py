@@ -10,6 +10,7 @@ from strayfield.operators import scoremaps as sm
 from strayfield.operators import shapes as sh
 from strayfield.plans.catalog.metrics import rounded
 from strayfield.plans.registry import query
+from strayfield.session import cut_lineage
 from strayfield.sources.tables import SIDE
 
 S = SIDE
@@ -503,6 +504,7 @@ def _(t):
 
 
 _MAPS = """select l_suppkey image_id, cast(l_partkey % 32 as int) y, cast(l_quantity as int) % 32 x, max({v}) score from lineitem group by 1, 2, 3"""
+_ALL_MAPS = _MAPS.replace("max({v}) score", "max(l_extendedprice) st, max(l_quantity * l_tax) ae, max(l_discount) cm")
 _ST, _AE, _CM = (_MAPS.format(v=v) for v in ("l_extendedprice", "l_quantity * l_tax", "l_discount"))
 
 
@@ -517,7 +519,9 @@ _ST, _AE, _CM = (_MAPS.format(v=v) for v in ("l_extendedprice", "l_quantity * l_
     from tx left join cm on cm.image_id = tx.image_id and cm.y = tx.y and cm.x = tx.x""",
 )
 def _(t):
-    st, ae, cm = t.sql(_ST), t.sql(_AE), t.sql(_CM).where("score > 0.05")
+    pixels = cut_lineage(t.sql(_ALL_MAPS))  # all three maps from one aggregate, read for the quantiles and the join
+    st, ae, cm = (pixels.select("image_id", "y", "x", F.col(c).alias("score")) for c in ("st", "ae", "cm"))
+    cm = cm.where("score > 0.05")
     q_st = sm.exact_quantiles(st, "score", [0.9, 0.995]).toDF("st_start", "st_end")
     q_ae = sm.exact_quantiles(ae, "score", [0.9, 0.995]).toDF("ae_start", "ae_end")
     quantiles = q_st.select("*", q_ae.select("ae_start").scalar().alias("ae_start"), q_ae.select("ae_end").scalar().alias("ae_end"))
