@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from strayfield.session import parallelism
 
 SLICE_ROWS = 1 << 20  # rows of a slice, about
+MAX_SLICES = 1 << 14  # beyond that slices hold more rows, and their sorts spill
 PER_SLICE = 64  # sampled keys for each slice: slices then differ by an eighth of their size, typically
 
 
@@ -45,7 +46,8 @@ def cut_points(df: DataFrame, keys: list[Column], slices: int) -> list[tuple]:
     """``slices - 1`` cut points of the order ``keys``, from a hash sample of ``PER_SLICE`` rows per slice.
 
     Rows fall into hash groups and every group contributes its smallest hash: a uniform sample that is combined
-    map-side and repeatable. The driver sees a fixed number of keys per slice, as in any range partitioning.
+    map-side and repeatable. The sample, ``PER_SLICE * MAX_SLICES`` keys at most, is ranked in a task; only the cut points,
+    ``MAX_SLICES`` at most, come to the driver, however many rows there are.
     """
     names = [f"k{i}" for i in range(len(keys))]
     sample = (
@@ -53,12 +55,12 @@ def cut_points(df: DataFrame, keys: list[Column], slices: int) -> list[tuple]:
         .withColumn("h", F.xxhash64(*names))
         .groupBy(F.pmod("h", F.lit(PER_SLICE * slices)).alias("g"))
         .agg(*[F.min_by(n, "h").alias(n) for n in names])
-        .orderBy(*names)
-        .select(*names)
-        .collect()
     )
-    picks = sorted({i * len(sample) // slices for i in range(1, slices)})
-    return [tuple(sample[i]) for i in picks if i < len(sample)]
+    whole = W.partitionBy(F.lit(0))
+    ranked = sample.select(*names, (F.row_number().over(whole.orderBy(*names)) - 1).alias("i"), F.count(F.lit(1)).over(whole).alias("n"))
+    part = F.floor(F.col("i") * slices / F.col("n"))
+    cuts = ranked.where((F.col("i") > 0) & (part > F.floor((F.col("i") - 1) * slices / F.col("n"))))
+    return [tuple(r) for r in cuts.orderBy("i").select(*names).collect()]
 
 
 def slice_index(bounds: Column, n: int, keys: list[Column]) -> Column:
@@ -90,7 +92,7 @@ def with_slice(
     slices follows the number of rows. Rows that tie on the whole order are told apart by a hash of the row, so
     that a value held by a third of all rows is spread over slices as well; their order is free anyway.
     """
-    slices = slices or max(8, 2 * parallelism(df.sparkSession), df.count() // SLICE_ROWS)
+    slices = slices or min(MAX_SLICES, max(8, 2 * parallelism(df.sparkSession), df.count() // SLICE_ROWS))
     group = [F.xxhash64(*by)] if by else []
     own = _sort_key(df, [*group, *order])
     if sample is None:
