@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strayfield.operators import neighbours as nn
+from strayfield.operators import pivots as pv
 from strayfield.operators import outliers as ol
 from strayfield.operators import sampling as sp
+from strayfield.operators import selection as sel
 from strayfield.operators.graph import connected_components
 
 
@@ -46,6 +48,21 @@ def test_knn_with_cells(spark, cloud, metric):
     assert np.allclose(by_query, want, atol=1e-9)
 
 
+def test_pivot_tree_of_several_levels(spark, monkeypatch):
+    """Clustered vectors in 64 dimensions under a small fan: exact, several levels, few leaves visited, no table in a closure."""
+    monkeypatch.setattr(pv, "FAN", 4)
+    rng = np.random.default_rng(1)
+    m = np.concatenate([rng.normal(c, 0.05, (25, 64)) for c in rng.normal(0, 1, (12, 64))])
+    bank = vectors(spark, m)
+    index = nn.index_bank(bank, block_rows=12)
+    assert index.tree.levels and len(index.tree.top.pivot) <= 4
+    assert sorted(r[0] for r in index.tree.placed.select("bank_id").collect()) == list(range(300))
+    got = nn.search(vectors(spark, m[::3]), index, 3).toPandas().sort_values(["query_id", "rn"])["distance"].to_numpy().reshape(-1, 3)
+    assert np.allclose(got, np.sort(brute(m[::3], m, "l2sq"), axis=1)[:, :3], atol=1e-9)
+    seen = nn.leaves_visited(vectors(spark, m[::3]), index, 3).toPandas()
+    assert seen["visited"].sum() * 3 < seen["leaves"].sum()
+
+
 def test_knn_ties_go_to_lowest_ids(spark, cloud):
     got = nn.knn(vectors(spark, np.array([[4.0, 4.0, 4.0]])), vectors(spark, cloud), 5, block_rows=40).toPandas()
     assert got.sort_values("rn")["bank_id"].tolist() == [180, 181, 182, 183, 184]
@@ -83,6 +100,34 @@ def test_self_score_blocks(spark, cloud):
         assert np.allclose(got.loc[ids], d.mean(1), atol=1e-9)
 
 
+@pytest.mark.parametrize("k, copies", [(2, 1), (7, 1), (7, 3), (40, 2)])
+def test_nearest_sums_in_rounds(spark, k, copies):
+    """Ties at the k-th distance, copies that count several times, a third of all rows equal, k beyond a block's rows."""
+    rng = np.random.default_rng(k)
+    x = np.concatenate([rng.integers(0, 400, 60), np.full(30, 7)]).astype(float)
+    rows = spark.createDataFrame([(1, i, [float(v)], k, 1 + i % copies) for i, v in enumerate(x)], "cell long, query_id long, vec array<double>, k long, w long")
+    got = sel.nearest_sums(rows, block_rows=32).toPandas().sort_values("query_id")
+    w = 1 + np.arange(len(x)) % copies
+    near = [np.sort(np.repeat((v - x) ** 2, w))[:k] for v in x]
+    assert np.allclose(got["total"], [n.sum() for n in near], atol=1e-6) and np.allclose(got["kth"], [n[-1] for n in near], atol=1e-6)
+
+
+def test_mean_shift_of_nothing(spark):
+    labels, centres = ol.mean_shift(vectors(spark, np.zeros((0, 2))), 1.0)
+    assert labels.collect() == [] and centres.collect() == [] and labels.columns == ["vec_id", "label"]
+    assert ol.bandwidth(vectors(spark, np.zeros((0, 2)))).first()["bandwidth"] is None
+
+
+def test_grid_cells_hold_all_within_the_radius(spark):
+    m = np.random.default_rng(8).normal(0, 2, (150, 4))
+    points = vectors(spark, m)
+    grid = ol.Grid(points, 0.9)
+    cells = {r.vec_id: (r.c, set(r.a)) for r in points.select("vec_id", grid.cell().alias("c"), grid.around().alias("a")).collect()}
+    assert len(grid.dims) == 3 and len({c for c, _ in cells.values()}) > 20
+    for i, j in np.argwhere(np.sqrt(brute(m, m, "l2sq")) <= 0.9):
+        assert cells[j][0] in cells[i][1]
+
+
 def greedy(m, picks, anchor):
     out = []
     for _ in range(picks):
@@ -100,6 +145,19 @@ def test_coreset_is_the_exact_greedy_one(spark):
     assert got == greedy(m, 30, np.sqrt((d * d).sum(1)))
 
 
+@pytest.mark.parametrize("part_rows", [1000, 64, 24])
+def test_two_level_coreset_covers(spark, part_rows):
+    """One part (the greedy choice itself), several parts with one at the end, several at the end: size and cover radius."""
+    m = np.random.default_rng(12).random((300, 3))
+    d = np.sqrt(brute(m, m, "l2sq"))
+    picks = sp.two_level_coreset(vectors(spark, m), 0.1, part_rows=part_rows).toPandas().sort_values("pick_no")
+    assert picks["pick_no"].tolist() == list(range(30)) and picks["vec_id"].nunique() == 30
+    exact = sp.approx_coreset(vectors(spark, m), 0.1, look=64).toPandas().sort_values("pick_no")["vec_id"].tolist()
+    radius = sp.cover_radius(vectors(spark, m), spark.createDataFrame(picks)).first()["radius"]
+    assert np.isclose(radius, d[:, picks["vec_id"]].min(1).max())
+    assert radius <= 2 * d[:, exact].min(1).max()
+
+
 def test_samplers_are_exact_and_repeatable(spark):
     df = spark.range(1000).withColumnRenamed("id", "i")
     a = sp.random_sample(df, 0.37, 1, "i")

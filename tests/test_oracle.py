@@ -7,7 +7,7 @@ from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = all_queries(), all_sql()
-SLOW = {"g2_mean_shift", "j7_fuse_masks"}  # covered by brute force in test_blocks and test_raster
+SLOW = {"j7_fuse_masks"}  # covered by brute force in test_raster
 
 
 @pytest.fixture(scope="module")
