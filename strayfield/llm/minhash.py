@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from strayfield.llm.common import fresh
 from strayfield.llm.components import components, forest
 from strayfield.session import cut_lineage
 
@@ -306,4 +307,5 @@ def labelled(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that are kept: one document of each component."""
     lost = cut_lineage(labelled(df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text").where("not kept").select("id").distinct())
-    return df.join(lost.withColumnRenamed("id", "lost_id"), F.col(f"`{id}`") == F.col("lost_id"), "left_anti")
+    (gone,) = fresh(df, "lost_id")
+    return df.join(lost.withColumnRenamed("id", gone), F.col(f"`{id}`") == F.col(gone), "left_anti")
