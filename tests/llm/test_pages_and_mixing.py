@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+import corpus_pipeline
 from strayfield.llm import html_extract, minhash, mixing
 
 TEXT = "The river was high and the old bridge of the town had been closed since the night, so the people went by boat to the market. " * 3
@@ -51,3 +52,19 @@ def test_filter_of_ids_lets_all_wanted_ones_pass(spark, monkeypatch):
         monkeypatch.setattr(minhash, "FILTER", most)
         got = {r.id: sorted(r.hashes) for r in minhash.shingle_sets(docs, "doc_id", "text", near).collect()}
         assert got == {i: sorted(minhash.shingles(f"a{i} b c d e f{i}").view("int64").tolist()) for i in range(0, 500, 7)}
+
+
+@pytest.mark.parametrize("n", [0, 60])
+def test_pipeline_with_nulls_clashing_columns_and_nothing(spark, tmp_path, n):
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    text = lambda i: " ".join(words[(i * 7 + k * (i % 5 + 1)) % 100] for k in range(40)) + "."
+    rows = [(i, text(i), "en", ("a", "b", None)[i % 3], 200, f"m{i}", i, i, "x", 1) for i in range(n)]
+    odd = [(1000, None, None, None, None, "m", 1, 1, "x", 1), (1001, "", None, "c", 0, "m", 1, 1, "x", 1), (None, text(500), None, None, None, "m", 1, 1, "x", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix_note string, lost_id long, component_id long, piece string, `set` int"
+    spark.createDataFrame(rows + odd * bool(n), schema).write.parquet(str(tmp_path / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert len(docs.columns) == 10
+    assert {r.doc_id for r in packed} <= {r.doc_id for r in docs.collect()} and bool(packed) == bool(n)
