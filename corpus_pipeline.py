@@ -1,4 +1,10 @@
-"""A corpus pipeline: quality rules, exact dedup, near dedup, mixing, packing; each stage works on what the last one kept."""
+"""A corpus pipeline: quality rules, exact dedup, near dedup, mixing, packing; each stage works on what the last one kept.
+
+Edge cases: documents with a NULL or empty text, or under twenty words, are rejected by the rules. A NULL source is a source,
+a NULL id stays a row of its own, and rows that share an id are one document to the near duplicates. Other columns, of any
+name, come along as far as the packing; names that the mixture makes itself (``mixing.MADE``) give way there. An empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 
