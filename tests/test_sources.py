@@ -81,6 +81,15 @@ def parts(spark, tmp_path_factory):
     return spark.read.parquet(str(folder)), stream
 
 
+@pytest.fixture
+def two_partitions(spark):
+    """Each partition of a state starts a Python worker per batch; small streams need few."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_scores_over_batches_equal_batch(spark, parts, tmp_path):
     table, stream = parts
     bank = table.where("seq < 20").select("seq", "vec")
@@ -90,7 +99,7 @@ def test_scores_over_batches_equal_batch(spark, parts, tmp_path):
     assert np.allclose(got, want) and len(got) == 90
 
 
-def test_meter_over_batches_equals_batch(spark, parts):
+def test_meter_over_batches_equals_batch(spark, two_partitions, parts):
     table, stream = parts
     got = so.run_available(so.stream_meter(stream, "user", "v", "seq", "seq")).toPandas().sort_values("position")
     moving = wn.moving_avg(table, "v", ["seq"], 20, ["user"]).toPandas().sort_values("seq")["moving_avg"]
@@ -127,3 +136,60 @@ def test_stream_rollup_emits_closed_sessions_once(spark, tmp_path):
         ("b", "2024-01-01 00:00:10", 2.0, 0, 1),
         ("b", "2024-01-01 00:10:05", 4.0, 0, 1),
     ]
+
+
+def _stream_of(spark, folder, frames, schema):
+    for rows in frames:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken by their time
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", "1").parquet(folder)
+
+
+def _meter_by_hand(batches, length):
+    """Row by row over the batches, each taken in order."""
+    state, out = {}, {}
+    for batch in batches:
+        for user, seq, v in sorted(batch, key=lambda r: (r[1])):
+            last, best, at = state.get(user, ([], float("-inf"), -1))
+            last = [*last, v][-length:]
+            if v is not None and v > best:
+                best, at = v, seq
+            state[user] = (last, best, at)
+            there = [x for x in last if x is not None]
+            out[(user, seq)] = (sum(there) / len(there) if there else None, best, at)
+    return out
+
+
+def test_meter_takes_hot_null_and_out_of_order_rows(spark, two_partitions, tmp_path):
+    """Rows of a batch in any order, a hot key beyond one Arrow batch, a NULL key, NULL values, ties of the best."""
+    rng = np.random.default_rng(3)
+    hot = [("hot", int(i), float(rng.integers(0, 500))) for i in rng.permutation(30_000)]
+    batches = [
+        [*hot[:20_000], ("x", 5, 1.0), ("x", 1, 9.0), (None, 2, 4.0), ("x", 7, None)],
+        [*hot[20_000:], ("x", 3, 9.0), (None, 1, 6.0), ("y", 1, None)],
+    ]
+    stream = _stream_of(spark, str(tmp_path / "in"), batches, "user string, seq long, v double")
+    got = so.run_available(so.stream_meter(stream, "user", "v", "seq", "seq", 5)).collect()
+    want = _meter_by_hand(batches, 5)
+    assert len(got) == len(want) == 30_007
+    for r in got:
+        avg, best, at = want[(r.key, r.position)]
+        assert (r.moving_avg is None) == (avg is None) and (avg is None or np.isclose(r.moving_avg, avg))
+        assert (r.best, r.best_at) == (best, at)
+
+
+def test_meter_forgets_idle_keys(spark, two_partitions, tmp_path):
+    """After an hour without rows before the watermark a key starts anew; one that goes on keeps its state."""
+    at = lambda text: pd.Timestamp(text).to_pydatetime()
+    batches = [
+        [("a", at("2024-01-01 00:00"), 1, 8.0), ("b", at("2024-01-01 00:00"), 1, 8.0)],
+        [("b", at("2024-01-01 00:50"), 2, 2.0)],
+        [("c", at("2024-01-01 01:30"), 1, 1.0)],
+        [("c", at("2024-01-01 01:31"), 2, 1.0)],
+        [("a", at("2024-01-01 01:40"), 2, 2.0), ("b", at("2024-01-01 01:40"), 3, 2.0)],
+    ]
+    stream = _stream_of(spark, str(tmp_path / "in"), batches, "user string, ts timestamp, seq long, v double")
+    got = so.run_available(so.stream_meter(stream, "user", "v", "seq", "seq", idle=("ts", "1 minute", 3_600_000))).collect()
+    found = {(r.key, r.position): (r.moving_avg, r.best, r.best_at) for r in got}
+    assert found[("a", 2)] == (2.0, 2.0, 2)
+    assert found[("b", 3)] == (4.0, 8.0, 1)
