@@ -367,6 +367,36 @@ def remove_and_renumber(df: DataFrame, bad: DataFrame, image: str = "image_id",
     return left.join(high, [image, instance], "left").withColumn("new_id", F.coalesce("new_id", F.col(instance)).cast("int"))
 
 
+def replace_outliers(
+    labelled: DataFrame, proposals: DataFrame, drop_small: bool, keep: float = 0.5, small: float = 0.2, image: str = "image_id", instance: str = "instance_id"
+) -> DataFrame:
+    """The repair of the refinement loop: flagged instances give way to the parts a segmenter proposes for them.
+
+    ``labelled(image, instance, origin, area, scale, label)``; ``proposals(origin, part, area, scale)`` lists the parts of the mask
+    ``origin``. Sizes are ``area / scale`` and are measured by the mean size of the unflagged. Parts of at least ``keep`` of it
+    are taken, with new numbers after the image's last; their origin is ``<origin>.<part>``. A flagged instance goes if a part of it was taken or, with
+    ``drop_small``, if it is under ``small`` of the mean. Then the numbers are closed up. Without unflagged rows nothing is taken or dropped.
+    """
+    mean = labelled.where("label = 0").agg(F.avg(F.col("area") / F.col("scale")).alias("_mu"))
+    flagged = attach(labelled.where("label = 1"), mean, [])
+    parts = proposals.select("origin", "part", F.col("area").alias("_area"), F.col("scale").alias("_scale"))
+    taken = flagged.join(parts, "origin").where(F.col("_area") / F.col("_scale") >= keep * F.col("_mu"))
+    taken = cut_lineage(taken.select(image, instance, "origin", "part", "_area", "_scale"))
+    gone = taken.select(image, instance)
+    if drop_small:
+        gone = gone.unionByName(flagged.where(F.col("area") / F.col("scale") < small * F.col("_mu")).select(image, instance))
+    last = labelled.groupBy(image).agg(F.max(instance).alias("_last"))
+    new = attach(row_index(taken, ["origin", "part"], [image], "_rn"), last, [image]).select(
+        image,
+        (F.col("_last") + F.col("_rn")).cast(labelled.schema[instance].dataType).alias(instance),
+        F.concat_ws(".", "origin", "part").alias("origin"),
+        F.col("_area").alias("area"),
+        F.col("_scale").alias("scale"),
+    )
+    rows = cut_lineage(labelled.select(*new.columns).unionByName(new))  # the renumbering reads it several times
+    return remove_and_renumber(rows, cut_lineage(gone.distinct()), image, instance).drop(instance).withColumnRenamed("new_id", instance).select(*new.columns)
+
+
 def next_free_id(df: DataFrame, image: str = "image_id", instance: str = "instance_id") -> DataFrame:
     """Smallest unused instance number of every image, from 0."""
     used = df.select(image, instance).distinct()

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strayfield.functions.arrays import doubles, norm
-from strayfield.operators.neighbours import covariance
-from strayfield.operators.ordering import attach
+from strayfield.operators.neighbours import covariance, knn
+from strayfield.operators.ordering import attach, top_per_key
 from strayfield.operators.raster import PX, complement
 
 # fixed values of the component score
@@ -90,6 +90,30 @@ def component_score(hist: str | Column, ref: str | Column, classes: int, patches
     )
 
 
+def component_scores(px: DataFrame, normal: DataFrame, classes: int, h: int, w: int, k: int = 5) -> DataFrame:
+    """Deviation of every image from the mean histograms of its ``k`` nearest normal images: ``(image_id, ref_id, whole, quadrant)``.
+
+    ``px(image_id, y, x, label)`` are label maps, ``normal(image_id)`` names the normal images. Nearest is by whole-image histogram
+    (ties by id), ``ref_id`` is the nearest one, and an image never is its own reference. With fewer than ``k`` other normal
+    images the mean is over those there are; without any, the image has no row.
+    """
+    both = label_histogram(px, classes).join(quadrant_histogram(px, classes, h, w).withColumnRenamed("hist", "quad"), "image_id")
+    hist = both.select("image_id", "hist")
+    hits = knn(hist, hist.join(normal, "image_id", "left_semi"), k + 1, query_id="image_id", bank_id="image_id", vec="hist")
+    hits = top_per_key(hits.where("query_id <> bank_id").drop("rn"), ["query_id"], [F.col("distance"), F.col("bank_id")], k)
+    near = hits.join(both.select(F.col("image_id").alias("bank_id"), "hist", "quad"), "bank_id")
+
+    def mean(col: str, n: int) -> Column:
+        return F.array(*[F.avg(F.get(col, i)) for i in range(n)])
+
+    refs = near.groupBy(F.col("query_id").alias("image_id")).agg(
+        F.min_by("bank_id", F.struct("distance", "bank_id")).alias("ref_id"), mean("hist", classes).alias("_rh"), mean("quad", 4 * classes).alias("_rq")
+    )
+    return both.join(refs, "image_id").select(
+        "image_id", "ref_id", component_score("hist", "_rh", classes, 1).alias("whole"), component_score("quad", "_rq", classes, 4).alias("quadrant")
+    )
+
+
 def component_map(px: DataFrame, refs_px: DataFrame, scores: DataFrame, quadrant_weight: float = QUADRANT_WEIGHT) -> DataFrame:
     """Map of missing and surplus components.
 
@@ -167,10 +191,15 @@ def combine_maps(st: DataFrame, ae: DataFrame, quantiles: DataFrame, component:
 
     ``quantiles`` is one row ``st_start, st_end, ae_start, ae_end``.
     """
-    both = st.select(*PX, F.col("score").alias("_st")).join(ae.select(*PX, F.col("score").alias("_ae")), list(PX))
-    scaled = attach(both, quantiles, []).select(
+    both = st.select(*PX, F.col("score").alias("st")).join(ae.select(*PX, F.col("score").alias("ae")), list(PX))
+    return combine_pixels(both, quantiles, component)
+
+
+def combine_pixels(px: DataFrame, quantiles: DataFrame, component: DataFrame) -> DataFrame:
+    """``combine_maps`` on one table ``(image_id, y, x, st, ae)``: no join of the two maps."""
+    scaled = attach(px, quantiles, []).select(
         *PX,
-        (quantile_scale("_st", F.col("st_start"), F.col("st_end")) + quantile_scale("_ae", F.col("ae_start"), F.col("ae_end"))).alias("texture"),
+        (quantile_scale("st", F.col("st_start"), F.col("st_end")) + quantile_scale("ae", F.col("ae_start"), F.col("ae_end"))).alias("texture"),
     )
     joined = scaled.join(component.select(*PX, F.col("score").alias("component")), list(PX), "left").na.fill(0.0, ["component"])
     return joined.withColumn("score", F.col("texture") + F.col("component") * F.lit(COMPONENT_WEIGHT))

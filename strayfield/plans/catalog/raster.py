@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from strayfield.operators import filters as fl
 from strayfield.operators import metrics as m
-from strayfield.operators import neighbours as nn
 from strayfield.operators import raster as rs
 from strayfield.operators import scoremaps as sm
 from strayfield.operators import shapes as sh
@@ -448,27 +447,7 @@ _NORMAL = f"""h as (select image_id, {_hist_sql()} hist, {_quad_sql()} quad from
 
 def _scores(t):
     """Component scores of every image against the mean of its three nearest other normal images."""
-    hist = sm.label_histogram(t.component_px, 5)
-    quad = sm.quadrant_histogram(t.component_px, 5, S, S).withColumnRenamed("hist", "quad")
-    normal = hist.join(t.normal_image, "image_id", "left_semi")
-    hits = nn.knn(hist, normal, 4, query_id="image_id", bank_id="image_id", vec="hist").where("query_id <> bank_id")
-    w = F.row_number().over(rs.W.partitionBy("query_id").orderBy("distance", "bank_id"))  # four hits per image
-    hits = hits.withColumn("rn", w).where("rn <= 3")
-    both = hist.join(quad, "image_id")
-    near = hits.join(both.select(F.col("image_id").alias("bank_id"), "hist", "quad"), "bank_id")
-
-    def mean(col, n):
-        return F.array(*[F.sum(F.get(col, i)) / 3 for i in range(n)])
-
-    refs = near.groupBy(F.col("query_id").alias("image_id")).agg(
-        F.max(F.when(F.col("rn") == 1, F.col("bank_id"))).alias("ref_id"), mean("hist", 5).alias("rh"), mean("quad", 20).alias("rq")
-    )
-    return both.join(refs, "image_id").select(
-        "image_id",
-        "ref_id",
-        sm.component_score("hist", "rh", 5, 1).alias("whole"),
-        sm.component_score("quad", "rq", 5, 4).alias("quadrant"),
-    )
+    return sm.component_scores(t.component_px, t.normal_image, 5, S, S, 3)
 
 
 @query(
@@ -520,12 +499,9 @@ _ST, _AE, _CM = (_MAPS.format(v=v) for v in ("l_extendedprice", "l_quantity * l_
 )
 def _(t):
     pixels = cut_lineage(t.sql(_ALL_MAPS))  # all three maps from one aggregate, read for the quantiles and the join
-    st, ae, cm = (pixels.select("image_id", "y", "x", F.col(c).alias("score")) for c in ("st", "ae", "cm"))
-    cm = cm.where("score > 0.05")
-    q_st = sm.exact_quantiles(st, "score", [0.9, 0.995]).toDF("st_start", "st_end")
-    q_ae = sm.exact_quantiles(ae, "score", [0.9, 0.995]).toDF("ae_start", "ae_end")
-    quantiles = q_st.select("*", q_ae.select("ae_start").scalar().alias("ae_start"), q_ae.select("ae_end").scalar().alias("ae_end"))
-    return rounded(sm.combine_maps(st, ae, quantiles, cm), 5)
+    cm = pixels.select("image_id", "y", "x", F.col("cm").alias("score")).where("score > 0.05")
+    ends = [sm.exact_quantiles(pixels, c, [0.9, 0.995]).toDF(f"{c}_start", f"{c}_end") for c in ("st", "ae")]
+    return rounded(sm.combine_pixels(pixels, ends[0].crossJoin(ends[1]), cm), 5)  # one row each
 
 
 @query(
