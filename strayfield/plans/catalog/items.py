@@ -35,6 +35,21 @@ def _(t):
     return it.parse_manifest(t.manifest_path).orderBy("path")
 
 
+@query(
+    "a1_scan_tree",
+    f"""select {_PARTS}[-4] class, {_PARTS}[-3] split, {_PARTS}[-2] defect, string_split({_NAME}, '_')[1] image_id,
+      cast(regexp_extract({_NAME}, '_([0-9]+)', 1) as int) instance_id, path, {_MASK} mask_path,
+      case when {_PARTS}[-2] <> 'good' then 1 else 0 end is_anomaly from manifest_path where {_PARTS}[-3] = 'test'""",
+)
+def _(t):
+    """A tree of real files, one per part, and the listing of its test folders."""
+    root = f"{shared_folder(t.spark)}/tree-{uuid.uuid4().hex}"
+    sk.write_files(t.manifest_path.withColumn("content", F.col("image_key").cast("string")), root)
+    found = it.scan_manifest(t.spark, f"{root}/data", splits=["test"])
+    below = [F.regexp_replace(c, "^.*/tree-[0-9a-f]+", "").alias(c) for c in ("path", "mask_path")]
+    return found.select(*[c for c in found.columns if c not in ("path", "mask_path")], *below)
+
+
 @query(
     "a2_parse_item_path",
     f"""select path, string_split({_NAME}, '_')[1] image_id, cast(regexp_extract({_NAME}, '_([0-9]+)', 1) as int) instance_id,

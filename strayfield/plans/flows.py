@@ -56,7 +56,7 @@ def zero_shot(items: DataFrame, images_per_batch: int, frac: float = 0.005, cap:
 def report(scores: DataFrame, dataset: str = "dataset") -> DataFrame:
     """The results table of image scores: AUROC, AP and best F1 per data set, and their means."""
     wanted = ["auroc", "ap", "f1"]
-    long = metrics.summary(scores, by=[dataset]).unpivot(dataset, wanted, "metric", "value")
+    long = metrics.summary(scores, by=[dataset]).withColumnRenamed(dataset, "dataset").unpivot("dataset", wanted, "metric", "value")
     return results_table(long, wanted)
 
 

@@ -11,9 +11,18 @@ from strayfield.operators.ordering import as_col, row_index
 from strayfield.operators.sets import union_rows
 
 
-def scan_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """One row per file of ``root/class/split/defect/file``; contents are never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+def scan_manifest(spark: SparkSession, root: str, classes: Sequence[str] = (), splits: Sequence[str] = ()) -> DataFrame:
+    """One row per file of ``root/class/split/defect/file``; contents are never read.
+
+    Spark lists the folders in parallel jobs. With ``classes`` or ``splits`` only the folders of these names are listed. Names
+    with glob characters don't work there. A choice that no folder fits is an error, as a missing root is.
+    """
+
+    def level(names: Sequence[str]) -> str:
+        return "{" + ",".join(names) + "}" if names else "*"
+
+    where = f"{root}/{level(classes)}/{level(splits)}" if classes or splits else root
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where).select("path")
     plain = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"))
     return parse_manifest(plain)
 

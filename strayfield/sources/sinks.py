@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -73,3 +75,27 @@ def reset_dir(spark: SparkSession, path: str) -> None:
     fs, where = _fs(spark, path)
     fs.delete(where, True)
     fs.mkdirs(where)
+
+
+def write_files(df: DataFrame, root: str, path: str = "path", content: str = "content") -> int:
+    """One file per row, ``root/path`` with the bytes of ``content`` (NULL: empty), written by the tasks; returns how many.
+
+    A task that runs again writes the same files. ``root`` is a folder all executors reach, as a path or a URI pyarrow knows.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = pafs.FileSystem.from_uri(root)
+        made: set[str] = set()
+        for rows in batches:
+            for name, data in zip(rows["path"], rows["content"]):
+                target = f"{base}/{name.lstrip('/')}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(target) as out:
+                    out.write(b"" if data is None else bytes(data))
+            yield pd.DataFrame({"n": [len(rows)]})
+
+    rows = df.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
+    return rows.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

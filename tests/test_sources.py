@@ -193,3 +193,17 @@ def test_meter_forgets_idle_keys(spark, two_partitions, tmp_path):
     found = {(r.key, r.position): (r.moving_avg, r.best, r.best_at) for r in got}
     assert found[("a", 2)] == (2.0, 2.0, 2)
     assert found[("b", 3)] == (4.0, 8.0, 1)
+
+
+def test_tree_of_files_is_listed_by_class_and_split(spark, tmp_path):
+    names = ["cup/train/good/1_0.png", "cup/test/good/2_0.png", "cup/test/crack/3_1.png", "box/test/dent/4.png"]
+    rows = spark.createDataFrame([(n, b"x") for n in names] + [(None, b"x"), ("box/test/dent/4.png", b"x")], "path string, content binary")
+    assert sk.write_files(rows, str(tmp_path)) == 5
+    assert sk.write_files(rows.where("false"), str(tmp_path)) == 0
+    everything = {(r["class"], r.split, r.defect, r.image_id, r.instance_id) for r in it.scan_manifest(spark, str(tmp_path)).collect()}
+    assert everything == {("cup", "train", "good", "1", 0), ("cup", "test", "good", "2", 0), ("cup", "test", "crack", "3", 1), ("box", "test", "dent", "4", None)}
+    assert {r.image_id for r in it.scan_manifest(spark, str(tmp_path), splits=["test"]).collect()} == {"2", "3", "4"}
+    chosen = it.scan_manifest(spark, str(tmp_path), classes=["cup", "none"], splits=["test"])
+    assert {r.image_id for r in chosen.collect()} == {"2", "3"}
+    with pytest.raises(Exception):
+        it.scan_manifest(spark, str(tmp_path), classes=["none"]).collect()
