@@ -154,14 +154,10 @@ def stream_meter(
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1) -> DataFrame:
-    """A parquet table of ``folder`` as a file stream."""
+    """A parquet table of ``folder`` as a file stream: one file, or a folder of part files."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", str(files_per_batch))
-        .parquet(folder)
-    )
+    # a pattern matches either; a plain path to one file is refused by the stream source
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_batch)).parquet(f"{folder}/{{{table}}}.parquet")
 
 
 def run_available(sdf: DataFrame, write: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame:
