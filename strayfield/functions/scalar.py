@@ -27,6 +27,11 @@ def zero_pad(n: str | Column, width: int) -> Column:
     return F.lpad(as_col(n).cast("string"), width, "0")
 
 
+def signed_round(x: str | Column, digits: int) -> Column:
+    """``round`` of a double as C and SQL engines give it: what rounds to zero from below is -0.0, which Spark's own makes 0.0."""
+    return F.round(F.abs(as_col(x)), digits) * F.signum(as_col(x))
+
+
 def stamp(ts: str | Column) -> Column:
     return F.date_format(as_col(ts), "yyyy-MM-dd_HH_mm_ss")
 

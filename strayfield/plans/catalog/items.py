@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from strayfield.functions.scalar import signed_round
 from strayfield.operators import filters as fl
 from strayfield.operators import sampling as sp
 from strayfield.operators import sets as st
@@ -414,7 +415,7 @@ def _(t):
 
     weights = np.cos(np.arange(4 * 64, dtype=float).reshape(4, 64)) / 8
     out = sp.random_project(t.query_vec.select("vec_id", "vec"), weights)
-    return out.withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))
+    return out.withColumn("vec", F.transform("vec", lambda x: signed_round(x, 6)))
 
 
 @query(

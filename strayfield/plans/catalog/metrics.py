@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from strayfield.functions.scalar import signed_round
 from strayfield.operators import metrics as m
 from strayfield.operators import neighbours as nn
 from strayfield.plans.catalog.neighbours import L2SQ, _hits_sql
@@ -10,7 +11,7 @@ from strayfield.plans.registry import query
 
 def rounded(df, digits=6, skip=()):
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" and c not in skip else F.col(c) for c in df.columns])
+    return df.select(*[signed_round(c, digits).alias(c) if kinds[c] == "double" and c not in skip else F.col(c) for c in df.columns])
 
 
 # one curve as SQL: {src} has columns score, y and optionally grp

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strayfield.functions import arrays as ar
 from strayfield.functions import scalar as sc
+from strayfield.functions.scalar import signed_round
 from strayfield.operators import outliers as ol
 from strayfield.operators import sampling as sp
 from strayfield.plans import stages as pl
@@ -254,7 +255,7 @@ def _(t):
 )
 def _(t):
     out = pl.embed(t.query_vec.select("vec_id", "vec"), lambda m: m.astype(np.float64) * 2 + 1, "vec", "out")
-    return out.select("vec_id", F.transform("out", lambda x: F.round(x, 6)).alias("out"))
+    return out.select("vec_id", F.transform("out", lambda x: signed_round(x, 6)).alias("out"))
 
 
 @query("m4_compose", "select event_id, value * 2 + 1 v from events where event_type = 'error'")

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strayfield.functions import arrays as ar
+from strayfield.functions.scalar import signed_round
 from strayfield.operators import segmentation as sg
 from strayfield.operators import vectors as vx
 from strayfield.plans.catalog.metrics import rounded
@@ -11,7 +12,7 @@ from strayfield.plans.registry import query
 
 
 def rounded_list(col, digits=6):
-    return F.transform(col, lambda x: F.round(x, digits)).alias("vec")
+    return F.transform(col, lambda x: signed_round(x, digits)).alias("vec")
 
 
 def _each(term: str, digits: int = 6) -> str:
