@@ -25,6 +25,8 @@ from strayfield.session import cut_lineage
 
 FAN = 64  # pivots of a node at most
 SPREAD = 2  # pivots for each block of different vectors
+LEAVES = 64  # wanted, while leaves hold fewer rows than a full block: a visit of a query costs more than a look at some rows
+CHUNK = 2048  # queries that go down from a node together: up to FAN times as many come out at once
 DEPTH = 8  # levels at most; node ids then fit a long
 SLACK = 1e-6  # relative room for rounding, above the error of a distance from a matrix product
 
@@ -86,9 +88,14 @@ def _stats(placed: DataFrame) -> DataFrame:
 
 
 def grow(bank: DataFrame, metric: str, p: float = 1.5, block_rows: int = B.BLOCK_ROWS) -> Tree:
-    """Index ``bank(bank_id, vec, ...)``. A bank of one block stays one cell and is not written."""
+    """Index ``bank(bank_id, vec, ...)``. A bank of one block stays one cell and is not written.
+
+    Where no search can prune, every query visits every leaf. So a block takes at least its share of the bank among ``LEAVES``,
+    until it is full (``BLOCK_ROWS``); small blocks alone would make the visits grow with the square of the rows.
+    """
     root = bank.withColumn("cell", F.lit(0).cast("long"))
     rows = bank.count()
+    block_rows = max(block_rows, min(B.BLOCK_ROWS, rows // LEAVES))
     if rows <= block_rows:
         return Tree(root, None, [], metric, p)
     space = lambda q, v: B.as_metric_space(np.maximum(B.distances(q, v, metric, p), 0.0), metric, p)
@@ -172,7 +179,7 @@ def descend(queries: DataFrame, tree: Tree, choose: Choice) -> DataFrame:
     here = queries.mapInPandas(first, schema)
     out = here.where("leaf")
     for level in tree.levels:
-        here = B.block_join(here.where("not leaf").drop("leaf"), level, below, schema)
+        here = B.block_join(here.where("not leaf").drop("leaf"), level, below, schema, query_rows=CHUNK, full_chunk=CHUNK)
         out = out.unionByName(here.where("leaf"))
     return out.drop("leaf")
 
