@@ -208,9 +208,10 @@ def ann(
     vec: str = "vec",
     seed: int = 0,
     block_rows: int = B.BLOCK_ROWS,
+    recall: float = 0.9,
 ) -> DataFrame:
     """Approximate kNN with inverted lists: k-means lists, and each query searches its ``probes`` nearest ones, or as many
-    more as it takes to see ``k`` rows."""
+    more as it takes to see ``k`` rows, and to reach ``recall`` (``_probes_for``); with ``recall=0`` no more than that."""
     q, b = _sides(query, bank, query_id, bank_id, vec, vec)
     model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="f", predictionCol="cell").fit(
         b.select(array_to_vector(F.col("vec").cast("array<double>")).alias("f"))
@@ -228,11 +229,45 @@ def ann(
     count = np.zeros(len(centres))
     for r in placed.groupBy("cell").count().collect():
         count[r["cell"]] = r["count"]
-    visits = B.visit(q, B.Cells(centres, count, np.zeros(len(centres)), "l2sq", 2.0), B.probe_reach(probes, k))
+    cells = B.Cells(centres, count, np.zeros(len(centres)), "l2sq", 2.0)
+    if recall > 0:
+        probes = max(probes, _probes_for(recall, q, placed, cells, k, block_rows))
+    visits = B.visit(q, cells, B.probe_reach(probes, k))
     out = f"query_id {_type(q, 'query_id')}, bank_id {_type(b, 'bank_id')}, distance double"
     return _merge(B.block_join(visits, placed, _nearest_kernel("l2sq", 2.0, k), out, block_rows, block_rows), k)
 
 
+TRIED = 512  # queries whose true neighbours are looked up
+MARGIN = 0.02  # above the wanted recall, some three deviations of what so many queries measure
+
+
+def _probes_for(recall: float, q: DataFrame, placed: DataFrame, cells: B.Cells, k: int, block_rows: int) -> int:
+    """How many lists a query has to search for ``recall``: of ``TRIED`` queries, taken by hash, all true neighbours are found by
+    brute force, and it is told how far down its query's order of lists each of them lies. One count per list returns."""
+    tried = cut_lineage(q.orderBy(F.xxhash64("query_id"), "query_id").limit(TRIED))
+    schema = f"query_id {_type(q, 'query_id')}, bank_id {_type(placed, 'bank_id')}, distance double"
+    whole = F.lit(0).alias("cell")
+    near = B.block_join(tried.select("*", whole), placed.select("bank_id", "vec", whole), _nearest_kernel("l2sq", 2.0, k), schema, block_rows, block_rows)
+    homes = _merge(near, k).select("query_id", "bank_id").join(placed.select("bank_id", "cell"), "bank_id").join(tried, "query_id")
+
+    def depth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in cells.strips(len(pdf)):
+                part = pdf.iloc[at]
+                d = np.where(cells.count[None, :] > 0, cells.to_pivots(B.matrix(part["vec"])), np.inf)
+                own = d[np.arange(len(d)), part["cell"].to_numpy()]
+                yield pd.DataFrame({"depth": (d < own[:, None]).sum(1) + 1})
+
+    found = homes.select("vec", "cell").mapInPandas(depth, "depth long").groupBy("depth").count().orderBy("depth").collect()
+    total = sum(r["count"] for r in found)
+    seen = 0
+    for r in found:
+        seen += r["count"]
+        if seen >= min(1.0, recall + MARGIN) * total:
+            return r["depth"]
+    return 0
+
+
 def self_score(
     df: DataFrame,
     group: str,
