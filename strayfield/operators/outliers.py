@@ -14,7 +14,7 @@ from strayfield.operators import blocks as B, pivots as T
 from strayfield.operators.graph import connected_components
 from strayfield.operators.neighbours import distance_sums, knn
 from strayfield.operators.ordering import attach, row_index
-from strayfield.operators.selection import nearest_sums
+from strayfield.operators.selection import kth_on_a_line, nearest_sums
 from strayfield.operators.vectors import mean_vector
 from strayfield.session import cut_lineage
 
@@ -40,6 +40,23 @@ def _within(q: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     return hit
 
 
+def _stretch(q: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of ``q``, the stretch ``[lo, hi)`` of the sorted different numbers ``b`` that ``_within`` finds."""
+    lo, hi = np.searchsorted(b, q - eps, "left"), np.searchsorted(b, q + eps, "right")
+    # both ends are settled by the distances themselves, which are off the sums by a rounding at most
+    for end, step, inner in ((lo, -1, 0), (hi, 1, -1)):
+        while True:
+            out, last = end + (step + inner if step < 0 else 0), end + inner
+            grow = (out >= 0) & (out < len(b))
+            grow[grow] = np.abs(q[grow] - b[out[grow]]) <= eps
+            shrink = ~grow & (last >= 0) & (last < len(b)) & (lo < hi)
+            shrink[shrink] = np.abs(q[shrink] - b[last[shrink]]) > eps
+            if not (grow.any() or shrink.any()):
+                break
+            end += step * grow - step * shrink
+    return lo, hi
+
+
 def _strips(q: np.ndarray, b: np.ndarray):
     step = max(1, B.TILE // max(1, len(b)))
     for lo in range(0, len(q), step):
@@ -135,8 +152,14 @@ def bandwidth(df: DataFrame, quantile: float = 0.3, item: str = "vec_id", vec: s
     """One row: the mean distance of a row to its ``int(n * quantile)``-th nearest row, itself included; NULL without rows.
 
     The neighbours are never listed: rounds of distance bins close in on each row's distance (``selection.nearest_sums``),
-    and copies of a vector count once with a weight.
+    and copies of a vector count once with a weight. Vectors of one number need no distances, but an order (``selection.kth_on_a_line``).
     """
+    sizes = df.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
+    if tuple(sizes) == (1, 1):
+        line = df.select(F.col(item).alias("id"), (F.get(vec, F.lit(0)).cast("double") + F.lit(0.0)).alias("value"))
+        wanted = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * quantile)).cast("long").alias("k"))
+        found = kth_on_a_line(line, wanted).where("d is not null")
+        return found.agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("bandwidth"))
     points = cut_lineage(_weighted_points(df, item, vec))
     size = points.agg(F.sum("n").alias("all"))
     k = F.greatest(F.lit(1), F.floor(F.col("all") * quantile)).cast("long").alias("k")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from strayfield.operators import blocks as B
+from strayfield.operators.ordering import attach, row_index, running
 from strayfield.session import cut_lineage
 
 BINS = 32
@@ -146,3 +147,23 @@ def nearest_sums(rows: DataFrame, metric: str = "l2sq", p: float = 1.5, block_ro
     visits = _sides(wide.join(closed, keys), "hi")[0]
     last = B.block_join(visits, bank, widest, f"{head}, kth double", block_rows, block_rows).groupBy(*keys).agg(F.max("kth").alias("kth"))
     return out.unionByName(closed.select(*keys, "total").join(last, keys))
+
+
+def kth_on_a_line(rows: DataFrame, k: DataFrame) -> DataFrame:
+    """``value, n, d``: for each value of ``rows(id, value)``, its copies and the distance of its ``k``-th nearest row, itself included.
+
+    ``k`` is a table of one number. On a line the ``k`` nearest rows are neighbours in order: of all runs of ``k`` rows it is one of the two
+    whose midpoints lie on either side of the value. So two ranks and joins by rank replace the comparison of pairs. A NULL value is near nothing.
+    """
+    ranked = cut_lineage(row_index(rows.where("value is not null"), ["value", "id"], name="i").select("i", "value"))
+    ends = attach(ranked, k, []).where("i >= k").select((F.col("i") - F.col("k") + 1).alias("i"), F.col("value").alias("high"))
+    runs = cut_lineage(ranked.select("i", F.col("value").alias("low")).join(ends, "i"))
+    values = ranked.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    # doubled midpoints and doubled values in one order; a value comes before the runs whose midpoint it is
+    marks = runs.select((F.col("low") + F.col("high")).alias("at"), F.lit(1).alias("run"), F.col("i").alias("id"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("n"))
+    asked = values.select((F.col("value") * 2).alias("at"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("id"), "value", "n")
+    placed = running(marks.unionByName(asked), ["at", "run", "id"], {"i": F.col("run").cast("long")}).where("run = 0").select("value", "n", "i")
+    left = runs.select("i", "low")
+    right = runs.select((F.col("i") - 1).alias("i"), "high")
+    both = placed.join(left, "i", "left").join(right, "i", "left")
+    return both.select("value", "n", F.least(F.col("value") - F.col("low"), F.col("high") - F.col("value")).alias("d"))
