@@ -129,7 +129,9 @@ def _grow(start: DataFrame, picks: int, item: str, look: int) -> DataFrame:
     spark = start.sparkSession
     state, done = start.withColumn("pick_no", F.lit(None).cast("long")), 0
     while done < picks:
-        top = state.where("pick_no is null").orderBy(F.col("anchor").desc(), item).limit(look + 1).collect()
+        best = state.where("pick_no is null").select("anchor", item, "vec").orderBy(F.col("anchor").desc(), item).limit(look + 1)
+        # the first rows of all partitions meet in a task: collected at once, each partition would send its own to the driver
+        top = best.mapInArrow(lambda batches: batches, best.schema).collect()
         outside = (top[look]["anchor"], top[look][item]) if len(top) > look else None
         ids = [r[item] for r in top[:look]]
         m = np.array([r["vec"] for r in top[:look]], dtype=float)
