@@ -13,6 +13,7 @@ from strayfield.functions.arrays import doubles, norm
 from strayfield.operators.neighbours import covariance, knn
 from strayfield.operators.ordering import attach, top_per_key
 from strayfield.operators.raster import PX, complement
+from strayfield.session import parallelism
 
 # fixed values of the component score
 SMALL_COUNT, SMALL_STANDS_FOR = 50, 256.0 * 256.0
@@ -273,6 +274,7 @@ def rotate_maps(px: DataFrame, h: int, w: int, keys: Sequence[str] = ("image_id"
     cells = (
         turned.select(*keys, "angle")
         .distinct()
+        .repartition(parallelism(px.sparkSession), *keys)  # few bytes that become h x w cells each: not merged by size
         .withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1))))
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
         # rounded, so that quarter turns hit the cells on the rim
@@ -294,7 +296,8 @@ def rotate_maps(px: DataFrame, h: int, w: int, keys: Sequence[str] = ("image_id"
     )
     asked = cells.select(*keys, "y", "x", F.inline(taps)).where("wt > 0")
     source = turned.select(*keys, F.col("y").alias("sy"), F.col("x").alias("sx"), "score")
-    moved = asked.join(source, [*keys, "sy", "sx"]).groupBy(*keys, "y", "x").agg(F.sum(F.col("score") * F.col("wt")).alias("score"))
+    # the cells look small before they are exploded, and must not be broadcast
+    moved = asked.join(source.hint("merge"), [*keys, "sy", "sx"]).groupBy(*keys, "y", "x").agg(F.sum(F.col("score") * F.col("wt")).alias("score"))
     return still.unionByName(moved)
 
 
