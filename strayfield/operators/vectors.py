@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from strayfield.functions.arrays import bind, doubles, mean_squared_difference, squared_distance, total
 from strayfield.operators.neighbours import linear_map
 from strayfield.operators.ordering import attach
+from strayfield.operators.tiles import slide
 
 CELL = ("image_id", "y", "x")
 WIDE_DIMS = 100  # up to here one aggregate per dimension stays inside generated code
@@ -117,13 +118,8 @@ def concat_vectors(dfs: Sequence[DataFrame], keys: Sequence[str], vec: str = "ve
 
 def avg_pool3(px: DataFrame, h: int, w: int, by: Sequence[str] = ("image_id",), value: str = "score") -> DataFrame:
     """3 x 3 average pool, stride 1; cells outside count as zeros."""
-    return (
-        px.select(*by, "y", "x", value, F.explode(offsets(3)).alias("o"))
-        .select(*by, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), value)
-        .where(inside(h, w))
-        .groupBy(*by, "y", "x")
-        .agg((F.sum(value) / F.lit(9.0)).alias(value))
-    )
+    summed = slide(px.withColumn(value, F.col(value).cast("double")), "sum", 3, h, w, by, value)
+    return summed.withColumn(value, F.col(value) / F.lit(9.0))
 
 
 def _reduce_vectors(df: DataFrame, by: Sequence[str], vec: str, how, dims: int | None) -> DataFrame:
