@@ -386,12 +386,13 @@ def align_angle(
 
 def remove_and_renumber(df: DataFrame, bad: DataFrame, image: str = "image_id", instance: str = "instance_id") -> DataFrame:
     """Drop ``bad`` instances and close the gaps: the lowest free number goes to the highest id (``new_id``)."""
-    left = df.join(bad.select(image, instance), [image, instance], "left_anti")
+    # written once: each is read by several steps, and ``row_index`` reads its rows three times
+    left = cut_lineage(df.join(bad.select(image, instance), [image, instance], "left_anti"))
     sizes = left.groupBy(image).agg(F.count(F.lit(1)).cast("int").alias("_n"))
     slots = sizes.select(image, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(instance))
-    gaps = slots.join(left.select(image, instance), [image, instance], "left_anti")
+    gaps = cut_lineage(slots.join(left.select(image, instance).hint("merge"), [image, instance], "left_anti"))
     gaps = row_index(gaps, [instance], [image], "_rank").select(image, "_rank", F.col(instance).alias("new_id"))
-    high = attach(left.select(image, instance), sizes, [image]).where(F.col(instance) >= F.col("_n"))
+    high = cut_lineage(attach(left.select(image, instance), sizes, [image]).where(F.col(instance) >= F.col("_n")).select(image, instance))
     high = row_index(high, [-F.col(instance)], [image], "_rank").join(gaps, [image, "_rank"]).select(image, instance, "new_id")
     return left.join(high, [image, instance], "left").withColumn("new_id", F.coalesce("new_id", F.col(instance)).cast("int"))
 
