@@ -26,6 +26,7 @@ from strayfield.session import cut_lineage
 FAN = 64  # pivots of a node at most
 SPREAD = 2  # pivots for each block of different vectors
 LEAVES = 64  # wanted, while leaves hold fewer rows than a full block: a visit of a query costs more than a look at some rows
+PIECE = 8192  # rows of one frame that leaves a task: each carries a vector, copied for every child it visits
 CHUNK = 2048  # queries that go down from a node together: up to FAN times as many come out at once
 DEPTH = 8  # levels at most; node ids then fit a long
 SLACK = 1e-6  # relative room for rounding, above the error of a distance from a matrix product
@@ -150,6 +151,12 @@ def grow(bank: DataFrame, metric: str, p: float = 1.5, block_rows: int = B.BLOCK
     return Tree(whole, Children.of(top), levels, metric, p)
 
 
+def _visits(part: pd.DataFrame, row: np.ndarray, child: np.ndarray, children: Children) -> Iterator[pd.DataFrame]:
+    for at in range(0, max(1, len(row)), PIECE):
+        to = child[at : at + PIECE]
+        yield part.iloc[row[at : at + PIECE]].assign(cell=children.node[to], leaf=children.leaf[to])
+
+
 def descend(queries: DataFrame, tree: Tree, choose: Choice) -> DataFrame:
     """``queries(query_id, vec, ...)`` with a row for each leaf (``cell``) that ``choose`` leads to."""
     if tree.top is None:
@@ -162,7 +169,7 @@ def descend(queries: DataFrame, tree: Tree, choose: Choice) -> DataFrame:
             part = pdf.iloc[lo : lo + 4096]
             d = B.as_metric_space(np.maximum(B.distances(vectors[lo : lo + 4096], children.pivot, metric, p), 0.0), metric, p)
             row, child = np.nonzero(choose(d, children, part))
-            yield part.iloc[row].assign(cell=children.node[child], leaf=children.leaf[child])
+            yield from _visits(part, row, child, children)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
