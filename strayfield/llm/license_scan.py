@@ -199,7 +199,11 @@ def notices() -> list[tuple[str, str]]:
 
 def canonical(text: Column) -> Column:
     """The canonical form: ASCII letters and digits of the text in lower case, single spaces, no copyright lines."""
-    return _spelled(F.regexp_replace(_without_copyright(text), "[^a-z0-9]+", " "))
+    return _canonical(_without_copyright(text))
+
+
+def _canonical(bare: Column) -> Column:
+    return _spelled(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
 def _without_copyright(text: Column) -> Column:
@@ -215,7 +219,11 @@ def _spelled(plain: Column) -> Column:
 
 def passages(text: Column) -> Column:
     """The canonical forms of the lines and of the paragraphs of a text, without empty ones."""
-    rows = F.regexp_replace(_without_copyright(text), "[^a-z0-9\\n]+", " ")
+    return _passages(_without_copyright(text))
+
+
+def _passages(bare: Column) -> Column:
+    rows = F.regexp_replace(bare, "[^a-z0-9\\n]+", " ")
     lines = F.split(_spelled(F.replace(rows, F.lit("\n"), F.lit(" \n "))), " ?\n ?")
     # a paragraph of one line is among the lines
     joined = _spelled(F.replace(F.regexp_replace(F.concat(F.lit("\n\n"), rows, F.lit("\n\n")), " ?\n(?: ?\n)+ ?", " \r "), F.lit("\n"), F.lit(" ")))
@@ -249,11 +257,12 @@ def scanned(df: DataFrame, licenses: DataFrame | None = None, text: str = "text"
     maps = spark.range(256).join(one.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("m")), F.col("id") == F.col("place"), "left")
     keyed = maps.groupBy().pivot("id", list(range(256))).agg(F.first("m"))  # one row
     table = keyed.select(F.array(*[F.coalesce(F.col(f"`{i}`"), F.create_map().cast("map<string,string>")) for i in range(256)]).alias("m"))
-    digest, names, of, found = fresh(df, "canonical_digest", "notice_map", "license_of", "license_found")
-    marked = df.withColumn(digest, F.sha2(canonical(F.col(f"`{text}`")), 256))
+    bare, digest, names, of, found = fresh(df, "bare_text", "canonical_digest", "notice_map", "license_of", "license_found")
+    # the search for copyright lines is the dearest step, so both forms start from one column
+    marked = df.withColumn(bare, _without_copyright(F.col(f"`{text}`"))).withColumn(digest, F.sha2(_canonical(F.col(bare)), 256))
     marked = marked.join(F.broadcast(whole.select(F.col("digest").alias(of), F.col("license").alias(found))), F.col(digest) == F.col(of), "left")
     marked = marked.withColumn(names, table.scalar())
     look = lambda x: let(F.sha2(x, 256), lambda d: F.element_at(F.element_at(F.col(names), place(d) + 1), d))
-    hits = F.transform(passages(F.col(f"`{text}`")), lambda x: let(_notice(x), lambda n: F.coalesce(look(n), F.when(n != x, look(x)))))
+    hits = F.transform(_passages(F.col(bare)), lambda x: let(_notice(x), lambda n: F.coalesce(look(n), F.when(n != x, look(x)))))
     out = replace(marked, canonical_sha256=F.col(digest), license=F.col(found), notices=F.array_sort(F.array_distinct(F.array_compact(hits))))
-    return out.drop(digest, names, of, found)
+    return out.drop(bare, digest, names, of, found)
