@@ -14,10 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strayfield.session import parallelism
 
 BLOCK_ROWS = 32768
 MOST_BLOCKS = 16  # of a cell, while they hold fewer than BLOCK_ROWS rows each
 TILE = 4_000_000  # elements of one distance matrix held in memory
+STRIP = 1_000_000  # of one matrix of lower bounds, of which two are held
+ROUNDING = 1e-11  # of sums over a row's elements, relative; far above what doubles lose
 CACHED = 32768  # elements of a distance matrix that a core's cache holds with their scratch space
 
 
@@ -61,6 +64,37 @@ def _raised(gap: np.ndarray, p: float, scratch: np.ndarray | None = None) -> np.
     return root
 
 
+def lower_bounds(q: np.ndarray, b: np.ndarray, p: float) -> np.ndarray | None:
+    """A matrix that is nowhere above the sum of ``gap ** p``, p under 2, from matrix products alone; None where none is to be had.
+
+    With S(r) the sum of ``gap ** r``, log S is convex in r, so S(p) is at least ``S(2) ** ((4 - p) / 2) / S(4) ** ((2 - p) / 2)``. Both sums
+    are polynomials of the two rows. They are taken about the bank's mean, and each is moved by more than its rounding.
+    """
+    if not 0 < p < 2:
+        return None
+    with np.errstate(all="ignore"):
+        centre = b.mean(0)
+        q, b = q - centre, b - centre
+        q2, b2 = q * q, b * b
+        of_q, of_b = np.stack([q2.sum(1), (q2 * q2).sum(1), np.ones(len(q))], 1), np.stack([b2.sum(1), (b2 * b2).sum(1), np.ones(len(b))], 1)
+        if not (np.isfinite(of_q).all() and np.isfinite(of_b).all()):
+            return None
+        less, more = 1.0 - ROUNDING, 1.0 + 8.0 * ROUNDING
+        low = np.hstack([q, less * of_q[:, [0, 2]]]) @ np.hstack([-2.0 * b, of_b[:, [2, 0]]]).T
+        high = np.hstack([q2 * q, q2, q, more * of_q[:, [1, 2]]]) @ np.hstack([-4.0 * b, 6.0 * b2, -4.0 * (b2 * b), of_b[:, [2, 1]]]).T
+        np.maximum(low, 0.0, out=low)
+        np.maximum(high, 1e-300, out=high)
+        if p == 1.5:
+            np.divide(low, high, out=high)
+            np.sqrt(np.sqrt(high, out=high), out=high)
+        else:  # low / sqrt(high) does not overflow
+            np.divide(low, np.sqrt(high, out=high), out=high)
+            high **= 2.0 - p
+            low **= p / 2.0
+        high *= low
+        return high
+
+
 def paired(q: np.ndarray, b: np.ndarray, metric: str, p: float = 1.5) -> np.ndarray:
     """Exact distances of aligned rows, so that equal vectors give exactly equal distances."""
     if metric == "l2sq":
@@ -170,4 +204,6 @@ def block_join(
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return kernel(left, right)
 
-    return q.groupBy(*at).cogroup(b.groupBy(*at)).applyInPandas(run, schema)
+    # a visitor's copies compress to few bytes, by which pieces would be merged into few tasks; their work is in the distances
+    tasks = parallelism(bank.sparkSession)
+    return q.repartition(tasks, *at).groupBy(*at).cogroup(b.repartition(tasks, *at).groupBy(*at)).applyInPandas(run, schema)

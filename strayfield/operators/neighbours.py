@@ -16,6 +16,8 @@ from strayfield.operators.ordering import attach
 from strayfield.operators.selection import nearest_sums
 from strayfield.session import cut_lineage
 
+MOST_KEPT = 0.2  # share of a matrix that is looked at pair by pair
+PAIRS = 1 << 16  # pairs of vectors held at a time
 METRICS = ("l2sq", "l1", "lp", "cosine", "mahalanobis")
 
 
@@ -23,6 +25,32 @@ def _type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
+def _candidates(q: np.ndarray, b: np.ndarray, metric: str, p: float, k: int, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``(row of q, row of b)`` that hold each row's ``k`` nearest and their ties; none beyond ``most`` need be among them.
+
+    L1 and Minkowski distances have no matrix product, but a lower bound that has: the best bounds of ``k`` parts of the bank name rows
+    whose distances limit the k-th one, and only pairs with a bound within that limit stay. Rows that keep many take their whole distances.
+    """
+
+    def nearest(rows: np.ndarray) -> np.ndarray:
+        d = B.distances(rows, b, metric, p)
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+        return d <= (kth + 1e-9 * (1.0 + np.abs(kth)))[:, None]
+
+    limits = B.lower_bounds(q, b, 1.0 if metric == "l1" else p) if metric in ("l1", "lp") else None
+    if limits is None:
+        return np.nonzero(nearest(q))
+    edges = [len(b) * i // k for i in range(k + 1)]
+    seeds = [limits[:, lo:hi].argmin(1) + lo for lo, hi in zip(edges, edges[1:])]
+    top = np.max([B.paired(q, b[at], metric, p) for at in seeds], axis=0)
+    top = top if most is None else np.fmin(top, most)
+    near = ~(limits > (top + 1e-9 * (1.0 + np.abs(top)))[:, None])
+    crowded = np.flatnonzero(np.count_nonzero(near, axis=1) > MOST_KEPT * len(b) + k)
+    if len(crowded):
+        near[crowded] = nearest(q[crowded])
+    return np.nonzero(near)
+
+
 def _nearest_kernel(metric: str, p: float, k: int):
     """Exact top k inside one block."""
 
@@ -32,14 +60,14 @@ def _nearest_kernel(metric: str, p: float, k: int):
             return empty
         qm, bm, bank_ids, query_ids = B.matrix(q["vec"]), B.matrix(b["vec"]), b["bank_id"].to_numpy(), q["query_id"]
         kk = min(k, len(bm))
-        step = max(1, B.TILE // len(bm))
+        # the second way down knows the k-th distance of the first; its root was taken, so there is room for rounding
+        most = q["bound"].to_numpy(float) ** (p if metric == "lp" else 1.0) * (1.0 + T.SLACK) if "bound" in q and metric in ("l1", "lp") else None
+        step = max(1, (B.STRIP if metric in ("l1", "lp") else B.TILE) // len(bm))
         found = []
         for lo in range(0, len(qm), step):
             part = qm[lo : lo + step]
-            d = B.distances(part, bm, metric, p)
-            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-            r, c = np.nonzero(d <= (kth + 1e-9 * (1.0 + np.abs(kth)))[:, None])  # keeps ties for the exact pass
-            exact = B.paired(part[r], bm[c], metric, p)
+            r, c = _candidates(part, bm, metric, p, kk, None if most is None else most[lo : lo + step])
+            exact = np.concatenate([np.zeros(0)] + [B.paired(part[r[at : at + PAIRS]], bm[c[at : at + PAIRS]], metric, p) for at in range(0, len(r), PAIRS)])
             hits = pd.DataFrame({"r": r + lo, "bank_id": bank_ids[c], "distance": exact})
             found.append(hits.sort_values(["r", "distance", "bank_id"]).groupby("r", sort=False).head(kk))
         hits = pd.concat(found, ignore_index=True)
@@ -140,7 +168,7 @@ def _bounded(q: DataFrame, index: Index, k: int) -> tuple[DataFrame, DataFrame]:
     bound = {"l2sq": F.sqrt(far), "cosine": F.sqrt(2 * far), "l1": far}.get(tree.metric, F.pow(far, F.lit(1.0 / tree.p)))
     bounds = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, bound).otherwise(F.lit(float("inf"))).alias("bound"))
     wide = T.descend(q.join(bounds, "query_id"), tree, T.within())
-    return found, wide.join(near.select("query_id", "cell"), ["query_id", "cell"], "left_anti").drop("bound")
+    return found, wide.join(near.select("query_id", "cell"), ["query_id", "cell"], "left_anti")
 
 
 def _leaf_search(q: DataFrame, index: Index, k: int):

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strayfield.operators import blocks as B
-from strayfield.session import cut_lineage
+from strayfield.session import cut_lineage, parallelism
 
 FAN = 64  # pivots of a node at most
 SPREAD = 2  # pivots for each block of different vectors
@@ -183,7 +183,8 @@ def descend(queries: DataFrame, tree: Tree, choose: Choice) -> DataFrame:
 
     schema = f"{_fields(queries)}, cell long, leaf boolean"
     names = [*queries.columns, "cell", "leaf"]
-    here = queries.mapInPandas(first, schema)
+    # few bytes that become a row for each child: dealt to all tasks first, and not merged by size
+    here = queries.repartition(parallelism(queries.sparkSession), "query_id").mapInPandas(first, schema)
     out = here.where("leaf")
     for level in tree.levels:
         here = B.block_join(here.where("not leaf").drop("leaf"), level, below, schema, query_rows=CHUNK, full_chunk=CHUNK)

@@ -221,3 +221,24 @@ def test_iterative_outliers(spark):
     df = spark.createDataFrame(pd.DataFrame({"i": np.arange(202), "area": v}))
     kept = ol.iterative_outliers(df, 0.3).toPandas()
     assert not {200, 201} & set(kept["i"])
+
+
+@pytest.mark.parametrize("metric, p", [("l1", 1.0), ("lp", 1.5), ("lp", 0.7)])
+def test_lower_bounds_spare_most_distances(monkeypatch, metric, p):
+    """Bounds from matrix products are never above a distance, also far from the origin, and leave few pairs of unstructured rows."""
+    rng = np.random.default_rng(5)
+    for at, scale in ((0.0, 1.0), (1e6, 1e-2), (0.0, 1e-60)):
+        b = at + scale * rng.normal(size=(900, 64))
+        q = np.concatenate([at + scale * rng.normal(size=(50, 64)), b[:5]])
+        b[17] = b[18]
+        d = (np.abs(q[:, None] - b[None]) ** p).sum(2)
+        low = nn.B.lower_bounds(q, b, p)
+        assert (low <= d * (1 + 1e-12) + 1e-300).all()
+    b = rng.normal(size=(4000, 64))
+    q = b[:60] + 0.3 * rng.normal(size=(60, 64))
+    d = (np.abs(q[:, None] - b[None]) ** p).sum(2)
+    monkeypatch.setattr(nn.B, "distances", None)  # no whole matrix
+    r, c = nn._candidates(q, b, metric, p, 1)
+    assert {(i, j) for i, j in enumerate(d.argmin(1))} <= set(zip(r.tolist(), c.tolist())) and len(r) < 0.05 * d.size
+    none = nn._candidates(q, b, metric, p, 1, np.zeros(len(q)))  # all rows lie beyond what is asked for
+    assert len(none[0]) == 0
