@@ -2,29 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strayfield.functions.scalar import basename, parent_name, strip_extension
 from strayfield.operators.ordering import as_col, row_index
 from strayfield.operators.sets import union_rows
+from strayfield.session import cut_lineage, parallelism
+
+LISTED = 1 << 14  # entries of one frame that leaves a task
 
 
 def scan_manifest(spark: SparkSession, root: str, classes: Sequence[str] = (), splits: Sequence[str] = ()) -> DataFrame:
     """One row per file of ``root/class/split/defect/file``; contents are never read.
 
-    Spark lists the folders in parallel jobs. With ``classes`` or ``splits`` only the folders of these names are listed. Names
-    with glob characters don't work there. A choice that no folder fits is an error, as a missing root is.
+    Tasks list the folders of a level side by side, and the paths stay in tables: neither the driver nor a file index holds them. With ``classes``
+    or ``splits`` only the folders of these names are listed. Names that start with ``_`` (without ``=``) or ``.`` are left out, as Spark does. A choice that no
+    folder fits is an error, as a missing root is.
     """
-
-    def level(names: Sequence[str]) -> str:
-        return "{" + ",".join(names) + "}" if names else "*"
-
-    where = f"{root}/{level(classes)}/{level(splits)}" if classes or splits else root
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where).select("path")
-    plain = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"))
-    return parse_manifest(plain)
+    files: list[DataFrame] = []
+    start = root if "://" in root or root.startswith("file:") else os.path.abspath(root)
+    level = spark.createDataFrame([(start,)], "path string")
+    depth = 0
+    while True:
+        entries = cut_lineage(_listed(level))
+        level = entries.where("folder").select("path")
+        wanted = {0: classes, 1: splits}.get(depth)
+        if wanted:
+            level = level.where(basename("path").isin(list(wanted)))
+        if depth >= (2 if splits else 1 if classes else 0):  # what lies beside the chosen folders is not listed
+            files.append(entries.where("not folder").select("path"))
+        depth += 1
+        if not level.take(1):
+            break
+    if depth <= (2 if splits else 1 if classes else 0):
+        raise FileNotFoundError(f"no folder of {root} fits classes {list(classes)} and splits {list(splits)}")
+    return parse_manifest(union_rows(files))
+
+
+def _listed(folders: DataFrame) -> DataFrame:
+    """``(path, folder)``: the entries of every folder of ``folders(path)``; each folder is listed by one task."""
+
+    def ls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf["path"]:
+                store, base = pafs.FileSystem.from_uri(path)
+                scheme = "" if store.type_name == "local" or not path.endswith(base) else path[: len(path) - len(base)]
+                found = [e for e in store.get_file_info(pafs.FileSelector(base)) if _shown(e.base_name)]
+                for at in range(0, len(found), LISTED):
+                    some = found[at : at + LISTED]
+                    yield pd.DataFrame({"path": [scheme + e.path for e in some], "folder": [e.type == pafs.FileType.Directory for e in some]})
+
+    tasks = parallelism(folders.sparkSession)
+    return folders.repartition(tasks, "path").mapInPandas(ls, "path string, folder boolean")
+
+
+def _shown(name: str) -> bool:
+    return not (name.startswith(".") or name.startswith("_") and "=" not in name)
 
 
 def parse_manifest(df: DataFrame, path: str = "path") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strayfield.session import parallelism
+
 
 def save_bank(df: DataFrame, params: dict, path: str) -> None:
     """A vector bank and its parameters under one folder."""
@@ -98,4 +100,6 @@ def write_files(df: DataFrame, root: str, path: str = "path", content: str = "co
             yield pd.DataFrame({"n": [len(rows)]})
 
     rows = df.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
+    # few bytes a row, but a file each: dealt to all tasks, however small the table
+    rows = rows.repartition(parallelism(df.sparkSession), "path")
     return rows.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

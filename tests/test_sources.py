@@ -207,3 +207,21 @@ def test_tree_of_files_is_listed_by_class_and_split(spark, tmp_path):
     assert {r.image_id for r in chosen.collect()} == {"2", "3"}
     with pytest.raises(Exception):
         it.scan_manifest(spark, str(tmp_path), classes=["none"]).collect()
+
+
+def test_a_tree_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """No file index: it would sit on the driver, and make a task of every four files. Hidden names and chosen folders as before."""
+    rows = spark.range(900).select(F.format_string("/cup/%s/good/%04d_0.png", F.when(F.col("id") % 3 == 0, "train").otherwise("test"), "id").alias("path"), F.lit("x").alias("content"))
+    assert sk.write_files(rows, str(tmp_path)) == 900
+    (tmp_path / "cup" / "test" / ".part").write_text("x")
+    (tmp_path / "cup" / "test" / "_SUCCESS").write_text("x")
+    (tmp_path / "stray.png").write_text("x")
+    found = it.scan_manifest(spark, f"file:{tmp_path}", splits=["test"])
+    assert found.rdd.getNumPartitions() < 100
+    got = {r["path"] for r in found.collect()}
+    assert got == {f"{tmp_path}/cup/test/good/{i:04d}_0.png" for i in range(900) if i % 3}
+    assert it.scan_manifest(spark, str(tmp_path)).count() == 901
+    with pytest.raises(Exception):
+        it.scan_manifest(spark, str(tmp_path), splits=["none"]).collect()
+    with pytest.raises(Exception):
+        it.scan_manifest(spark, f"{tmp_path}/nowhere").collect()
