@@ -83,6 +83,8 @@ def dbscan(
     are joined by connected components, and border points take the first cluster in reach.
     """
     points = cut_lineage(_weighted_points(df, item, vec))
+    if _on_a_grid(points, eps):
+        return _numbered(df, points, *_grid_clusters(points, eps, min_samples), item, vec)
     kind = points.schema["id"].dataType.simpleString()
     as_query = points.select(F.col("id").alias("query_id"), "vec")
     as_bank = points.select(F.col("id").alias("bank_id"), "vec", "n")
@@ -139,8 +141,13 @@ def dbscan(
     rest = points.join(labelled.select("id"), "id", "left_anti").select(F.col("id").alias("query_id"), "vec")
     border = _radius_join(rest, labelled.select(F.col("id").alias("bank_id"), "vec", "root"), eps, adopt, f"query_id {kind}, root {kind}", block_rows)
     border = border.groupBy(F.col("query_id").alias("id")).agg(F.min("root").alias("root"))
-    known = labelled.select("id", "root", F.lit(1).alias("core")).unionByName(border.select("id", "root", F.lit(0).alias("core")))
-    numbers = row_index(labelled.select("root").distinct(), ["root"], name="_no").select("root", (F.col("_no") - 1).alias("label"))
+    return _numbered(df, points, labelled.select("id", "root"), border, item, vec)
+
+
+def _numbered(df: DataFrame, points: DataFrame, core: DataFrame, border: DataFrame, item: str, vec: str) -> DataFrame:
+    """Labels of all rows from the ``(id, root)`` of core and border points."""
+    known = core.select("id", "root", F.lit(1).alias("core")).unionByName(border.select("id", "root", F.lit(0).alias("core")))
+    numbers = row_index(core.select("root").distinct(), ["root"], name="_no").select("root", (F.col("_no") - 1).alias("label"))
     done = points.join(known.join(numbers, "root"), "id", "left").select(
         "vec", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("core", F.lit(0)).alias("core")
     )
@@ -148,6 +155,89 @@ def dbscan(
     return rows.join(done, "vec").select(item, "label", "core")
 
 
+# --- clusters on a grid ---------------------------------------------------------------------------------------
+
+
+def _on_a_grid(points: DataFrame, eps: float) -> bool:
+    """Whether the points have one to three dimensions, and numbers that cells can tell apart."""
+    far = F.aggregate("vec", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(F.coalesce(x, F.lit(float("nan"))))))
+    small, large, most = points.agg(F.min(F.size("vec")), F.max(F.size("vec")), F.max(far)).first()
+    return small == large and small in (1, 2, 3) and eps > 0 and most < 1e12 * eps
+
+
+def _apart(a, b, dims: int):
+    """The distance of two vectors as the plain formula has it."""
+    gaps = [F.get(a, F.lit(i)) - F.get(b, F.lit(i)) for i in range(dims)]
+    return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+
+
+def _box(df: DataFrame, by: str, dims: int, *more) -> DataFrame:
+    """The corners ``lo, hi`` of the points of each ``by``."""
+    ends = [F.array(*[f(F.get("vec", F.lit(i))) for i in range(dims)]).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    return df.groupBy(by).agg(*ends, *more)
+
+
+def _gap(a: str, b: str, dims: int):
+    """The least distance of a point in the box ``a`` to one in the box ``b``."""
+    zero = F.lit(0.0)
+    gaps = [F.greatest(zero, F.get(f"{a}_lo", F.lit(i)) - F.get(f"{b}_hi", F.lit(i)), F.get(f"{b}_lo", F.lit(i)) - F.get(f"{a}_hi", F.lit(i))) for i in range(dims)]
+    return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+
+
+def _grid_clusters(points: DataFrame, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, root)`` of the core points and of the border points of ``points(id, vec, n)``, in one to three dimensions.
+
+    Any two points of a cell are within ``eps``, so a cell of ``min_samples`` rows is all core, and the core points of a cell are one
+    cluster. Only points of other cells, fewer than ``min_samples`` in each, count their neighbours or look for a cluster, in the
+    cells around. Clusters are joined as cells: two cells are linked if their outermost core points are; all core points are
+    met only for cells that are near enough and not yet joined, which are few unless whole dense cells lie just over ``eps`` apart.
+    """
+    dims = points.select(F.size("vec").alias("d")).first()["d"]
+    side = 0.99 * eps / dims**0.5
+    steps = [F.floor(F.get("vec", F.lit(i)) / F.lit(side)).cast("long") for i in range(dims)]
+    shifts = itertools.product((-2, -1, 0, 1, 2), repeat=dims)
+    around = F.array_distinct(F.array(*[F.xxhash64(*[s + F.lit(x).cast("long") for s, x in zip(steps, shift)]) for shift in shifts]))
+    placed = points.select("id", "vec", "n", F.xxhash64(*steps).alias("cell"))
+    # two cells that share a hash are one cell that is not tight: its points stand for themselves
+    tight = (_apart("lo", "hi", dims) <= eps).alias("tight")
+    cells = _box(placed, "cell", dims, F.sum("n").alias("rows")).select("cell", "rows", tight)
+    placed = cut_lineage(placed.join(cells, "cell").select("*", (F.col("tight") & (F.col("rows") >= min_samples)).alias("full")))
+
+    loose = placed.where("not full").select("id", "vec", F.explode(around).alias("cell"))
+    bank = placed.select("cell", F.col("vec").alias("other"), "n")
+    near = loose.join(bank, "cell").where(_apart("vec", "other", dims) <= eps).groupBy("id").agg(F.sum("n").alias("near"))
+    more = near.where(F.col("near") >= min_samples).select("id", F.lit(True).alias("counted"))
+    core = placed.join(more, "id", "left").where("full or counted")
+    core = cut_lineage(core.select("id", "vec", "cell", F.when(F.col("tight"), F.col("cell")).otherwise(F.xxhash64("vec", F.lit(1))).alias("part")))
+
+    # the parts: what is one cluster of itself, with its outermost points
+    outer = [f("vec", F.get("vec", F.lit(i))) for i in range(dims) for f in (F.min_by, F.max_by)]
+    parts = cut_lineage(_box(core, "part", dims, F.min("id").alias("root"), F.first("vec").alias("vec"), F.min("cell").alias("cell"), F.array_distinct(F.array(*outer)).alias("outer")))
+    fields = ("part", "root", "lo", "hi", "outer")
+    asked = parts.select(F.explode(around).alias("cell"), *[F.col(c).alias(f"a_{c}") for c in fields])
+    pairs = asked.join(parts.select("cell", *[F.col(c).alias(f"b_{c}") for c in fields]), "cell").where((F.col("a_root") < F.col("b_root")) & (_gap("a", "b", dims) <= eps))
+    touch = F.exists("a_outer", lambda x: F.exists("b_outer", lambda y: _apart(x, y, dims) <= eps))
+    pairs = cut_lineage(pairs.select("a_part", "a_root", "b_part", "b_root", touch.alias("touch")))
+    first = cut_lineage(connected_components(pairs.where("touch").select(F.col("a_root").alias("u"), F.col("b_root").alias("v"))))
+
+    def known(side: str) -> DataFrame:
+        return first.select(F.col("node").alias(f"{side}_root"), F.col("root").alias(f"{side}_first"))
+
+    open_pairs = pairs.where("not touch").join(known("a"), "a_root", "left").join(known("b"), "b_root", "left")
+    joined = [F.coalesce(f"{x}_first", f"{x}_root") for x in ("a", "b")]
+    open_pairs = cut_lineage(open_pairs.where(joined[0] != joined[1]).select("a_part", "b_part", "a_root", "b_root"))
+    one, two = (core.select(F.col("part").alias(f"{x}_part"), F.col("vec").alias(f"{x}_vec")) for x in ("a", "b"))
+    met = open_pairs.join(one, "a_part").join(two, "b_part").where(_apart("a_vec", "b_vec", dims) <= eps).select("a_root", "b_root").distinct()
+    links = pairs.where("touch").select("a_root", "b_root").unionByName(met).toDF("u", "v")
+    roots = connected_components(links)
+    whole = parts.join(roots.withColumnRenamed("root", "low"), parts["root"] == roots["node"], "left").select("part", F.coalesce("low", "root").alias("root"))
+    found = cut_lineage(core.join(whole, "part").select("id", "root", "cell", F.col("vec").alias("other")))
+
+    rest = placed.join(found.select("id"), "id", "left_anti").select("id", "vec", F.explode(around).alias("cell"))
+    border = rest.join(found.drop("id"), "cell").where(_apart("vec", "other", dims) <= eps).groupBy("id").agg(F.min("root").alias("root"))
+    return found.select("id", "root"), border
+
+
 def bandwidth(df: DataFrame, quantile: float = 0.3, item: str = "vec_id", vec: str = "vec", block_rows: int = B.BLOCK_ROWS) -> DataFrame:
     """One row: the mean distance of a row to its ``int(n * quantile)``-th nearest row, itself included; NULL without rows.
 

@@ -242,3 +242,27 @@ def test_lower_bounds_spare_most_distances(monkeypatch, metric, p):
     assert {(i, j) for i, j in enumerate(d.argmin(1))} <= set(zip(r.tolist(), c.tolist())) and len(r) < 0.05 * d.size
     none = nn._candidates(q, b, metric, p, 1, np.zeros(len(q)))  # all rows lie beyond what is asked for
     assert len(none[0]) == 0
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_dbscan_on_a_grid(spark, monkeypatch, dims):
+    """Dense cells need no blocks; clusters, borders and noise are those of all pairs, also where only inner points of two cells touch."""
+    monkeypatch.setattr(ol, "_radius_join", None)
+    rng = np.random.default_rng(dims)
+    m = np.concatenate([rng.normal(0, 0.8, (150, dims)), rng.normal(6, 1.5, (60, dims)), rng.uniform(-12, 12, (40, dims)), np.full((9, dims), -9.0)])
+    if dims == 2:  # two cells whose outermost points are over the radius apart, but not others
+        m = np.concatenate([m, [[30.1, 30.1], [30.1, 30.6], [30.1, 30.35]], [[31.19, 31.19], [31.19, 30.75], [31.19, 31.0]]])
+    m = np.round(m, 2)
+    eps, least = 1.0, 4
+    near = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2)) <= eps
+    core = near.sum(1) >= least
+    root = np.where(core, np.arange(len(m)), len(m))
+    while True:
+        low = np.where(core, np.where(near & core[None], root[None], len(m)).min(1), len(m))
+        if (low == root).all():
+            break
+        root = low
+    found = np.where(near & core[None], root[None], len(m)).min(1)
+    label = {r: i for i, r in enumerate(sorted(set(root[core])))}
+    want = {(i, label.get(r, -1), int(c)) for i, (r, c) in enumerate(zip(found, core))}
+    assert {tuple(r) for r in ol.dbscan(vectors(spark, m), eps, least).collect()} == want
