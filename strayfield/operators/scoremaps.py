@@ -141,8 +141,9 @@ def component_map(px: DataFrame, refs_px: DataFrame, scores: DataFrame, quadrant
 # --- combining ------------------------------------------------------------------------------------------------
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], bins: int = 1024) -> DataFrame:
-    """Linear-interpolated quantiles ``q0, q1, ...`` in one row; NULLs are left out, and without values all are NULL.
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], bins: int = 1024, zeros: int = 0) -> DataFrame:
+    """Linear-interpolated quantiles ``q0, q1, ...`` in one row; NULLs are left out, and without values all are NULL. ``zeros`` more
+    values are 0 without being rows: absent pixels.
 
     Nothing is sorted: passes of map-side counts over ``bins`` equal bins close in on the values of the ranks asked for. A
     bin's smallest and largest value are the next interval, so every pass splits it, and a rank is found when they are
@@ -150,7 +151,10 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], bins: int = 10
     """
     values = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
     names = ", ".join(f"q{i} double" for i in range(len(qs)))
-    whole = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    values = values.withColumn("w", F.lit(1).cast("long"))
+    if zeros:
+        values = values.unionByName(df.sparkSession.range(1).select(F.lit(0.0).alias("v"), F.lit(zeros).cast("long").alias("w")))
+    whole = values.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if not whole["n"]:
         return df.sparkSession.createDataFrame([tuple(None for _ in qs)], names)
     at = [q * (whole["n"] - 1) for q in qs]
@@ -167,7 +171,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], bins: int = 10
             here = F.col("v").between(lo, hi)
             which = F.when(here, i).otherwise(which)
             slot = F.when(here, F.least(F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * bins), F.lit(bins - 1)).cast("int")).otherwise(slot)
-        counted = values.select(which.alias("i"), slot.alias("b"), "v").where("i is not null").groupBy("i", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counted = values.select(which.alias("i"), slot.alias("b"), "v", "w").where("i is not null").groupBy("i", "b").agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         spans = {}
         rows = sorted(map(tuple, counted.collect()))
         for i, (key, inside) in enumerate(wide):

@@ -29,14 +29,48 @@ def component_maps(
     drawn where the reference image has it, so the texture maps are filled first. The scale of the texture maps comes from quantiles
     over the pixels of the ``normal`` images alone.
     """
+    return _combined(labels, normal, scoremaps.dense(texture, h, w, ["st", "ae"]), classes, h, w, k, quadrant_weight, ends)
+
+
+def component_image_scores(
+    labels: DataFrame,
+    normal: DataFrame,
+    texture: DataFrame,
+    classes: int,
+    h: int,
+    w: int,
+    k: int = 5,
+    quadrant_weight: float = scoremaps.QUADRANT_WEIGHT,
+    ends: Sequence[float] = (0.9, 0.995),
+) -> DataFrame:
+    """``combined_score`` of the ``component_maps``, ``(image_id, score)``, without a row for every pixel of the frame.
+
+    Pixels that neither map has are alike: one more of them at ``y = -1`` stands for all of an image. A component is drawn on pixels
+    of the texture maps and on others, so those come in with zeros.
+    """
+    sparse = texture.select(*PX, "st", "ae")
+    zero = F.lit(0).cast("double")
+    other = [F.lit(-1).cast(sparse.schema[c].dataType).alias(c) for c in ("y", "x")]
+    nothing = [zero.cast(sparse.schema[c].dataType).alias(c) for c in ("st", "ae")]
+    holes = sparse.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < h * w).select("image_id", *other, *nothing)
+    maps = _combined(labels, normal, sparse.unionByName(holes), classes, h, w, k, quadrant_weight, ends, outer=True)
+    return scoremaps.combined_score(maps)
+
+
+def _combined(labels, normal, pixels, classes, h, w, k, quadrant_weight, ends, outer=False) -> DataFrame:
     scores = cut_lineage(scoremaps.component_scores(labels, normal, classes, h, w, k))
     component = scoremaps.component_map(labels, labels.withColumnRenamed("image_id", "ref_id"), scores, quadrant_weight)
-    pixels = cut_lineage(scoremaps.dense(texture, h, w, ["st", "ae"]))
-    good = cut_lineage(pixels.join(normal, "image_id", "left_semi").select("st", "ae"))
-    quantiles = scoremaps.exact_quantiles(good, "st", ends).toDF("st_start", "st_end").crossJoin(
-        scoremaps.exact_quantiles(good, "ae", ends).toDF("ae_start", "ae_end")  # one row each
-    )
-    return scoremaps.combine_pixels(pixels, quantiles, component).select(*PX, "texture", "component", "score")
+    pixels = cut_lineage(pixels)
+    good = cut_lineage(pixels.join(normal, "image_id", "left_semi").where("y >= 0").select("image_id", "st", "ae"))
+    frame = good.agg(F.count_distinct("image_id") * h * w - F.count(F.lit(1))).first()[0] if outer else 0  # pixels that have no row
+    st, ae = (scoremaps.exact_quantiles(good, c, ends, zeros=frame).toDF(f"{c}_start", f"{c}_end") for c in ("st", "ae"))
+    if outer:
+        component = cut_lineage(component)
+        drawn = component.join(pixels.select("image_id").distinct(), "image_id", "left_semi").join(pixels.select(*PX), list(PX), "left_anti")
+        drawn = drawn.where(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1))
+        kinds = pixels.schema
+        pixels = pixels.unionByName(drawn.select(*PX, *[F.lit(0).cast(kinds[c].dataType).alias(c) for c in ("st", "ae")]))
+    return scoremaps.combine_pixels(pixels, st.crossJoin(ae), component).select(*PX, "texture", "component", "score")  # one row each
 
 
 def zero_shot(items: DataFrame, images_per_batch: int, frac: float = 0.005, cap: int = 2048, item: str = "vec_id") -> DataFrame:

@@ -1,8 +1,10 @@
 """The repair of the refinement loop and the composed flows on tables small enough to work out by hand."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strayfield.operators import outliers as ol
+from strayfield.operators import scoremaps
 from strayfield.plans import flows as fw
 
 MASKS = "image_id int, instance_id int, origin string, area double, scale double"
@@ -52,3 +54,16 @@ def test_zero_shot_batches_are_their_own_banks(spark):
     scores = {r.image_id: (r.score, r.is_anomaly) for r in fw.zero_shot(table, 2, frac=0.75).collect()}
     # batch one has 0 0 0 9 and batch two 1 1 5 5; k is 3, the copy of itself included
     assert scores == {0: (0.0, 0), 1: (1.0, 1), 2: (16 / 3 / 54, 0), 3: (16 / 3 / 54, 1)}
+
+
+def test_image_scores_without_absent_pixels(spark):
+    """The same scores as from a row for every pixel: holes count in quantiles and maxima, full images have none, components lie beside textures."""
+    rng = np.random.default_rng(3)
+    labels = [(i, y, x, int(rng.integers(1, 3)) if i < 5 else 1) for i in range(7) for y in range(6) for x in range(6) if rng.random() < 0.7]
+    texture = [(i, y, x, float(rng.normal()), float(rng.normal())) for i in range(7) for y in range(6) for x in range(6) if i == 2 or rng.random() < 0.4]
+    px = spark.createDataFrame(labels, "image_id long, y int, x int, label int")
+    maps = spark.createDataFrame([(i, y, x, st - (3.0 if i == 4 else 0.0), ae) for i, y, x, st, ae in texture], "image_id long, y int, x int, st double, ae double")
+    normal = spark.range(5).select(F.col("id").alias("image_id"))
+    want = scoremaps.combined_score(fw.component_maps(px, normal, maps, 2, 6, 6)).collect()
+    got = fw.component_image_scores(px, normal, maps, 2, 6, 6).collect()
+    assert {r.image_id: round(r.score, 9) for r in got} == {r.image_id: round(r.score, 9) for r in want} and len(got) == 7
