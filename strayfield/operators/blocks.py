@@ -172,11 +172,13 @@ def block_join(
     query_rows: int = BLOCK_ROWS,
     cell: str = "cell",
     full_chunk: int = BLOCK_ROWS,
+    few_cells: bool = False,
 ) -> DataFrame:
     """Run ``kernel(visitors, block)`` on every (block, chunk) of every cell that has both.
 
     Every row of a cell is copied once for each block or chunk of the other side, so beyond ``MOST_BLOCKS`` pieces it is the
-    pieces that grow, up to ``BLOCK_ROWS`` rows (chunks: ``full_chunk``), and only then their number.
+    pieces that grow, up to ``BLOCK_ROWS`` rows (chunks: ``full_chunk``), and only then their number. With ``few_cells``, no more than the bank has full blocks, their sizes go to all
+    tasks, and neither side is dealt out twice.
     """
 
     def pieces(rows: int, full: int) -> Column:
@@ -186,6 +188,7 @@ def block_join(
     blocks = bank.groupBy(cell).agg(pieces(block_rows, BLOCK_ROWS).alias("_nb"))
     chunks = visits.groupBy(cell).agg(pieces(query_rows, full_chunk).alias("_nc"))
     sizes = blocks.join(chunks, cell)
+    sizes = F.broadcast(sizes) if few_cells else sizes
     q = (
         visits.join(sizes, cell)
         .withColumn("_chunk", F.pmod(F.xxhash64("query_id"), F.col("_nc")).cast("int"))

@@ -17,6 +17,7 @@ from strayfield.operators.selection import nearest_sums
 from strayfield.session import cut_lineage
 
 MOST_KEPT = 0.2  # share of a matrix that is looked at pair by pair
+WHOLE = 0.3  # share of a block's pairs from which on all are looked at together
 PAIRS = 1 << 16  # pairs of vectors held at a time
 METRICS = ("l2sq", "l1", "lp", "cosine", "mahalanobis")
 
@@ -52,13 +53,10 @@ def _candidates(q: np.ndarray, b: np.ndarray, metric: str, p: float, k: int, mos
 
 
 def _nearest_kernel(metric: str, p: float, k: int):
-    """Exact top k inside one block."""
+    """Exact top k inside one block; visitors that name ``leaves`` need no other rows than those."""
 
-    def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": q["query_id"][:0], "bank_id": b["bank_id"][:0], "distance": np.zeros(0)})
-        if q.empty or b.empty:
-            return empty
-        qm, bm, bank_ids, query_ids = B.matrix(q["vec"]), B.matrix(b["vec"]), b["bank_id"].to_numpy(), q["query_id"]
+    def top(q: pd.DataFrame, b: pd.DataFrame, rows: np.ndarray) -> pd.DataFrame:
+        qm, bm, bank_ids = B.matrix(q["vec"]), B.matrix(b["vec"]), b["bank_id"].to_numpy()
         kk = min(k, len(bm))
         # the second way down knows the k-th distance of the first; its root was taken, so there is room for rounding
         most = q["bound"].to_numpy(float) ** (p if metric == "lp" else 1.0) * (1.0 + T.SLACK) if "bound" in q and metric in ("l1", "lp") else None
@@ -68,16 +66,43 @@ def _nearest_kernel(metric: str, p: float, k: int):
             part = qm[lo : lo + step]
             r, c = _candidates(part, bm, metric, p, kk, None if most is None else most[lo : lo + step])
             exact = np.concatenate([np.zeros(0)] + [B.paired(part[r[at : at + PAIRS]], bm[c[at : at + PAIRS]], metric, p) for at in range(0, len(r), PAIRS)])
-            hits = pd.DataFrame({"r": r + lo, "bank_id": bank_ids[c], "distance": exact})
-            found.append(hits.sort_values(["r", "distance", "bank_id"]).groupby("r", sort=False).head(kk))
-        hits = pd.concat(found, ignore_index=True)
-        return pd.DataFrame(
-            {"query_id": query_ids.to_numpy()[hits["r"]], "bank_id": hits["bank_id"], "distance": hits["distance"]}
-        )
+            found.append(_first(pd.DataFrame({"r": rows[r + lo], "bank_id": bank_ids[c], "distance": exact}), kk))
+        return pd.concat(found, ignore_index=True)
+
+    def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or b.empty:
+            return pd.DataFrame({"query_id": q["query_id"][:0], "bank_id": b["bank_id"][:0], "distance": np.zeros(0)})
+        found = [top(q.iloc[rows], b.iloc[at], rows) for rows, at in _looked_at(q, b)]
+        if not found:
+            return kernel(q[:0], b)
+        hits = found[0] if len(found) == 1 else _first(pd.concat(found, ignore_index=True), k)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[hits["r"]], "bank_id": hits["bank_id"], "distance": hits["distance"]})
 
     return kernel
 
 
+def _first(hits: pd.DataFrame, k: int) -> pd.DataFrame:
+    return hits.sort_values(["r", "distance", "bank_id"]).groupby("r", sort=False).head(k)
+
+
+def _looked_at(q: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Visitors and rows of a block that meet, by leaf; all with all where most do."""
+    everyone = np.arange(len(q)), np.arange(len(b))
+    if "leaves" not in q:
+        yield everyone
+        return
+    held, home, count = np.unique(b["leaf"].to_numpy(), return_inverse=True, return_counts=True)
+    wanted = np.concatenate(q["leaves"].to_numpy())
+    row, leaf = np.repeat(everyone[0], q["leaves"].str.len()), np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+    here = held[leaf] == wanted
+    row, leaf = row[here], leaf[here]
+    if count[leaf].sum() > WHOLE * len(q) * len(b):
+        yield everyone
+        return
+    for i in np.unique(leaf):
+        yield row[leaf == i], np.flatnonzero(home == i)
+
+
 def _merge(partial: DataFrame, k) -> DataFrame:
     # at most k rows per visited block and query
     w = W.partitionBy("query_id").orderBy("distance", "bank_id")
@@ -140,6 +165,11 @@ class Index:
     whiten: np.ndarray | None
     block_rows: int
 
+    @property
+    def piece_rows(self) -> int:
+        """Rows of a block or chunk: a query is copied once for each, so beyond ``MOST_BLOCKS`` in the whole bank they grow, until they are full."""
+        return max(self.block_rows, min(B.BLOCK_ROWS, self.tree.rows // B.MOST_BLOCKS))
+
 
 def index_bank(
     bank: DataFrame, metric: str = "l2sq", p: float = 1.5, bank_id: str = "vec_id", vec: str = "vec", block_rows: int = B.BLOCK_ROWS
@@ -159,16 +189,16 @@ def _queries(query: DataFrame, index: Index, query_id: str, vec: str) -> DataFra
     return q if index.whiten is None else linear_map(q, "vec", index.whiten, "vec")
 
 
-def _bounded(q: DataFrame, index: Index, k: int) -> tuple[DataFrame, DataFrame]:
-    """The best ``k`` of the nearest leaves that hold as many rows, and the other leaves within the last one's distance."""
+def _bounded(q: DataFrame, index: Index, k: int, packed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The nearest leaves that hold ``k`` rows of each query, and the packs (else leaves) within the distance of the last of these ``k``."""
     tree, kernel, schema = index.tree, *_leaf_search(q, index, k)
     near = cut_lineage(T.descend(q, tree, T.until(k)))
-    found = cut_lineage(_merge(B.block_join(near, tree.placed, kernel, schema, index.block_rows, index.block_rows), k))
+    found = _merge(B.block_join(near, tree.placed, kernel, schema, index.piece_rows, index.piece_rows), k)
     far = F.max("distance")
-    bound = {"l2sq": F.sqrt(far), "cosine": F.sqrt(2 * far), "l1": far}.get(tree.metric, F.pow(far, F.lit(1.0 / tree.p)))
-    bounds = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, bound).otherwise(F.lit(float("inf"))).alias("bound"))
-    wide = T.descend(q.join(bounds, "query_id"), tree, T.within())
-    return found, wide.join(near.select("query_id", "cell"), ["query_id", "cell"], "left_anti")
+    bound = {"l2sq": F.sqrt(far), "cosine": F.sqrt(2 * F.greatest(far, F.lit(0.0))), "l1": far}.get(tree.metric, F.pow(far, F.lit(1.0 / tree.p)))
+    bounds = cut_lineage(found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, bound).alias("bound")))
+    known = q.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    return near, T.descend(known.select(*q.columns, "bound"), tree, T.within(), packed)
 
 
 def _leaf_search(q: DataFrame, index: Index, k: int):
@@ -183,18 +213,19 @@ def search(query: DataFrame, index: Index, k: int, query_id: str = "vec_id", vec
     q, tree = _queries(query, index, query_id, vec), index.tree
     kernel, schema = _leaf_search(q, index, k)
     if tree.top is None:
-        return _merge(B.block_join(T.descend(q, tree, T.until(k)), tree.placed, kernel, schema, index.block_rows, index.block_rows), k)
-    found, rest = _bounded(q, index, k)
-    more = B.block_join(rest, tree.placed, kernel, schema, index.block_rows, index.block_rows)
-    return _merge(found.drop("rn").unionByName(more), k)
+        return _merge(B.block_join(T.descend(q, tree, T.until(k)), tree.placed, kernel, schema, index.piece_rows, index.piece_rows), k)
+    _, wide = _bounded(q, index, k)
+    return _merge(B.block_join(wide, tree.packed(), kernel, schema, index.piece_rows, index.piece_rows, few_cells=True), k)
 
 
 def leaves_visited(query: DataFrame, index: Index, k: int, query_id: str = "vec_id", vec: str = "vec") -> DataFrame:
     """``(query_id, visited, leaves)``: how many leaves an exact search of each query looks at, and how many there are."""
     q, total = _queries(query, index, query_id, vec), F.lit(index.tree.leaves())
-    near = T.descend(q, index.tree, T.until(k)).select("query_id", "cell")
-    if index.tree.top is not None:
-        near = near.unionByName(_bounded(q, index, k)[1].select("query_id", "cell"))
+    if index.tree.top is None:
+        near = T.descend(q, index.tree, T.until(k)).select("query_id", "cell")
+    else:
+        first, wide = _bounded(q, index, k, packed=False)
+        near = first.select("query_id", "cell").unionByName(wide.select("query_id", "cell")).distinct()
     return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("visited")).withColumn("leaves", total)
 
 

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from strayfield.operators import blocks as B, pivots as T
+from strayfield.operators import blocks as B, neighbours as nn, pivots as T
 
 
 def test_a_cell_is_cut_into_a_bounded_number_of_pieces(spark):
@@ -32,3 +33,30 @@ def test_distances_by_tiles_equal_the_plain_ones():
         assert np.allclose(B.distances(q, b, "l1"), gap.sum(2), rtol=1e-12)
         for p in (1.5, 2.5):
             assert np.allclose(B.distances(q, b, "lp", p), (gap**p).sum(2), rtol=1e-12)
+
+
+def _unstructured(spark, rows: int, dims: int = 64):
+    rng = np.random.default_rng(7)
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(rows, dims)))], "vec_id long, vec array<double>")
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_queries_are_sent_to_packs_of_leaves(spark, metric):
+    """Where nothing prunes, a query visits every leaf of small blocks, but its vector travels once for a full block."""
+    rows = _unstructured(spark, 600)
+    index = nn.index_bank(rows, metric, block_rows=2)
+    assert index.tree.placed.count() == 600 and index.tree.leaves() > 20
+    assert nn._bounded(rows.withColumnRenamed("vec_id", "query_id"), index, 3)[1].count() <= 600
+    seen = nn.leaves_visited(rows, index, 3).toPandas()
+    assert seen["visited"].mean() > 20
+    m = np.stack(rows.toPandas()["vec"])
+    d = np.sort(B.distances(m, m, metric), axis=1)[:, :3]
+    hits = nn.search(rows, index, 3).toPandas().sort_values(["query_id", "rn"])
+    assert np.allclose(hits["distance"].to_numpy().reshape(-1, 3), d, atol=1e-9)
+
+
+def test_leaves_that_few_queries_visit_are_met_one_by_one():
+    q = pd.DataFrame({"query_id": range(4), "leaves": [[1], [2], [2, 9], [7]]})
+    b = pd.DataFrame({"bank_id": range(10), "leaf": [1] * 5 + [2] * 2 + [3] * 3})
+    met = [(rows.tolist(), at.tolist()) for rows, at in nn._looked_at(q, b)]
+    assert met == [([0], [0, 1, 2, 3, 4]), ([1, 2], [5, 6])]
