@@ -22,6 +22,9 @@ TILE = 4_000_000  # elements of one distance matrix held in memory
 STRIP = 1_000_000  # of one matrix of lower bounds, of which two are held
 ROUNDING = 1e-11  # of sums over a row's elements, relative; far above what doubles lose
 CACHED = 32768  # elements of a distance matrix that a core's cache holds with their scratch space
+SHORTS = (8, 8192)  # visitors and rows of a matrix of short integers that a core's cache holds with its scratch space
+STEPS = 32  # of a short integer for half of the range, at least
+SINGLE = 2.0**-24  # relative rounding of a single-precision number
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -95,6 +98,129 @@ def lower_bounds(q: np.ndarray, b: np.ndarray, p: float) -> np.ndarray | None:
         return high
 
 
+class Steps:
+    """L1 distances of a block's rows from below, in whole steps of a unit: vectors are rounded to short integers, whose gaps are added up as such.
+
+    Rounding moves a gap by a step at most, and what lies beyond the range is drawn to its end, which shortens gaps. A sum that does not fit
+    wraps to a smaller one.
+    """
+
+    def __init__(self, b: np.ndarray):
+        dims = b.shape[1]
+        self.most = min(16383, 65535 // (2 * max(1, dims)))
+        with np.errstate(all="ignore"):
+            self.centre = b.mean(0)
+            gap = b - self.centre
+            wide = min(np.abs(gap).max(initial=0.0), 6.0 * np.sqrt(np.square(gap).mean()))
+            self.unit = wide / self.most
+            moved = 8.0 * dims * np.finfo(float).eps * np.abs(b).max(initial=0.0) / self.unit  # by the subtraction of the centre
+        self.usable = self.most >= STEPS and np.isfinite(moved) and moved < dims and 1e-290 < self.unit < 1e290
+        self.spare = 2 * dims + 4
+        self.columns = np.ascontiguousarray(self._short(b).T) if self.usable else None
+
+    def _short(self, m: np.ndarray) -> np.ndarray:
+        return np.rint(np.clip((m - self.centre) / self.unit, -self.most, self.most)).astype(np.int16)
+
+    def of(self, q: np.ndarray) -> np.ndarray | None:
+        if not self.usable or not np.isfinite(q).all() or np.abs(q).max(initial=0.0) > 1e6 * (self.unit * self.most + np.abs(self.centre).max()):
+            return None
+        rows, n = self._short(q)[:, :, None], self.columns.shape[1]
+        out = np.zeros((len(q), n), np.uint16)
+        high, wide = SHORTS
+        gap = np.empty((high, min(wide, n)), np.int16)
+        for lo in range(0, len(q), high):
+            for at in range(0, n, wide):
+                visitors, bank = rows[lo : lo + high], self.columns[:, at : at + wide]
+                part, scratch = out[lo : lo + high, at : at + wide], gap[: len(visitors), : bank.shape[1]]
+                total = np.zeros(scratch.shape, np.uint16)
+                for j in range(len(bank)):
+                    np.subtract(visitors[:, j], bank[j], out=scratch)
+                    np.abs(scratch, out=scratch)
+                    total += scratch.view(np.uint16)
+                part[:] = total
+        return out
+
+    def level(self, top: np.ndarray) -> np.ndarray:
+        """What a row within the distance ``top`` has at most."""
+        with np.errstate(all="ignore"):
+            steps = np.floor(top * (1.0 + 1e-9) / self.unit) + self.spare
+        return np.where(steps < 65535, np.maximum(steps, 0.0), 65535).astype(np.uint16)
+
+
+class Powers:
+    """``lower_bounds`` on a block's rows in single precision: its columns are laid out once, and every sum is moved by more than its rounding."""
+
+    def __init__(self, b: np.ndarray, p: float):
+        dims, self.p = b.shape[1], p
+        self.less, self.more = 1.0 - 4.0 * (dims + 16) * SINGLE, 1.0 + 16.0 * (3 * dims + 32) * SINGLE
+        with np.errstate(all="ignore"):
+            self.centre = b.mean(0)
+            self.size = np.sqrt(np.square(b - self.centre).mean())
+            moved = np.abs(b).max(initial=0.0) * np.finfo(float).eps / self.size
+            # values between 1e-100 and 1e100 can be raised without loss in double precision, too
+            self.usable = 0 < p < 2 and self.less > 0.5 and np.isfinite(moved) and moved < SINGLE and 1e-100 < self.size < 1e100
+            if self.usable:
+                b = self._scaled(b)
+                self.usable = np.abs(b).max(initial=0.0) < 1e4
+        if self.usable:
+            b2 = b * b
+            second, fourth, one = b2.sum(1)[:, None], (b2 * b2).sum(1)[:, None], np.ones((len(b), 1))
+            self.low = np.ascontiguousarray(np.hstack([-2.0 * b, one, self.less * second]).T, dtype=np.float32)
+            self.high = np.ascontiguousarray(np.hstack([-4.0 * b, 6.0 * b2, -4.0 * (b2 * b), one, self.more * fourth]).T, dtype=np.float32)
+
+    def _scaled(self, m: np.ndarray) -> np.ndarray:
+        return (m - self.centre) / self.size
+
+    def of(self, q: np.ndarray) -> np.ndarray | None:
+        if not self.usable:
+            return None
+        with np.errstate(all="ignore"):
+            q = self._scaled(q)
+            if not np.abs(q).max(initial=0.0) < 1e4:
+                return None
+            q2 = q * q
+            one = np.ones((len(q), 1))
+            low = np.hstack([q, self.less * q2.sum(1)[:, None], one]).astype(np.float32) @ self.low
+            high = np.hstack([q2 * q, q2, q, self.more * (q2 * q2).sum(1)[:, None], one]).astype(np.float32) @ self.high
+            np.maximum(low, 0.0, out=low)
+            np.maximum(high, 1e-30, out=high)
+            if self.p == 1.5:
+                np.divide(low, high, out=high)
+                np.sqrt(np.sqrt(high, out=high), out=high)
+            else:
+                np.divide(low, np.sqrt(high, out=high), out=high)
+                high **= 2.0 - self.p
+                low **= self.p / 2.0
+            high *= low
+            return high
+
+    def level(self, top: np.ndarray) -> np.ndarray:
+        """What a row within the distance ``top`` has at most."""
+        with np.errstate(all="ignore"):
+            return (top * (1.0 + 1e-4) / self.size**self.p + 1e-20).astype(np.float32)
+
+
+class Doubles:
+    """``lower_bounds`` itself, for rows that the others do not take."""
+
+    def __init__(self, b: np.ndarray, p: float):
+        self.b, self.p = b, p
+
+    def of(self, q: np.ndarray) -> np.ndarray | None:
+        return lower_bounds(q, self.b, self.p)
+
+    def level(self, top: np.ndarray) -> np.ndarray:
+        return top + 1e-9 * (1.0 + np.abs(top))
+
+
+def bounds_below(b: np.ndarray, metric: str, p: float) -> list[Steps | Powers | Doubles]:
+    """Lower bounds of distances to the rows of a block, the fastest first: ``of(visitors)`` is a matrix or None, and a row whose entry is over
+    ``level(top)`` is farther than ``top``."""
+    if metric not in ("l1", "lp"):
+        return []
+    return [Steps(b) if metric == "l1" else Powers(b, p), Doubles(b, 1.0 if metric == "l1" else p)]
+
+
 def paired(q: np.ndarray, b: np.ndarray, metric: str, p: float = 1.5) -> np.ndarray:
     """Exact distances of aligned rows, so that equal vectors give exactly equal distances."""
     if metric == "l2sq":

@@ -26,11 +26,13 @@ def _type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
-def _candidates(q: np.ndarray, b: np.ndarray, metric: str, p: float, k: int, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(
+    q: np.ndarray, b: np.ndarray, metric: str, p: float, k: int, most: np.ndarray | None = None, below: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs ``(row of q, row of b)`` that hold each row's ``k`` nearest and their ties; none beyond ``most`` need be among them.
 
-    L1 and Minkowski distances have no matrix product, but a lower bound that has: the best bounds of ``k`` parts of the bank name rows
-    whose distances limit the k-th one, and only pairs with a bound within that limit stay. Rows that keep many take their whole distances.
+    L1 and Minkowski distances have no matrix product, but lower bounds that are quick (``blocks.bounds_below``): the best bounds of ``k`` parts of
+    the bank name rows whose distances limit the k-th one, and only pairs with a bound within that limit stay. Rows that keep many take their whole distances.
     """
 
     def nearest(rows: np.ndarray) -> np.ndarray:
@@ -38,14 +40,15 @@ def _candidates(q: np.ndarray, b: np.ndarray, metric: str, p: float, k: int, mos
         kth = np.partition(d, k - 1, axis=1)[:, k - 1]
         return d <= (kth + 1e-9 * (1.0 + np.abs(kth)))[:, None]
 
-    limits = B.lower_bounds(q, b, 1.0 if metric == "l1" else p) if metric in ("l1", "lp") else None
+    tried = ((bound, bound.of(q)) for bound in (B.bounds_below(b, metric, p) if below is None else below))
+    bound, limits = next(((x, m) for x, m in tried if m is not None), (None, None))
     if limits is None:
         return np.nonzero(nearest(q))
     edges = [len(b) * i // k for i in range(k + 1)]
     seeds = [limits[:, lo:hi].argmin(1) + lo for lo, hi in zip(edges, edges[1:])]
     top = np.max([B.paired(q, b[at], metric, p) for at in seeds], axis=0)
     top = top if most is None else np.fmin(top, most)
-    near = ~(limits > (top + 1e-9 * (1.0 + np.abs(top)))[:, None])
+    near = ~(limits > bound.level(top)[:, None])
     crowded = np.flatnonzero(np.count_nonzero(near, axis=1) > MOST_KEPT * len(b) + k)
     if len(crowded):
         near[crowded] = nearest(q[crowded])
@@ -60,11 +63,12 @@ def _nearest_kernel(metric: str, p: float, k: int):
         kk = min(k, len(bm))
         # the second way down knows the k-th distance of the first; its root was taken, so there is room for rounding
         most = q["bound"].to_numpy(float) ** (p if metric == "lp" else 1.0) * (1.0 + T.SLACK) if "bound" in q and metric in ("l1", "lp") else None
-        step = max(1, (B.STRIP if metric in ("l1", "lp") else B.TILE) // len(bm))
+        step = max(1, (B.STRIP if metric == "lp" else B.TILE) // len(bm))
+        below = B.bounds_below(bm, metric, p)
         found = []
         for lo in range(0, len(qm), step):
             part = qm[lo : lo + step]
-            r, c = _candidates(part, bm, metric, p, kk, None if most is None else most[lo : lo + step])
+            r, c = _candidates(part, bm, metric, p, kk, None if most is None else most[lo : lo + step], below)
             exact = np.concatenate([np.zeros(0)] + [B.paired(part[r[at : at + PAIRS]], bm[c[at : at + PAIRS]], metric, p) for at in range(0, len(r), PAIRS)])
             found.append(_first(pd.DataFrame({"r": rows[r + lo], "bank_id": bank_ids[c], "distance": exact}), kk))
         return pd.concat(found, ignore_index=True)

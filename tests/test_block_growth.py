@@ -60,3 +60,29 @@ def test_leaves_that_few_queries_visit_are_met_one_by_one():
     b = pd.DataFrame({"bank_id": range(10), "leaf": [1] * 5 + [2] * 2 + [3] * 3})
     met = [(rows.tolist(), at.tolist()) for rows, at in nn._looked_at(q, b)]
     assert met == [([0], [0, 1, 2, 3, 4]), ([1, 2], [5, 6])]
+
+
+@pytest.mark.parametrize("metric, p, k", [("l1", 1.0, 4), ("lp", 1.5, 4)])
+def test_quick_bounds_spare_nearly_all_distances(monkeypatch, metric, p, k):
+    """Quick bounds are never above a distance, at any scale, with outliers and copies, and unstructured rows need no whole matrix."""
+    rng = np.random.default_rng(8)
+    quick = {"l1": B.Steps, "lp": B.Powers}[metric]
+    for at, scale in ((0.0, 1.0), (1e6, 1e-2), (0.0, 1e-60), (0.0, 1e9)):
+        b = at + scale * rng.normal(size=(900, 64))
+        b[3] = at + scale * 40.0 * rng.normal(size=64)
+        q = np.concatenate([at + scale * rng.normal(size=(21, 64)), b[:5]])
+        d = (np.abs(q[:, None] - b[None]) ** p).sum(2)
+        bound = quick(b, p) if metric == "lp" else quick(b)
+        limits = bound.of(q)
+        if limits is None:
+            assert at  # left to the other bounds
+            continue
+        for j in range(0, 900, 3):
+            assert (limits[:, j] <= bound.level(d[:, j])).all()
+    b, q = rng.normal(size=(6000, 64)), rng.normal(size=(40, 64))
+    d = (np.abs(q[:, None] - b[None]) ** p).sum(2)
+    monkeypatch.setattr(B, "distances", None)  # no whole matrix, not even for some rows
+    monkeypatch.setattr(B, "lower_bounds", None)
+    r, c = nn._candidates(q, b, metric, p, k, np.partition(d, 9, axis=1)[:, 9])
+    want = {(i, j) for i, row in enumerate(np.argsort(d, axis=1)[:, :k]) for j in row}
+    assert want <= set(zip(r.tolist(), c.tolist())) and len(r) < 0.15 * d.size
