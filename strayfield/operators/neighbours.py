@@ -343,15 +343,18 @@ def self_score(
 ) -> DataFrame:
     """Zero-shot score: every group is its own bank, self match included, k = int(min(cap, frac * n)), at least 1.
 
-    Counts and sums travel, not neighbours (``selection.nearest_sums``). A NULL group is a group.
+    Counts and sums travel, not neighbours (``selection.nearest_sums``). Copies of a vector in a group are one point with a weight. A NULL group is a group.
     """
     rows = df.select(F.xxhash64(F.col(group).isNull(), F.col(group)).alias("cell"), F.col(group).alias("g"), F.col(item).alias("query_id"), F.col(vec).alias("vec"))
     k = rows.groupBy("cell").agg(
         F.greatest(F.lit(1), F.least(F.lit(float(cap)), F.lit(frac) * F.count(F.lit(1))).cast("int")).alias("k"), F.first("g").alias(group)
     )
-    known = attach(rows.select("cell", "query_id", "vec"), k.select("cell", "k"), ["cell"]).withColumn("w", F.lit(1).cast("long"))
-    sums = nearest_sums(known, metric, block_rows=block_rows)
-    return attach(sums, k, ["cell"]).select("query_id", group, "k", (F.col("total") / F.col("k")).alias("score"))
+    points = cut_lineage(rows.groupBy("cell", "vec").agg(F.min("query_id").alias("query_id"), F.count(F.lit(1)).alias("w")))
+    known = attach(points, k.select("cell", "k"), ["cell"])
+    sums = nearest_sums(known.select("cell", "query_id", "vec", "k", "w"), metric, block_rows=block_rows).select("cell", F.col("query_id").alias("_point"), "total")
+    scored = points.withColumnRenamed("query_id", "_point").join(sums, ["cell", "_point"]).select("cell", "vec", "total")
+    each = rows.select("cell", "query_id", "vec").join(scored, ["cell", "vec"])
+    return attach(each, k, ["cell"]).select("query_id", group, "k", (F.col("total") / F.col("k")).alias("score"))
 
 
 def _in_batches(df: DataFrame, batch: str, item: str, vec: str, kernel, schema: str, block_rows: int) -> DataFrame:

@@ -20,6 +20,7 @@ from strayfield.operators.ordering import attach, row_index, running
 from strayfield.session import cut_lineage
 
 BINS = 32
+SHARES = 64  # blocks of all cells together, besides one for each cell, while they hold fewer than a full block
 FINE = 1e-12  # relative width at which distances count as equal
 
 
@@ -42,8 +43,13 @@ def _direct(d: np.ndarray, k: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
         d = np.sort(np.partition(d, most - 1, axis=1)[:, :most], axis=1)
         times = np.ones_like(d)
     else:
+        if most < d.shape[1]:  # each column counts at least once
+            near = np.argpartition(d, most - 1, axis=1)[:, :most]
+            d, w = np.take_along_axis(d, near, 1), w[near]
+        else:
+            w = np.broadcast_to(w, d.shape)
         order = d.argsort(1, kind="stable")
-        d, times = np.take_along_axis(d, order, 1), w[order].astype(float)
+        d, times = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1).astype(float)
     before = np.cumsum(times, axis=1) - times
     used = np.clip(k[:, None] - before, 0.0, times)
     return (d * used).sum(1), np.where(used > 0, d, 0.0).max(1)
@@ -56,6 +62,8 @@ def nearest_sums(rows: DataFrame, metric: str = "l2sq", p: float = 1.5, block_ro
     how many copies a row stands for; ``k`` is at most the copies in the cell. Ids are unique within a cell.
     """
     rows = cut_lineage(rows)
+    # a block or chunk takes its share of all rows at least, until it is full: in each round a pair of them is a call, however small
+    block_rows = max(block_rows, min(B.BLOCK_ROWS, rows.count() // SHARES))
     kind, cell = rows.schema["query_id"].dataType.simpleString(), rows.schema["cell"].dataType.simpleString()
     keys = ["cell", "query_id"]
     head = f"cell {cell}, query_id {kind}"

@@ -86,3 +86,17 @@ def test_quick_bounds_spare_nearly_all_distances(monkeypatch, metric, p, k):
     r, c = nn._candidates(q, b, metric, p, k, np.partition(d, 9, axis=1)[:, 9])
     want = {(i, j) for i, row in enumerate(np.argsort(d, axis=1)[:, :k]) for j in row}
     assert want <= set(zip(r.tolist(), c.tolist())) and len(r) < 0.15 * d.size
+
+
+def test_self_score_meets_copies_of_a_vector_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    m = rng.integers(0, 4, size=(300, 2)).astype(float)  # 16 vectors at most
+    df = spark.createDataFrame([(i, "a" if i % 3 else None, v.tolist()) for i, v in enumerate(m)], "vec_id long, g string, vec array<double>")
+    sent = []
+    plain = nn.nearest_sums
+    monkeypatch.setattr(nn, "nearest_sums", lambda rows, *a, **kw: sent.append(rows.count()) or plain(rows, *a, **kw))
+    got = nn.self_score(df, "g", frac=0.1).toPandas().set_index("query_id")["score"]
+    assert sent[0] <= 32 and len(got) == 300
+    for part in (np.arange(0, 300, 3), np.array([i for i in range(300) if i % 3])):
+        d = np.sort(((m[part][:, None] - m[part][None]) ** 2).sum(2), axis=1)[:, : int(0.1 * len(part))]
+        assert np.allclose(got.loc[part], d.mean(1))
