@@ -16,7 +16,7 @@ from strayfield.operators.neighbours import distance_sums, knn
 from strayfield.operators.ordering import attach, row_index
 from strayfield.operators.selection import kth_on_a_line, nearest_sums
 from strayfield.operators.vectors import mean_vector
-from strayfield.session import cut_lineage
+from strayfield.session import cut_lineage, drop_table
 
 
 def zscore_outliers(df: DataFrame, col: str, b: float = 0.0, by: Sequence[str] = (), out: str = "label") -> DataFrame:
@@ -440,10 +440,10 @@ def iterative_outliers(
 
     ``refit`` stands for the repair between rounds: it gets all rows with their ``label`` and returns the rows
     of the next round. By default flagged rows leave. The loop ends when no row, every row, or exactly the rows of the
-    round before are flagged. The last pass uses b = 2.
+    round before are flagged. The last pass uses b = 2. A round's table is deleted once the next one has been compared with it.
     """
     repair = refit or (lambda labelled: labelled.where("label = 0"))
-    rows, before, round_no = df, None, 0
+    rows, before, last, round_no = df, None, None, 0
     while True:
         round_no += 1
         labelled = zscore_outliers(scale_unit(rows, area, "_unit"), "_unit", 2.0 - step * round_no)
@@ -454,7 +454,9 @@ def iterative_outliers(
             break
         if before is not None and found == before.count() and flagged.exceptAll(before).isEmpty():
             break
-        before = flagged
+        if last is not None:
+            drop_table(last)
+        before, last = flagged, labelled
         rows = repair(labelled).select(*df.columns)
     return zscore_outliers(scale_unit(labelled.drop("label"), area, "_unit"), "_unit", 2.0).drop("_unit")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strayfield.operators import metrics, neighbours, outliers, sampling, scoremaps
 from strayfield.operators.raster import PX
-from strayfield.session import cut_lineage
+from strayfield.session import cut_lineage, drop_table, free_shuffles, written
 from strayfield.sources.sinks import results_table
 
 
@@ -101,14 +101,24 @@ def refine(instances: DataFrame, proposals: DataFrame, step: float = 0.3) -> Dat
     inside a mask. Rounds of the z-score rule on sizes, with a width that shrinks by ``step``, are each followed by ``outliers.replace_outliers``;
     from the second repair on, small flagged instances go even without parts. One pass at full width ends it.
     """
-    repairs = 0
+    repairs, last = 0, None
 
     def refit(labelled: DataFrame) -> DataFrame:
-        nonlocal repairs
+        """Of a round only its result stays, until the next round has been written."""
+        nonlocal repairs, last
         repairs += 1
-        fixed = outliers.replace_outliers(labelled, proposals, drop_small=repairs > 1)
-        return cut_lineage(fixed.withColumn("size", F.col("area") / F.col("scale")))
+        if last is not None:
+            drop_table(last)
+        with written() as made:
+            fixed = outliers.replace_outliers(labelled, proposals, drop_small=repairs > 1)
+            last = cut_lineage(fixed.withColumn("size", F.col("area") / F.col("scale")))
+        del fixed
+        for table in made:
+            if table is not last:
+                drop_table(table)
+        free_shuffles(labelled.sparkSession)
+        return last
 
     sized = instances.withColumn("size", F.col("area") / F.col("scale"))
-    last = outliers.iterative_outliers(sized, step, "size", refit)
-    return outliers.replace_outliers(cut_lineage(last), proposals, drop_small=repairs > 0)
+    final = outliers.iterative_outliers(sized, step, "size", refit)
+    return outliers.replace_outliers(cut_lineage(final), proposals, drop_small=repairs > 0)

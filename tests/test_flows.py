@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from strayfield import session
 from strayfield.operators import outliers as ol
 from strayfield.operators import scoremaps
 from strayfield.plans import flows as fw
@@ -67,3 +68,16 @@ def test_image_scores_without_absent_pixels(spark):
     want = scoremaps.combined_score(fw.component_maps(px, normal, maps, 2, 6, 6)).collect()
     got = fw.component_image_scores(px, normal, maps, 2, 6, 6).collect()
     assert {r.image_id: round(r.score, 9) for r in got} == {r.image_id: round(r.score, 9) for r in want} and len(got) == 7
+
+
+def test_a_round_leaves_no_tables_but_the_last(spark, monkeypatch, tmp_path):
+    """Tables of former rounds are deleted: those of a repair at once, a round's rows and labels when the next has been written."""
+    rng = np.random.default_rng(3)
+    masks = spark.createDataFrame([(i % 40, i // 40, f"m{i}", float(a), 1.0) for i, a in enumerate(np.exp(rng.normal(2.0, 1.0, 400)))], MASKS)
+    part = masks.select("origin", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("part"), (F.col("area") * F.col("part") / 10).alias("area"), "scale")
+    found = []
+    plain = ol.replace_outliers
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(ol, "replace_outliers", lambda *a, **kw: found.append(len(list(tmp_path.iterdir()))) or plain(*a, **kw))
+    assert fw.refine(masks, part, 0.3).count() > 0
+    assert len(found) > 3 and max(found) <= 4
