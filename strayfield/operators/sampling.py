@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strayfield.operators import blocks as B
 from strayfield.operators.neighbours import knn, linear_map
 from strayfield.operators.ordering import attach, row_index, running, top_per_key
-from strayfield.session import cut_lineage
+from strayfield.session import cut_lineage, drop_table
 
 HEX_DIGITS = 13  # 52 random bits: exact in a double
 
@@ -148,11 +148,13 @@ def _grow(start: DataFrame, picks: int, item: str, look: int) -> DataFrame:
             anchor = np.minimum(anchor, np.sqrt(B.paired(np.broadcast_to(m[i], m.shape), m, "l2sq")))
         marks = spark.createDataFrame([(ids[i], done + j) for j, i in enumerate(fresh)], f"{item} {_kind(start, item)}, _no long")
         lowered = F.least("anchor", _nearest_of(m[fresh])("vec"))
-        state = cut_lineage(
+        last, state = state, cut_lineage(
             state.join(F.broadcast(marks), item, "left").select(  # at most ``look`` rows
                 item, "vec", lowered.alias("anchor"), F.coalesce("pick_no", "_no").alias("pick_no")
             )
         )
+        if done:
+            drop_table(last)  # else each round would leave a copy of all vectors
         done += len(fresh)
     return state.where("pick_no is not null").select("pick_no", item)
 

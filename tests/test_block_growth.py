@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strayfield.operators import blocks as B, neighbours as nn, pivots as T
+from strayfield import session
+from strayfield.operators import blocks as B, neighbours as nn, pivots as T, sampling as sp
 
 
 def test_a_cell_is_cut_into_a_bounded_number_of_pieces(spark):
@@ -100,3 +101,10 @@ def test_self_score_meets_copies_of_a_vector_once(spark, monkeypatch):
     for part in (np.arange(0, 300, 3), np.array([i for i in range(300) if i % 3])):
         d = np.sort(((m[part][:, None] - m[part][None]) ** 2).sum(2), axis=1)[:, : int(0.1 * len(part))]
         assert np.allclose(got.loc[part], d.mean(1))
+
+
+def test_a_coreset_keeps_one_table_of_vectors(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    picks = sp.approx_coreset(_unstructured(spark, 120), 0.3, look=8)
+    assert picks.count() == 36  # several rounds, each of which writes its state
+    assert len(list(tmp_path.iterdir())) == 1
